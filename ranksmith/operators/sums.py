@@ -1,0 +1,101 @@
+"""ALS by joins and grouped sums, for tables with an id too hot for one task.
+
+For fixed item factors v the factors of a user solve
+
+    (sum of v v' over the user's ratings + reg * count * I) x = sum of rating * v
+
+Both sums are plain aggregates, so Spark combines them before the shuffle: a
+user holding a third of all rows sends one partial row per task, and no task
+ever holds the ratings of one id. Ratings of one pair are added up first.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from ranksmith.columns import ITEM, RATING, USER
+from ranksmith.functions.vectors import unit_vector
+from ranksmith.operators.sizes import broadcast_if_small, factor_bytes
+from ranksmith.storage import checkpoint_dir
+
+FACTOR_SCHEMA = "id int, features array<float>"
+
+
+def pair_sums(ratings: DataFrame) -> DataFrame:
+    """One row per pair: how many ratings, and their total. Duplicates enter the sums exactly."""
+    return ratings.groupBy(USER, ITEM).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(RATING).cast("double")).alias("total")
+    )
+
+
+def normal_equations(pairs: DataFrame, own: str, other: str, factors: DataFrame, rank: int) -> DataFrame:
+    """Per ``own`` id: the upper triangle ``a_i_j``, the right side ``b_i`` and the count ``n``."""
+    fixed = factors.select(
+        F.col("id").alias(other),
+        *[F.col("features")[i].cast("double").alias(f"v{i}") for i in range(rank)],
+    )
+    rows = pairs.join(fixed, other)
+    v = [F.col(f"v{i}") for i in range(rank)]
+    squares = [
+        F.sum(F.col("n") * v[i] * v[j]).alias(f"a_{i}_{j}") for i in range(rank) for j in range(i, rank)
+    ]
+    sides = [F.sum(F.col("total") * v[i]).alias(f"b_{i}") for i in range(rank)]
+    return rows.groupBy(F.col(own).alias("id")).agg(*squares, *sides, F.sum("n").alias("n"))
+
+
+def _solver(rank: int, reg: float):
+    upper = [(i, j) for i in range(rank) for j in range(i, rank)]
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.num_rows
+            if not m:
+                continue
+            left = np.empty((m, rank, rank))
+            for i, j in upper:
+                left[:, i, j] = left[:, j, i] = batch.column(f"a_{i}_{j}").to_numpy()
+            counts = batch.column("n").to_numpy()
+            left[:, range(rank), range(rank)] += reg * counts[:, None]
+            right = np.stack([batch.column(f"b_{i}").to_numpy() for i in range(rank)], axis=1)
+            solved = np.linalg.solve(left, right[:, :, None])[:, :, 0].astype(np.float32)
+            offsets = pa.array(np.arange(m + 1, dtype=np.int32) * rank)
+            features = pa.ListArray.from_arrays(offsets, pa.array(solved.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), features], ["id", "features"])
+
+    return solve
+
+
+def solve_side(
+    pairs: DataFrame, own: str, other: str, factors: DataFrame, rank: int, reg: float
+) -> DataFrame:
+    """New factors of one side, given the other side's."""
+    sums = normal_equations(pairs, own, other, factors, rank)
+    return sums.mapInArrow(_solver(rank, reg), FACTOR_SCHEMA)
+
+
+def fit_by_sums(
+    ratings: DataFrame, rank: int, max_iter: int, reg: float, seed: int
+) -> tuple[DataFrame, DataFrame]:
+    """User and item factors. Items are solved first in each round, users last.
+
+    Every half step is checkpointed, which keeps the plan short and a lost
+    executor from undoing earlier rounds.
+    """
+    checkpoint_dir(ratings.sparkSession)
+    pairs = pair_sums(ratings).checkpoint()
+    ids = pairs.select(F.col(USER).alias("id")).distinct()
+    users = ids.select("id", unit_vector(F.col("id"), rank, seed).alias("features")).checkpoint()
+    n_users = users.count()
+    items, n_items = None, None
+    for _ in range(max_iter):
+        known_users = broadcast_if_small(users, factor_bytes(n_users, rank))
+        items = solve_side(pairs, ITEM, USER, known_users, rank, reg).checkpoint()
+        if n_items is None:
+            n_items = items.count()
+        known_items = broadcast_if_small(items, factor_bytes(n_items, rank))
+        users = solve_side(pairs, USER, ITEM, known_items, rank, reg).checkpoint()
+    return users, items
