@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ranksmith.columns import ITEM, RATING, TYPE, USER
 from ranksmith.operators.ratings import RatingProfile, profile_ratings
-from ranksmith.operators.sums import fit_by_sums
-from ranksmith.storage import checkpoint_dir, scratch_path
+from ranksmith.operators.sums import MAX_TASK_ROWS, fit_by_sums
+from ranksmith.storage import checkpoint_dir, written
 
 
 @dataclass(frozen=True)
@@ -32,8 +32,7 @@ SEGMENT = AlsParams(max_iter=5, reg=0.01)
 # Spark ML keeps all ratings of a block, hence of an id, in arrays of one task.
 ROWS_PER_BLOCK = 5_000_000
 MIN_BLOCKS = 8
-MAX_BLOCKS = 1_000
-MAX_ID_ROWS = 20_000_000
+MAX_BLOCKS = 500
 
 
 @dataclass(frozen=True)
@@ -50,10 +49,10 @@ class FactorModel:
 
 
 def choose_solver(profile: RatingProfile) -> str:
-    """``blocks`` (Spark ML) while every block fits a task, ``sums`` beyond."""
+    """``blocks`` (Spark ML) while every block and every id fits a task, ``sums`` beyond."""
     hottest = max(profile.max_user_rows, profile.max_item_rows)
-    too_many = profile.n_rows > ROWS_PER_BLOCK * MAX_BLOCKS
-    return "sums" if too_many or hottest > MAX_ID_ROWS else "blocks"
+    fullest_block = profile.n_rows / block_count(profile.n_rows)
+    return "sums" if max(hottest, fullest_block) > MAX_TASK_ROWS else "blocks"
 
 
 def block_count(n_rows: int) -> int:
@@ -87,16 +86,17 @@ def check_profile(profile: RatingProfile) -> None:
         raise ValueError("no ratings to train on")
 
 
-def _fit_blocks(ratings: DataFrame, params: AlsParams, profile: RatingProfile) -> ALSModel:
-    spark = ratings.sparkSession
-    checkpoint_dir(spark)
-    estimator = als_estimator(params, block_count(profile.n_rows))
-    model = estimator.fit(ratings)
-    # The factors hang on every shuffle of the training run. A written copy keeps the
+def _fit_blocks(
+    ratings: DataFrame, params: AlsParams, profile: RatingProfile
+) -> tuple[ALSModel, DataFrame, DataFrame]:
+    # Spark ML cuts its lineage every ten rounds, but only where a folder is set.
+    checkpoint_dir(ratings.sparkSession)
+    als_model = als_estimator(params, block_count(profile.n_rows)).fit(ratings)
+    # The factors hang on every shuffle of the training run. Written copies keep the
     # loss of an executor during scoring from repeating the training.
-    path = scratch_path(spark, "model")
-    model.write().save(path)
-    return ALSModel.load(path)
+    users = written(als_model.userFactors, "users")
+    items = written(als_model.itemFactors, "items")
+    return als_model, users, items
 
 
 def fit_als(
@@ -107,9 +107,10 @@ def fit_als(
 ) -> FactorModel:
     """Fit one model on all the given ratings; duplicates of a pair each count.
 
-    The profile costs one scan. It rejects unusable rows, sizes the blocks and
-    picks the solver: Spark ML's, or the same normal equations by grouped sums
-    where one id or one block is too large for a task.
+    The profile rejects unusable rows, sizes the blocks and picks the solver: Spark
+    ML's, or the same normal equations by grouped sums where one id or one block
+    is too large for a task. It and the fit each read the ratings once, so
+    hand in a table rather than the plan of a large join.
     """
     if profile is None:
         profile = profile_ratings(ratings)
@@ -122,11 +123,18 @@ def fit_als(
     if solver == "auto":
         solver = choose_solver(profile)
     if solver == "blocks":
-        als_model = _fit_blocks(triples, params, profile)
-        users, items = als_model.userFactors, als_model.itemFactors
+        als_model, users, items = _fit_blocks(triples, params, profile)
     elif solver == "sums":
         als_model = None
-        users, items = fit_by_sums(triples, params.rank, params.max_iter, params.reg, params.seed)
+        users, items = fit_by_sums(
+            triples,
+            params.rank,
+            params.max_iter,
+            params.reg,
+            params.seed,
+            profile.n_users,
+            profile.n_items,
+        )
     else:
         raise ValueError(f"solver must be auto, blocks or sums, not {solver!r}")
     return FactorModel(
@@ -159,5 +167,5 @@ def fit_als_per_segment(
         return fit_als(rows, params, profile=profile) if profile.n_rows else None
 
     with ThreadPool(max(1, min(parallelism, len(names)))) as pool:
-        models = pool.map(inheritable_thread_target(fit), names)
+        models = pool.map(inheritable_thread_target(typed_ratings.sparkSession)(fit), names)
     return {name: model for name, model in zip(names, models) if model is not None}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ranksmith.columns import CATALOG_ID, ITEM, RATING, TS, TYPE, USER
 
@@ -87,42 +87,42 @@ class RatingProfile:
     n_bad: int
 
 
-def bad_rating(user: str = USER, item: str = ITEM, rating: str = RATING):
+def bad_rating(ratings: DataFrame) -> Column:
     """True for a row no factor model can use: a NULL, a NaN or an id that is not a 32-bit integer."""
-    user_id, item_id, value = F.col(user), F.col(item), F.col(rating).cast("double")
-    missing = user_id.isNull() | item_id.isNull() | value.isNull() | F.isnan(value)
-    def outside(i):
-        number = i.cast("decimal(38,6)")
-        return (F.abs(number) > MAX_ID) | (number != F.floor(number))
-    return F.coalesce(missing | outside(user_id) | outside(item_id), F.lit(True))
+    kinds = dict(ratings.dtypes)
+    value = F.col(RATING).cast("double")
+    bad = F.col(USER).isNull() | F.col(ITEM).isNull() | value.isNull() | F.isnan(value)
+    for column in (USER, ITEM):
+        if kinds[column] not in ("tinyint", "smallint", "int"):
+            number = F.col(column).cast("double")
+            bad = bad | F.coalesce((F.abs(number) > MAX_ID) | (number != F.floor(number)), F.lit(False))
+    return bad
 
 
 def profile_ratings(ratings: DataFrame) -> RatingProfile:
-    """Row, user, item and hottest-id counts, from one scan.
+    """Row, user, item and hottest-id counts in one job.
 
-    The two groupings share the scan, and counts are combined before the
-    shuffle, so a hot id costs one row per task.
+    Counts are combined before the shuffle, so a hot id costs one row per
+    task. The items' half reads the item column alone.
     """
-    marked = ratings.select(
-        F.col(USER), F.col(ITEM), bad_rating().cast("long").alias("bad")
-    )
-    per_id = marked.groupingSets([[USER], [ITEM]], USER, ITEM).agg(
-        F.grouping(USER).alias("by_item"),
-        F.count(F.lit(1)).alias("n"),
-        F.sum("bad").alias("bad"),
-    )
-    totals = per_id.groupBy("by_item").agg(
-        F.count(F.lit(1)).alias("ids"),
-        F.max("n").alias("hottest"),
-        F.sum("n").alias("rows"),
-        F.sum("bad").alias("bad"),
-    )
-    found = {row["by_item"]: row for row in totals.collect()}
-    if not found:
-        return RatingProfile(0, 0, 0, 0, 0, 0)
-    users, items = found[0], found[1]
+
+    def totals(column: str, bad: Column) -> DataFrame:
+        per_id = ratings.groupBy(column).agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad")
+        )
+        return per_id.agg(
+            F.lit(column).alias("side"),
+            F.count(F.lit(1)).alias("ids"),
+            F.coalesce(F.max("n"), F.lit(0)).alias("hottest"),
+            F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+            F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"),
+        )
+
+    both = totals(USER, bad_rating(ratings)).unionByName(totals(ITEM, F.lit(False)))
+    found = {row["side"]: row for row in both.collect()}
+    users, items = found[USER], found[ITEM]
     return RatingProfile(
-        n_rows=users["rows"],
+        n_rows=users["n_rows"],
         n_users=users["ids"],
         n_items=items["ids"],
         max_user_rows=users["hottest"],

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ranksmith.columns import RANK, SCORE
-from ranksmith.operators import sizes
+from ranksmith.operators.sizes import factor_bytes, is_small
 
 SOURCE = "source_id"
 CANDIDATE = "candidate_id"
@@ -141,8 +141,7 @@ def best_candidates(
     source_blocks = max(1, ceil(n_sources / SOURCE_BLOCK))
     candidate_blocks = max(1, ceil(n_candidates / CANDIDATE_BLOCK))
     tasks = min(MAX_TASKS, max(1, ceil(n_sources * n_candidates / SCORES_PER_TASK)))
-    limit = sizes.BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
-    small = sizes.factor_bytes(n_candidates, rank) <= limit
+    small = is_small(factor_bytes(n_candidates, rank), broadcast_bytes)
 
     # One tile of candidates is one block, unless many blocks per task save shuffling.
     source_tiles, candidate_tiles = 1, candidate_blocks

@@ -13,7 +13,10 @@ def factor_bytes(n_ids: int, rank: int) -> int:
     return n_ids * (4 * rank + 48)
 
 
+def is_small(n_bytes: int, limit: int | None = None) -> bool:
+    return n_bytes <= (BROADCAST_BYTES if limit is None else limit)
+
+
 def broadcast_if_small(table: DataFrame, n_bytes: int, limit: int | None = None) -> DataFrame:
     """Hint a broadcast for a table of known size, or leave the join to Spark."""
-    bound = BROADCAST_BYTES if limit is None else limit
-    return F.broadcast(table) if n_bytes <= bound else table
+    return F.broadcast(table) if is_small(n_bytes, limit) else table

@@ -4,9 +4,10 @@ For fixed item factors v the factors of a user solve
 
     (sum of v v' over the user's ratings + reg * count * I) x = sum of rating * v
 
-Both sums are plain aggregates, so Spark combines them before the shuffle: a
-user holding a third of all rows sends one partial row per task, and no task
-ever holds the ratings of one id. Ratings of one pair are added up first.
+Both sums are plain aggregates, so no task ever holds the ratings of one id:
+an id with more rows than a task should see is salted into parts, summed part
+by part, and the few partial sums are added up. Ratings of one pair are added
+up before all else.
 """
 
 from __future__ import annotations
@@ -19,10 +20,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from ranksmith.columns import ITEM, RATING, USER
 from ranksmith.functions.vectors import unit_vector
-from ranksmith.operators.sizes import broadcast_if_small, factor_bytes
-from ranksmith.storage import checkpoint_dir
+from ranksmith.operators.sizes import broadcast_if_small, factor_bytes, is_small
+from ranksmith.storage import remove, scratch_path, written
 
 FACTOR_SCHEMA = "id int, features array<float>"
+SALT = "salt"
+
+# Rows of one id, or of one block of ids, that a single task may work through.
+MAX_TASK_ROWS = 20_000_000
 
 
 def pair_sums(ratings: DataFrame) -> DataFrame:
@@ -32,19 +37,54 @@ def pair_sums(ratings: DataFrame) -> DataFrame:
     )
 
 
-def normal_equations(pairs: DataFrame, own: str, other: str, factors: DataFrame, rank: int) -> DataFrame:
-    """Per ``own`` id: the upper triangle ``a_i_j``, the right side ``b_i`` and the count ``n``."""
+def salted(pairs: DataFrame, own: str, other: str, max_rows: int = MAX_TASK_ROWS) -> DataFrame:
+    """Number the parts of hot ids in ``salt`` (0 for all others) and keep each part together.
+
+    A hot id takes up ``max_rows`` rows, so there are at most rows / ``max_rows`` of
+    them: their list is small enough to broadcast whatever the table holds.
+    """
+    counts = pairs.groupBy(own).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > max_rows)
+    hot = counts.select(own, F.ceil(F.col("rows") / max_rows).alias("parts"))
+    part = F.pmod(F.xxhash64(other), F.coalesce(F.col("parts"), F.lit(1)))
+    return (
+        pairs.join(F.broadcast(hot), own, "left")
+        .withColumn(SALT, part.cast("int"))
+        .drop("parts")
+        .repartition(own, SALT)
+    )
+
+
+def normal_equations(
+    pairs: DataFrame,
+    own: str,
+    other: str,
+    factors: DataFrame,
+    rank: int,
+    n_factors: int,
+    broadcast_bytes: int | None = None,
+) -> DataFrame:
+    """Per ``own`` id: the upper triangle ``a_i_j``, the right side ``b_i`` and the count ``n``.
+
+    While the factors are small they are broadcast and each part of ``pairs`` is summed
+    where it lies. Otherwise the rows go to the factors first and, still as narrow
+    rows rather than as wide partial sums, back to the parts of their own id.
+    """
+    n_bytes = factor_bytes(n_factors, rank)
     fixed = factors.select(
         F.col("id").alias(other),
         *[F.col("features")[i].cast("double").alias(f"v{i}") for i in range(rank)],
     )
-    rows = pairs.join(fixed, other)
+    rows = pairs.join(broadcast_if_small(fixed, n_bytes, broadcast_bytes), other)
     v = [F.col(f"v{i}") for i in range(rank)]
-    squares = [
-        F.sum(F.col("n") * v[i] * v[j]).alias(f"a_{i}_{j}") for i in range(rank) for j in range(i, rank)
-    ]
-    sides = [F.sum(F.col("total") * v[i]).alias(f"b_{i}") for i in range(rank)]
-    return rows.groupBy(F.col(own).alias("id")).agg(*squares, *sides, F.sum("n").alias("n"))
+    sums = {f"a_{i}_{j}": F.col("n") * v[i] * v[j] for i in range(rank) for j in range(i, rank)}
+    sums |= {f"b_{i}": F.col("total") * v[i] for i in range(rank)}
+    sums["n"] = F.col("n")
+    if is_small(n_bytes, broadcast_bytes):
+        return rows.groupBy(F.col(own).alias("id")).agg(*[F.sum(x).alias(c) for c, x in sums.items()])
+    parts = (
+        rows.repartition(own, SALT).groupBy(own, SALT).agg(*[F.sum(x).alias(c) for c, x in sums.items()])
+    )
+    return parts.groupBy(F.col(own).alias("id")).agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def _solver(rank: int, reg: float):
@@ -69,33 +109,47 @@ def _solver(rank: int, reg: float):
     return solve
 
 
-def solve_side(
-    pairs: DataFrame, own: str, other: str, factors: DataFrame, rank: int, reg: float
-) -> DataFrame:
-    """New factors of one side, given the other side's."""
-    sums = normal_equations(pairs, own, other, factors, rank)
-    return sums.mapInArrow(_solver(rank, reg), FACTOR_SCHEMA)
+def solve_side(equations: DataFrame, rank: int, reg: float) -> DataFrame:
+    """Factors ``id, features`` from normal equations."""
+    return equations.mapInArrow(_solver(rank, reg), FACTOR_SCHEMA)
 
 
 def fit_by_sums(
-    ratings: DataFrame, rank: int, max_iter: int, reg: float, seed: int
+    ratings: DataFrame,
+    rank: int,
+    max_iter: int,
+    reg: float,
+    seed: int,
+    n_users: int,
+    n_items: int,
+    max_rows: int = MAX_TASK_ROWS,
+    broadcast_bytes: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """User and item factors. Items are solved first in each round, users last.
 
-    Every half step is checkpointed, which keeps the plan short and a lost
-    executor from undoing earlier rounds.
+    Every half step is written out, which keeps the plan short and a lost
+    executor from undoing earlier rounds; copies no longer needed are removed.
     """
-    checkpoint_dir(ratings.sparkSession)
-    pairs = pair_sums(ratings).checkpoint()
+    spark = ratings.sparkSession
+    paths = {name: scratch_path(spark, name) for name in ("pairs", "by-user", "by-item")}
+    pairs = written(pair_sums(ratings), "pairs", path=paths["pairs"])
+    by_user = written(salted(pairs, USER, ITEM, max_rows), "by-user", path=paths["by-user"])
+    by_item = written(salted(pairs, ITEM, USER, max_rows), "by-item", path=paths["by-item"])
+
     ids = pairs.select(F.col(USER).alias("id")).distinct()
-    users = ids.select("id", unit_vector(F.col("id"), rank, seed).alias("features")).checkpoint()
-    n_users = users.count()
-    items, n_items = None, None
+    start = ids.select("id", unit_vector(F.col("id"), rank, seed).alias("features"))
+    user_path, item_path = scratch_path(spark, "users"), None
+    users, items = written(start, "users", path=user_path), None
     for _ in range(max_iter):
-        known_users = broadcast_if_small(users, factor_bytes(n_users, rank))
-        items = solve_side(pairs, ITEM, USER, known_users, rank, reg).checkpoint()
-        if n_items is None:
-            n_items = items.count()
-        known_items = broadcast_if_small(items, factor_bytes(n_items, rank))
-        users = solve_side(pairs, USER, ITEM, known_items, rank, reg).checkpoint()
+        equations = normal_equations(by_item, ITEM, USER, users, rank, n_users, broadcast_bytes)
+        old, item_path = item_path, scratch_path(spark, "items")
+        items = written(solve_side(equations, rank, reg), "items", path=item_path)
+        if old:
+            remove(spark, old)
+        equations = normal_equations(by_user, USER, ITEM, items, rank, n_items, broadcast_bytes)
+        old, user_path = user_path, scratch_path(spark, "users")
+        users = written(solve_side(equations, rank, reg), "users", path=user_path)
+        remove(spark, old)
+    for path in paths.values():
+        remove(spark, path)
     return users, items

@@ -19,6 +19,7 @@ from ranksmith.operators import (
     with_media,
     with_titles,
 )
+from ranksmith.storage import written
 
 
 @dataclass(frozen=True)
@@ -44,9 +45,16 @@ def global_lists(
     seed: int = 42,
     exclude_seen: bool = False,
     candidate_k: int | None = None,
+    keep_copy: bool = False,
 ) -> Recommendation:
-    """One model over all items; ``n`` items of each type per target user, with titles and media."""
+    """One model over all items; ``n`` items of each type per target user, with titles and media.
+
+    The ratings are read for the profile, the fit and the holdout. Set ``keep_copy``
+    when they come out of a join or other costly plan, to run it once.
+    """
     rows = resolve_duplicates(ratings, duplicates)
+    if keep_copy:
+        rows = written(rows, "ratings")
     training, test = hash_split(rows, train, seed)
     model = fit_als(training, params)
     lists = top_items_by_type(

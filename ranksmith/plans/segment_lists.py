@@ -18,6 +18,7 @@ from ranksmith.operators import (
     with_item_type,
     with_titles,
 )
+from ranksmith.storage import written
 
 
 def segment_lists(
@@ -37,9 +38,12 @@ def segment_lists(
     segment. A segment nobody rated contributes nothing; both results are
     None when that goes for all of them.
     """
-    typed = with_item_type(ratings, catalog)
+    names = list(segments)
+    # Every segment reads its rows several times; one copy, split by type, joins once.
+    wanted = with_item_type(ratings, catalog).where(F.col(TYPE).isin(names))
+    typed = written(wanted, "typed", by=TYPE)
     training, test = hash_split(typed, train, seed)
-    models = fit_als_per_segment(training, segments, params)
+    models = fit_als_per_segment(training, names, params)
     lists, reports = [], []
     for segment, model in models.items():
         lists.append(top_items(model, n, users).withColumn(TYPE, F.lit(segment)))

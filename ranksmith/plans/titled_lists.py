@@ -16,6 +16,7 @@ from ranksmith.operators import (
     with_lookup_title,
 )
 from ranksmith.plans.global_lists import Recommendation
+from ranksmith.storage import written
 
 
 def titled_lists(
@@ -26,8 +27,11 @@ def titled_lists(
     params: AlsParams = SEGMENT,
     train: float = 0.8,
     seed: int = 42,
+    keep_copy: bool = False,
 ) -> Recommendation:
     """Top ``k`` for the ``n_users`` smallest user ids, with a title per item."""
+    if keep_copy:
+        ratings = written(ratings, "ratings")
     training, test = hash_split(ratings, train, seed)
     model = fit_als(training, params)
     users = distinct_ids(ratings, als_estimator(params).getUserCol(), n_users)

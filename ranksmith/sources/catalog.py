@@ -25,10 +25,7 @@ def read_catalog(spark: SparkSession, path: str, id_column: str = CATALOG_ID) ->
 
 def catalog_from_text(lines: DataFrame, schema: StructType, column: str = "value") -> DataFrame:
     """Catalog rows from a text column holding one CSV record per row, without a header."""
-    options = {**CSV_DIALECT, "mode": "FAILFAST"}
-    # `encoding` only concerns bytes on disk; the column already holds characters.
-    options.pop("encoding")
-    record = F.from_csv(F.col(column), schema.simpleString()[len("struct<"):-1].replace(":", " "), options)
+    record = F.from_csv(F.col(column), schema.toDDL(), {**CSV_DIALECT, "mode": "FAILFAST"})
     return lines.select(record.alias("record")).select("record.*")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -28,5 +28,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the checkpoint folder."""
+    return f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/ranksmith"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path on whatever file system it names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every copy this application wrote. Tables and models built on them end here."""
+    remove(spark, _scratch_root(spark))
+
+
+def written(table: DataFrame, label: str, by: str | None = None, path: str | None = None) -> DataFrame:
+    """The table as a parquet copy in the shared folder.
+
+    Later steps read the copy: the work behind it is neither planned nor run again, also
+    not after an executor is lost. With ``by``, readers of one value skip the other values' files.
+    """
+    spark = table.sparkSession
+    path = path or scratch_path(spark, label)
+    writer = table.write if by is None else table.hint("rebalance", by).write.partitionBy(by)
+    writer.parquet(path)
+    return spark.read.schema(table.schema).parquet(path).select(*[F.col(f"`{c}`") for c in table.columns])

@@ -13,6 +13,7 @@ from ranksmith.functions import instant
 from ranksmith.operators import (
     GLOBAL,
     SEGMENT,
+    AlsParams,
     als_estimator,
     as_arrays,
     catalog_items,
@@ -53,7 +54,7 @@ from ranksmith.sources import (
     read_title_lookup,
     read_user_ratings,
 )
-from ranksmith.storage import scratch_path
+from ranksmith.storage import scratch_path, written
 from ranksmith.workload import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -318,8 +319,13 @@ def rmse_constant_by_type(spark, sf):
 # Models. Factors depend on random starts, so these return what any right model must satisfy.
 
 
-def _fit(spark, sf, params=GLOBAL):
-    return fit_als(t.triples(spark, sf), params)
+def _table(spark, sf) -> DataFrame:
+    """All ratings as a table: fitting reads them more than once, the join runs once."""
+    return written(t.triples(spark, sf), "ratings")
+
+
+def _fit(spark, sf):
+    return fit_als(_table(spark, sf), GLOBAL)
 
 
 def _shape(lists: DataFrame, *owner: str, other: str) -> DataFrame:
@@ -371,8 +377,8 @@ def als_item_subset_shape(spark, sf):
 
 @query
 def als_unseen_shape(spark, sf):
-    ratings = t.triples(spark, sf)
-    lists = top_items(_fit(spark, sf), 10, exclude_seen=ratings)
+    ratings = _table(spark, sf)
+    lists = top_items(fit_als(ratings), 10, exclude_seen=ratings)
     seen = ratings.select(USER, ITEM).distinct().withColumn("seen", F.lit(1))
     marked = lists.join(seen, [USER, ITEM], "left")
     counts = marked.groupBy(USER).agg(F.count("seen").alias("n_seen"))
@@ -395,7 +401,7 @@ def als_candidate_list_shape(spark, sf):
 
 @query
 def als_per_segment_shape(spark, sf):
-    typed = with_item_type(t.triples(spark, sf), t.catalog(spark, sf))
+    typed = written(with_item_type(t.triples(spark, sf), t.catalog(spark, sf)), "typed", by=TYPE)
     models = fit_als_per_segment(typed, t.TYPES, SEGMENT)
     parts = [_shape(top_items(m, 5), USER, other=ITEM).withColumn(TYPE, F.lit(s)) for s, m in models.items()]
     lists = parts[0]
@@ -407,8 +413,9 @@ def als_per_segment_shape(spark, sf):
 @query
 def als_prediction_is_dot(spark, sf):
     """Every rating's prediction against Spark ML's own transform."""
-    model = _fit(spark, sf)
-    ours = predict(model, t.triples(spark, sf)).withColumnRenamed(PREDICTION, "ours")
+    ratings = _table(spark, sf)
+    model = fit_als(ratings)
+    ours = predict(model, ratings).withColumnRenamed(PREDICTION, "ours")
     both = model.als_model.transform(ours)
     gap = F.abs(F.col("ours") - F.col(PREDICTION))
     return both.groupBy(USER).agg(
@@ -419,9 +426,10 @@ def als_prediction_is_dot(spark, sf):
 @query
 def als_normal_equations(spark, sf):
     """Per user: the factors solve (sum v v' + reg n I) x = sum r v over the user's ratings."""
-    ratings, model = t.triples(spark, sf), _fit(spark, sf)
+    ratings = _table(spark, sf)
+    model = fit_als(ratings)
     rank = model.rank
-    sums = normal_equations(pair_sums(ratings), USER, ITEM, model.item_factors, rank)
+    sums = normal_equations(pair_sums(ratings), USER, ITEM, model.item_factors, rank, model.n_items)
     solved = sums.join(model.user_factors, "id")
     x = [F.col("features")[i].cast("double") for i in range(rank)]
     gaps = []
@@ -437,8 +445,8 @@ def als_normal_equations(spark, sf):
 @query
 def als_by_sums(spark, sf):
     """The solver for hot ids on the whole table: every user listed, error below the mean's."""
-    ratings = t.triples(spark, sf)
-    model = fit_als(ratings, SEGMENT, solver="sums")
+    ratings = _table(spark, sf)
+    model = fit_als(ratings, AlsParams(max_iter=2), solver="sums")
     gap = F.col(RATING) - F.col(PREDICTION)
     return predict(model, ratings).agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -449,7 +457,7 @@ def als_by_sums(spark, sf):
 
 @query
 def coldstart_drop_count(spark, sf):
-    training, test = hash_split(t.triples(spark, sf))
+    training, test = hash_split(_table(spark, sf))
     return coldstart_report(fit_als(training), test).select("n_test", "n_scored", "n_dropped")
 
 
@@ -469,6 +477,7 @@ def flagship(spark, sf) -> DataFrame:
         5,
         t.media(spark, sf),
         t.TITLES,
+        keep_copy=True,
     ).lists
 
 
@@ -501,7 +510,7 @@ def segment_holdout(spark, sf):
 @query
 def titled_lists_titles(spark, sf):
     lookup = t.catalog(spark, sf).select(F.col("ID").alias(ITEM), F.col("Name").alias("title"))
-    lists = titled_lists(t.triples(spark, sf), lookup).lists
+    lists = titled_lists(t.triples(spark, sf), lookup, keep_copy=True).lists
     right = lists.join(t.catalog(spark, sf), F.col(ITEM) == F.col("ID"))
     return right.groupBy(USER).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("title") == F.col("Name")).alias("n_right")
