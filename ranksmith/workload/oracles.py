@@ -124,7 +124,7 @@ ORACLES["first_of_each_list"] = _with(RATINGS, CATALOG, SCORED, RANKED) + """
 SELECT * FROM ranked WHERE rank <= 5"""
 
 ORACLES["flattened_lists"] = _with(RATINGS, CATALOG, SCORED) + """
-SELECT user_id, rank, item_id, score FROM (
+SELECT user_id, rank, item_id, CAST(CAST(score AS REAL) AS DOUBLE) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM scored)
 WHERE rank <= 10"""
 
