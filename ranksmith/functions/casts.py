@@ -10,9 +10,8 @@ def strict_cast(text: Column, type_name: str) -> Column:
 
     A missing field raises too: a rating line without it is broken.
     """
-    parsed = text.try_cast(type_name)
     message = F.concat(F.lit(f"not a valid {type_name}: "), F.coalesce(text, F.lit("missing field")))
-    return F.when(parsed.isNotNull(), parsed).otherwise(F.raise_error(message))
+    return F.coalesce(text.try_cast(type_name), F.raise_error(message))
 
 
 def instant(epoch_seconds: Column) -> Column:

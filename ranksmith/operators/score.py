@@ -11,7 +11,7 @@ no block grows with the number of ratings an id has.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, isqrt
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ SEGMENT = "segment"
 SOURCE_BLOCK = 256
 CANDIDATE_BLOCK = 16_384
 SCORES_PER_TASK = 20_000_000
-MAX_TASKS = 20_000
+MAX_TASKS = 100_000
 
 
 def _block(id_column: str, n_blocks: int) -> Column:
@@ -42,6 +42,20 @@ def _packed(rows: str, side: str) -> list[Column]:
     ]
 
 
+def _tiling(
+    tiles: int, n_sources: int, n_candidates: int, source_blocks: int, candidate_blocks: int
+) -> tuple[int, int]:
+    """How many source and candidate tiles make about ``tiles`` pairs for the least shuffling.
+
+    Sources are sent once per candidate tile and candidates once per source tile, so both
+    cost the same when the tile counts stand in the ratio of the table sizes.
+    """
+    balanced = round(sqrt(tiles * n_candidates / max(1, n_sources)))
+    candidate_tiles = min(candidate_blocks, tiles, max(1, balanced))
+    source_tiles = min(source_blocks, ceil(tiles / candidate_tiles))
+    return source_tiles, candidate_tiles
+
+
 def _best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
     """Keep the ``k`` best of every row: highest score first, then lowest id."""
     order = np.lexsort((ids, -scores, rows))
@@ -143,12 +157,11 @@ def best_candidates(
     tasks = min(MAX_TASKS, max(1, ceil(n_sources * n_candidates / SCORES_PER_TASK)))
     small = is_small(factor_bytes(n_candidates, rank), broadcast_bytes)
 
-    # One tile of candidates is one block, unless many blocks per task save shuffling.
     source_tiles, candidate_tiles = 1, candidate_blocks
     if not small:
-        source_tiles = min(source_blocks, isqrt(4 * tasks - 1) + 1)
-        if exclude is None:
-            candidate_tiles = min(candidate_blocks, ceil(4 * tasks / source_tiles))
+        source_tiles, candidate_tiles = _tiling(
+            4 * tasks, n_sources, n_candidates, source_blocks, candidate_blocks
+        )
 
     # Explicit partition counts: the work per row is heavy, so partitions must not be
     # merged for being small in bytes.
@@ -167,7 +180,7 @@ def best_candidates(
             exclude.select(F.col(SOURCE).cast("int"), F.col(CANDIDATE).cast("int"))
             .distinct()
             .withColumn("source_block", _block(SOURCE, source_blocks))
-            .withColumn("candidate_tile", _block(CANDIDATE, candidate_blocks))
+            .withColumn("candidate_tile", F.pmod(_block(CANDIDATE, candidate_blocks), F.lit(candidate_tiles)))
             .groupBy(*blocks)
             .agg(F.collect_list(F.struct(SOURCE, CANDIDATE)).alias("seen"))
             .select(

@@ -164,6 +164,69 @@ ORACLES["rmse_constant_by_type"] = _with(RATINGS, CATALOG) + """
 SELECT "Type", count(*) AS n_rows, round(sqrt(avg((rating - 5) * (rating - 5))), 6) AS rmse
 FROM ratings JOIN catalog ON item_id = "ID" GROUP BY "Type" """
 
+GIVEN = """users AS (
+  SELECT c_custkey AS user_id, 1 + c_custkey % 5 AS u0, c_nationkey % 7 AS u1, (c_custkey // 3) % 4 AS u2
+  FROM customer WHERE c_mktsegment <> 'BUILDING'),
+items AS (
+  SELECT p_partkey AS item_id, p_type AS "Type", p_size % 10 AS v0, 1 + p_partkey % 6 AS v1,
+         3 - p_partkey % 4 AS v2
+  FROM part)"""
+
+ALL_SCORES = """scores AS (
+  SELECT user_id, item_id, "Type", CAST(u0 * v0 + u1 * v1 + u2 * v2 AS DOUBLE) AS score
+  FROM users CROSS JOIN items)"""
+
+
+def _ranked(owner: str, other: str, k: int, rows: str = "scores", columns: str | None = None) -> str:
+    return f"""SELECT {columns or f"{owner}, rank, {other}, score"} FROM (
+  SELECT *, row_number() OVER (PARTITION BY {owner} ORDER BY score DESC, {other}) AS rank FROM {rows})
+WHERE rank <= {k}"""
+
+
+_TYPED_SCORES = f"""typed AS (SELECT * FROM scores WHERE "Type" IN ({TYPE_LIST}))"""
+_TYPED_COLUMNS = 'user_id, "Type", rank, item_id, score'
+
+ORACLES["scored_items_per_user"] = _with(GIVEN, ALL_SCORES) + _ranked("user_id", "item_id", 10)
+ORACLES["scored_users_per_item"] = _with(GIVEN, ALL_SCORES) + _ranked("item_id", "user_id", 10)
+ORACLES["scored_items_of_members"] = _with(GIVEN, ALL_SCORES) + _ranked(
+    "user_id",
+    "item_id",
+    5,
+    "scores WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)",
+)
+ORACLES["scored_items_by_type"] = _with(GIVEN, ALL_SCORES, _TYPED_SCORES) + _ranked(
+    'user_id, "Type"', "item_id", 5, "typed", _TYPED_COLUMNS
+)
+ORACLES["scored_unseen_by_type"] = _with(RATINGS, GIVEN, ALL_SCORES, _TYPED_SCORES) + _ranked(
+    'user_id, "Type"',
+    "item_id",
+    5,
+    "typed ANTI JOIN ratings USING (user_id, item_id)",
+    _TYPED_COLUMNS,
+)
+ORACLES["scored_candidates_by_type"] = (
+    _with(
+        GIVEN,
+        ALL_SCORES,
+        "long AS (" + _ranked("user_id", "item_id", 100, columns='user_id, item_id, "Type", score') + ")",
+    )
+    + _ranked('user_id, "Type"', "item_id", 5, f'long WHERE "Type" IN ({TYPE_LIST})', _TYPED_COLUMNS)
+)
+
+ORACLES["predicted_ratings"] = _with(RATINGS, GIVEN) + """
+SELECT user_id, item_id, rating, CAST(u0 * v0 + u1 * v1 + u2 * v2 AS DOUBLE) AS prediction
+FROM ratings JOIN users USING (user_id) JOIN items USING (item_id)"""
+
+ORACLES["predicted_holdout"] = _with(RATINGS, GIVEN) + """
+SELECT count(*) AS n_test, count(prediction) AS n_scored, count(*) - count(prediction) AS n_dropped,
+       round(sqrt(avg((rating - prediction) * (rating - prediction))), 6) AS rmse
+FROM (SELECT rating, u0 * v0 + u1 * v1 + u2 * v2 AS prediction
+      FROM ratings LEFT JOIN users USING (user_id) LEFT JOIN items USING (item_id))"""
+
+ORACLES["solved_users"] = _with(RATINGS, GIVEN) + """
+SELECT user_id, CAST(CAST(sum(rating * v1) / (sum(v1 * v1) + 0.1::DOUBLE * count(*)) AS REAL) AS DOUBLE) AS factor
+FROM ratings JOIN items USING (item_id) GROUP BY user_id"""
+
 ORACLES["als_user_topk_shape"] = _with(RATINGS) + f"""
 SELECT DISTINCT user_id, {_listed(f"least(100, {ITEM_COUNT})")} FROM ratings WHERE user_id = {t.TARGET}"""
 

@@ -14,6 +14,7 @@ from ranksmith.operators import (
     GLOBAL,
     SEGMENT,
     AlsParams,
+    FactorModel,
     als_estimator,
     as_arrays,
     catalog_items,
@@ -42,7 +43,7 @@ from ranksmith.operators import (
     with_media,
     with_titles,
 )
-from ranksmith.operators.sums import normal_equations, pair_sums
+from ranksmith.operators.sums import normal_equations, pair_sums, salted, solve_side
 from ranksmith.plans import global_lists, segment_lists, titled_lists
 from ranksmith.sinks import write_lists
 from ranksmith.sources import (
@@ -316,6 +317,88 @@ def rmse_constant_by_type(spark, sf):
     return rmse(guess, TYPE).withColumn("rmse", F.round("rmse", 6))
 
 
+# Scoring and solving with factors made from the tables' own columns. Whole numbers in
+# floats make every score exact, and plenty of ties, so SQL has the same answer.
+
+
+def _given_users(spark, sf) -> DataFrame:
+    key = F.col("c_custkey")
+    features = F.array(1 + key % 5, F.col("c_nationkey") % 7, F.floor(key / 3) % 4)
+    known = t.table(spark, sf, "customer").where(F.col("c_mktsegment") != "BUILDING")
+    return known.select(key.cast("int").alias("id"), features.cast("array<float>").alias("features"))
+
+
+def _given_items(spark, sf) -> DataFrame:
+    key = F.col("p_partkey")
+    features = F.array(F.col("p_size") % 10, 1 + key % 6, 3 - key % 4)
+    return t.table(spark, sf, "part").select(
+        key.cast("int").alias("id"), features.cast("array<float>").alias("features")
+    )
+
+
+def _given_model(spark, sf) -> FactorModel:
+    users, items = _given_users(spark, sf), _given_items(spark, sf)
+    return FactorModel(users, items, 3, users.count(), items.count(), AlsParams(rank=3))
+
+
+@query
+def scored_items_per_user(spark, sf):
+    return top_items(_given_model(spark, sf), 10)
+
+
+@query
+def scored_users_per_item(spark, sf):
+    return top_users(_given_model(spark, sf), 10)
+
+
+@query
+def scored_items_of_members(spark, sf):
+    """The users wanted come from a table; half of the customers have no factors."""
+    rich = t.table(spark, sf, "customer").where(F.col("c_acctbal") > 5000)
+    return top_items(_given_model(spark, sf), 5, rich.select(F.col("c_custkey").alias(USER)))
+
+
+@query
+def scored_items_by_type(spark, sf):
+    return top_items_by_type(_given_model(spark, sf), t.catalog(spark, sf), t.TYPES, 5)
+
+
+@query
+def scored_unseen_by_type(spark, sf):
+    return top_items_by_type(
+        _given_model(spark, sf), t.catalog(spark, sf), t.TYPES, 5, exclude_seen=t.triples(spark, sf)
+    )
+
+
+@query
+def scored_candidates_by_type(spark, sf):
+    return top_items_by_type(
+        _given_model(spark, sf), t.catalog(spark, sf), t.TYPES, 5, candidate_k=100
+    )
+
+
+@query
+def predicted_ratings(spark, sf):
+    return predict(_given_model(spark, sf), t.triples(spark, sf))
+
+
+@query
+def predicted_holdout(spark, sf):
+    report = coldstart_report(_given_model(spark, sf), t.triples(spark, sf))
+    return report.withColumn("rmse", F.round("rmse", 6))
+
+
+@query
+def solved_users(spark, sf):
+    """One half step of training with a single factor per item."""
+    items = _given_items(spark, sf).withColumn("features", F.slice("features", 2, 1))
+    pairs = salted(pair_sums(t.triples(spark, sf)), USER, ITEM)
+    equations = normal_equations(pairs, USER, ITEM, items, 1, items.count())
+    return solve_side(equations, 1, GLOBAL.reg).select(
+        F.col("id").alias(USER), F.col("features")[0].alias("factor")
+    )
+
+
 # Models. Factors depend on random starts, so these return what any right model must satisfy.
 
 
