@@ -66,11 +66,35 @@ def _best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
     return rows[keep], ids[keep], scores[keep]
 
 
-def _block_scores(sources, candidates, source_ids, candidate_ids, seen, k):
-    """Rows, candidate ids and scores worth keeping from one pair of blocks."""
-    # Products of 32-bit factors are exact in 64 bits, so rounding the sum back to 32
-    # gives the same score however blocks are cut.
-    scores = (sources.astype(np.float64) @ candidates.astype(np.float64).T).astype(np.float32)
+def _held_floor(held, n_rows: int, k: int) -> np.ndarray:
+    """Per row, the ``k``-th best score found so far, or minus infinity."""
+    rows, _, scores = held
+    counts = np.bincount(rows, minlength=n_rows)
+    floor = np.full(n_rows, -np.inf, np.float32)
+    full = counts >= k
+    floor[full] = scores[np.cumsum(counts)[full] - 1]
+    return floor
+
+
+def _group_floor(scores: np.ndarray, k: int) -> np.ndarray:
+    """Per row, a score that at least ``k`` columns reach: the ``k``-th best of group maxima."""
+    n = scores.shape[1]
+    if n <= k:
+        return np.full(scores.shape[0], -np.inf, np.float32)
+    width = max(1, n // (8 * k))
+    groups = n // width
+    maxima = scores[:, : groups * width].reshape(-1, groups, width).max(axis=2)
+    return np.partition(maxima, groups - k, axis=1)[:, groups - k]
+
+
+def _block_scores(sources, candidates, source_ids, candidate_ids, seen, held, k):
+    """Rows, candidate ids and scores that may be among the ``k`` best, from one pair of blocks.
+
+    A product in single precision only picks who may qualify; its rounding error is
+    allowed for. The few picked are scored again in double precision and rounded
+    back, which gives the same score however blocks are cut.
+    """
+    rough = sources @ candidates.T
     if seen is not None:
         by_source, by_candidate = np.argsort(source_ids), np.argsort(candidate_ids)
         seen_sources, seen_candidates = seen
@@ -79,14 +103,21 @@ def _block_scores(sources, candidates, source_ids, candidate_ids, seen, k):
             np.searchsorted(candidate_ids, seen_candidates, sorter=by_candidate).clip(max=candidate_ids.size - 1)
         ]
         present = (source_ids[r] == seen_sources) & (candidate_ids[c] == seen_candidates)
-        scores[r[present], c[present]] = -np.inf
-    if scores.shape[1] > k:
-        cut = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-        chosen = (scores >= cut) & (scores > -np.inf)
-    else:
-        chosen = scores > -np.inf
-    rows, columns = np.nonzero(chosen)
-    return _best(rows, candidate_ids[columns], scores[rows, columns], k)
+        rough[r[present], c[present]] = -np.inf
+    floor = _group_floor(rough, k) if held is None else _held_floor(held, sources.shape[0], k)
+    if held is not None and not np.isfinite(floor).all():
+        floor = np.maximum(floor, _group_floor(rough, k))
+    lengths = np.linalg.norm(sources, axis=1) * np.linalg.norm(candidates, axis=1).max()
+    error = lengths * ((sources.shape[1] + 2) * 2.0**-23)
+    # One step further down, as rounding must not raise the floor; and a finite one, as
+    # excluded candidates must stay below it.
+    floor = np.nextafter((floor - 2 * error).astype(np.float32), np.float32(-np.inf))
+    floor = np.maximum(floor, np.finfo(np.float32).min)
+    rows, columns = np.divmod(np.flatnonzero(rough >= floor[:, None]), rough.shape[1])
+    exact = np.einsum(
+        "ij,ij->i", sources[rows].astype(np.float64), candidates[columns].astype(np.float64)
+    ).astype(np.float32)
+    return _best(rows, candidate_ids[columns], exact, k)
 
 
 def _scorer(k: int, rank: int, segmented: bool, excluding: bool):
@@ -120,9 +151,10 @@ def _scorer(k: int, rank: int, segmented: bool, excluding: bool):
                 if excluding and batch.column("seen_sources")[i].is_valid:
                     seen = array(batch, "seen_sources", i), array(batch, "seen_candidates", i)
                 segment = batch.column(SEGMENT)[i].as_py() if segmented else None
-                new = _block_scores(sources, candidates, source_ids, candidate_ids, seen, k)
-                if segment in held:
-                    new = _best(*[np.concatenate(part) for part in zip(held[segment], new)], k)
+                known = held.get(segment)
+                new = _block_scores(sources, candidates, source_ids, candidate_ids, seen, known, k)
+                if known is not None:
+                    new = _best(*[np.concatenate(part) for part in zip(known, new)], k)
                 held[segment] = new
         if held:
             yield from finished(source_ids, held)
