@@ -1,6 +1,6 @@
 """Best candidates per source id from two factor tables.
 
-Scores are computed block by block: factors of up to a few hundred sources
+Scores are computed block by block: factors of up to a thousand sources
 and a few thousand candidates meet as two matrices, and only the best ``k`` per
 source leave the task. No row per pair is ever made.
 
@@ -24,9 +24,12 @@ SOURCE = "source_id"
 CANDIDATE = "candidate_id"
 SEGMENT = "segment"
 
-SOURCE_BLOCK = 256
-CANDIDATE_BLOCK = 16_384
-SCORES_PER_TASK = 20_000_000
+# Most ids per block, and scores per task: about a second's work, or less where
+# that would leave cores idle.
+SOURCE_BLOCK = 1_024
+CANDIDATE_BLOCK = 4_096
+SCORES_PER_TASK = 100_000_000
+MIN_SCORES_PER_TASK = 5_000_000
 MAX_TASKS = 100_000
 
 
@@ -184,9 +187,12 @@ def best_candidates(
     candidates in a shuffled join with as many tasks as the work asks for.
     """
     segmented = SEGMENT in candidates.columns
-    source_blocks = max(1, ceil(n_sources / SOURCE_BLOCK))
+    scores, cores = n_sources * n_candidates, sources.sparkSession.sparkContext.defaultParallelism
+    tasks = max(ceil(scores / SCORES_PER_TASK), min(cores, ceil(scores / MIN_SCORES_PER_TASK)))
+    tasks = min(MAX_TASKS, max(1, tasks))
+    # Equal numbers of blocks for every task.
+    source_blocks = tasks * max(1, ceil(n_sources / tasks / SOURCE_BLOCK))
     candidate_blocks = max(1, ceil(n_candidates / CANDIDATE_BLOCK))
-    tasks = min(MAX_TASKS, max(1, ceil(n_sources * n_candidates / SCORES_PER_TASK)))
     small = is_small(factor_bytes(n_candidates, rank), broadcast_bytes)
 
     source_tiles, candidate_tiles = 1, candidate_blocks
@@ -199,8 +205,9 @@ def best_candidates(
     # merged for being small in bytes.
     left = (
         sources.select("id", "features", _block("id", source_blocks).alias("source_block"))
-        .repartition(min(tasks, source_blocks), "source_block")
-        .groupBy("source_block")
+        .withColumn("task", F.col("source_block") % tasks)
+        .repartitionById(tasks, F.col("task"))
+        .groupBy("task", "source_block")
         .agg(F.collect_list(F.struct("id", "features")).alias("rows"))
         .select("source_block", *_packed("rows", "source"))
         .withColumn("source_tile", F.pmod("source_block", F.lit(source_tiles)))

@@ -43,6 +43,7 @@ def cut(request, monkeypatch):
     monkeypatch.setattr(score, "SOURCE_BLOCK", 7)
     monkeypatch.setattr(score, "CANDIDATE_BLOCK", 5)
     monkeypatch.setattr(score, "SCORES_PER_TASK", 300)
+    monkeypatch.setattr(score, "MIN_SCORES_PER_TASK", 20)
     if request.param == "tiles":
         monkeypatch.setattr(sizes, "BROADCAST_BYTES", 0)
     if request.param == "one tile per block":
