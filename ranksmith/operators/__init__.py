@@ -2,6 +2,7 @@
 
 from ranksmith.operators.enrich import (
     markup_cells,
+    output_columns,
     text_cells,
     with_lookup_title,
     with_media,
@@ -56,6 +57,7 @@ __all__ = [
     "markup_cells",
     "merge_ratings",
     "of_type",
+    "output_columns",
     "predict",
     "profile_ratings",
     "random_split",

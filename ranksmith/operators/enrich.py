@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ranksmith.columns import CATALOG_ID, ITEM
+from ranksmith.columns import CATALOG_ID, ITEM, RANK, TYPE, USER
 from ranksmith.functions.cells import (
     AUTOPLAY_SUFFIX,
     image_cell,
@@ -55,6 +55,13 @@ def markup_cells(lists: DataFrame) -> DataFrame:
     return _cells(lists, image_cell, trailer_cell)
 
 
+def output_columns(lists: DataFrame, titles: Sequence[str] = ("Name", "Japanese name")) -> DataFrame:
+    """A finished list's columns in their usual order, with user and rank in front."""
+    named = lists.withColumnRenamed(ITEM, CATALOG_ID)
+    names = [USER, RANK, CATALOG_ID, *titles, TYPE, "Image", "Trailer"]
+    return named.select(*[F.col(f"`{c}`") for c in names])
+
+
 def _cells(lists: DataFrame, image, trailer) -> DataFrame:
     return lists.withColumns(
         {"Image": image(F.col("image_url")), "Trailer": trailer(F.col("trailer_url"))}

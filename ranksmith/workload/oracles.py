@@ -148,12 +148,20 @@ ORACLES["epoch_instant"] = _with(RATINGS) + """
 SELECT user_id, item_id, ts, strftime(make_timestamp(ts * 1000000), '%Y-%m-%d %H:%M:%S') AS instant
 FROM ratings"""
 
-ORACLES["list_sink_round_trip"] = _with(RATINGS, CATALOG, MEDIA, SCORED, RANKED) + f"""
-SELECT r.item_id, user_id, rank, score, c."Name", c."{t.ALT_TITLE}", {IMAGE_CELL} AS "Image",
-       {TRAILER_CELL} AS "Trailer", r."Type"
-FROM ranked r LEFT JOIN catalog c ON r.item_id = c."ID" LEFT JOIN media m ON r.item_id = m.item_id
+
+def _finished(image: str, trailer: str) -> str:
+    return _with(RATINGS, CATALOG, MEDIA, SCORED, RANKED) + f"""
+SELECT user_id, rank, "ID", c."Name", c."{t.ALT_TITLE}", r."Type",
+       {image} AS "Image", {trailer} AS "Trailer"
+FROM ranked r JOIN catalog c ON r.item_id = c."ID" LEFT JOIN media m ON r.item_id = m.item_id
 WHERE rank <= 5"""
 
+
+ORACLES["text_list_sink"] = _finished(
+    f"coalesce(image_url, '{MISSING_TEXT}')", f"coalesce(trailer_url, '{MISSING_TEXT}')"
+)
+ORACLES["markup_list_sink"] = _finished(IMAGE_CELL, TRAILER_CELL)
+
 ORACLES["split_rows"] = _with(RATINGS) + f"""
 SELECT user_id, item_id, rating, {IN_TRAINING} AS in_training FROM ratings"""
 

@@ -29,6 +29,7 @@ from ranksmith.operators import (
     markup_cells,
     merge_ratings,
     of_type,
+    output_columns,
     predict,
     profile_ratings,
     resolve_duplicates,
@@ -285,16 +286,29 @@ def epoch_instant(spark, sf):
     )
 
 
+def _finished_lists(spark, sf, cells) -> DataFrame:
+    lists = with_titles(first_per_list(_scored(spark, sf), 5), t.catalog(spark, sf), t.TITLES)
+    return output_columns(cells(with_media(lists, t.media(spark, sf), t.URL_SUFFIX)), t.TITLES)
+
+
+_FINISHED = (
+    f"{USER} int, {RANK} int, ID int, Name string, `{t.ALT_TITLE}` string, "
+    f"Image string, Trailer string, {TYPE} string"
+)
+
+
 @query
-def list_sink_round_trip(spark, sf):
+def text_list_sink(spark, sf):
     path = scratch_path(spark, "lists")
-    lists = with_titles(first_per_list(_scored(spark, sf), 5), t.catalog(spark, sf), t.TITLES)
-    write_lists(markup_cells(with_media(lists, t.media(spark, sf), t.URL_SUFFIX)), path)
-    schema = (
-        f"{ITEM} int, {USER} int, {RANK} int, {SCORE} double, Name string, "
-        f"`{t.ALT_TITLE}` string, Image string, Trailer string, Type string"
-    )
-    return spark.read.schema(schema).csv(path, header=True, escape='"', encoding="UTF-8")
+    write_lists(_finished_lists(spark, sf, text_cells), path)
+    return spark.read.schema(_FINISHED).csv(path, header=True, escape='"', encoding="UTF-8")
+
+
+@query
+def markup_list_sink(spark, sf):
+    path = scratch_path(spark, "lists")
+    write_lists(_finished_lists(spark, sf, markup_cells), path, fmt="json")
+    return spark.read.schema(_FINISHED).json(path)
 
 
 # Split and evaluation

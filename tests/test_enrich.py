@@ -3,6 +3,7 @@ import pytest
 from ranksmith.functions import instant, strip_literal
 from ranksmith.operators import (
     markup_cells,
+    output_columns,
     text_cells,
     with_lookup_title,
     with_media,
@@ -71,6 +72,29 @@ def test_suffix_is_plain_text(spark):
     assert found == ["b", "aab", "ab", None]
 
 
+def test_output_columns(lists, named, media):
+    finished = output_columns(text_cells(with_media(with_titles(lists, named), media)))
+    assert finished.columns == [
+        "user_id", "rank", "ID", "Name", "Japanese name", "Type", "Image", "Trailer"
+    ]
+    first = finished.where("ID = 10").first()
+    assert tuple(first) == (1, 1, 10, 'The "Ten", again', "十", "TV", "http://i/10.jpg", "http://t/10")
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Tokyo"])
+def test_instant_does_not_depend_on_the_session_zone(spark, zone):
+    from ranksmith.workload.queries import QUERIES
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        found = [sorted(map(tuple, QUERIES["epoch_instant"](spark, "/root/testdata/sf0.001").collect()))]
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        found.append(sorted(map(tuple, QUERIES["epoch_instant"](spark, "/root/testdata/sf0.001").collect())))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert found[0] == found[1]
+
+
 def test_epoch_seconds(spark):
     found = spark.createDataFrame([(0,), (1260759144,)], "s bigint").select(
         instant(F.col("s")).cast("string")

@@ -118,17 +118,17 @@ def test_salting_splits_hot_ids_and_no_others(spark):
 
 @pytest.mark.parametrize("limit", [None, 0], ids=["broadcast", "shuffled"])
 def test_fit_by_sums_is_a_proper_fit(ratings, model, limit):
-    users, items = fit_by_sums(ratings, 4, 3, 0.1, 42, 60, 40, max_rows=5, broadcast_bytes=limit)
+    users, items = fit_by_sums(ratings, 4, 2, 0.1, 42, 60, 40, max_rows=5, broadcast_bytes=limit)
     assert worst_gap(ratings, vectors(users), vectors(items), 0.1) < 1e-3
-    alone, _ = fit_by_sums(ratings.repartition(1), 4, 3, 0.1, 42, 60, 40)
+    alone, _ = fit_by_sums(ratings.repartition(1), 4, 2, 0.1, 42, 60, 40)
     other = vectors(alone)
     assert max(np.abs(other[u] - v).max() for u, v in vectors(users).items()) < 1e-3
 
 
-def test_both_solvers_reach_similar_errors(ratings, model):
-    by_sums = fit_als(ratings, GLOBAL, solver="sums")
-    errors = [rmse(predict(m, ratings)).first()["rmse"] for m in (model, by_sums)]
-    assert abs(errors[0] - errors[1]) < 0.1 * errors[0]
+def test_both_solvers_reach_similar_errors(ratings):
+    fits = [fit_als(ratings, AlsParams(max_iter=4), solver=s) for s in ("blocks", "sums")]
+    errors = [rmse(predict(m, ratings)).first()["rmse"] for m in fits]
+    assert abs(errors[0] - errors[1]) < 0.2 * errors[0]
 
 
 def test_duplicates_count_each(spark):

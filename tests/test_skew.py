@@ -49,7 +49,7 @@ def test_profile_sees_it(table):
 @pytest.mark.parametrize("limit", [None, 0], ids=["broadcast", "shuffled"])
 def test_salted_solver_gives_the_unsalted_factors(table, limit):
     found = profile_ratings(table)
-    args = (table, 3, 2, 0.1, 42, found.n_users, found.n_items)
+    args = (table, 3, 1, 0.1, 42, found.n_users, found.n_items)
     plain, _ = fit_by_sums(*args)
     salted, _ = fit_by_sums(*args, max_rows=500, broadcast_bytes=limit)
     both = plain.alias("a").join(salted.alias("b"), "id")
