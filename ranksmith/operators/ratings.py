@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from numbers import Integral
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -33,14 +34,17 @@ def of_type(table: DataFrame, wanted: str) -> DataFrame:
     return table.where(F.col(TYPE) == wanted)
 
 
+def id_list(ids: int | Iterable[int]) -> list[int]:
+    """One id or several, as a list without repeats."""
+    return [int(ids)] if isinstance(ids, Integral) else list(dict.fromkeys(map(int, ids)))
+
+
 def rows_of(table: DataFrame, column: str, ids: int | Iterable[int] | DataFrame) -> DataFrame:
     """Rows whose ``column`` is one of ``ids``: one id, a few ids, or a table with that column."""
     if isinstance(ids, DataFrame):
         keys = ids.select(F.col(ids.columns[0] if len(ids.columns) == 1 else column).alias(column))
         return table.join(keys, column, "left_semi")
-    if isinstance(ids, int):
-        return table.where(F.col(column) == ids)
-    return table.where(F.col(column).isin(list(ids)))
+    return table.where(F.col(column).isin(id_list(ids)))
 
 
 def target_users(ratings: DataFrame, users: int | Iterable[int] | DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ranksmith.columns import CATALOG_ID, ITEM, RANK, SCORE, TYPE, USER
 from ranksmith.operators.model import FactorModel
-from ranksmith.operators.ratings import rows_of
+from ranksmith.operators.ratings import id_list, rows_of, target_users
 from ranksmith.operators.score import CANDIDATE, SEGMENT, SOURCE, best_candidates
+from ranksmith.storage import written
 
 Ids = int | Iterable[int] | DataFrame | None
 
@@ -23,16 +24,25 @@ def _chosen(factors: DataFrame, n_factors: int, ids: Ids, column: str) -> tuple[
         return factors, n_factors
     if isinstance(ids, DataFrame):
         keys = ids.select(F.col(column).alias("id"))
-        chosen = factors.join(keys, "id", "left_semi")
+        # Counted and read again: a copy saves the second join.
+        chosen = written(factors.join(keys, "id", "left_semi"), "targets")
         return chosen, chosen.count()
-    wanted = [ids] if isinstance(ids, int) else list(dict.fromkeys(ids))
+    wanted = id_list(ids)
     return rows_of(factors, "id", wanted), len(wanted)
 
 
-def _pairs(ratings: DataFrame | None, source: str, candidate: str) -> DataFrame | None:
+def _reusable(ids: Ids) -> Ids:
+    """Ids that may be gone through more than once."""
+    return ids if ids is None or isinstance(ids, DataFrame) else id_list(ids)
+
+
+def _seen(ratings: DataFrame | None, users: Ids) -> DataFrame | None:
+    """The pairs to leave out; named users are looked up in the scan."""
     if ratings is None:
         return None
-    return ratings.select(F.col(source).alias(SOURCE), F.col(candidate).alias(CANDIDATE))
+    if users is not None and not isinstance(users, DataFrame):
+        ratings = target_users(ratings, users)
+    return ratings.select(F.col(USER).alias(SOURCE), F.col(ITEM).alias(CANDIDATE))
 
 
 def top_items(
@@ -42,6 +52,7 @@ def top_items(
 
     Rated items stay in the lists unless ``exclude_seen`` names the ratings to leave out.
     """
+    users = _reusable(users)
     sources, n_sources = _chosen(model.user_factors, model.n_users, users, USER)
     found = best_candidates(
         sources,
@@ -50,7 +61,7 @@ def top_items(
         model.rank,
         n_sources,
         model.n_items,
-        exclude=_pairs(exclude_seen, USER, ITEM),
+        exclude=_seen(exclude_seen, users),
     )
     return found.withColumnsRenamed({SOURCE: USER, CANDIDATE: ITEM})
 
@@ -84,6 +95,7 @@ def top_items_by_type(
         long_list = top_items(model, candidate_k, users, exclude_seen).drop(RANK)
         typed = long_list.join(wanted.withColumnRenamed("id", ITEM), ITEM)
         return first_per_list(typed, n)
+    users = _reusable(users)
     sources, n_sources = _chosen(model.user_factors, model.n_users, users, USER)
     candidates = model.item_factors.join(wanted, "id").withColumnRenamed(TYPE, SEGMENT)
     found = best_candidates(
@@ -93,7 +105,7 @@ def top_items_by_type(
         model.rank,
         n_sources,
         model.n_items,
-        exclude=_pairs(exclude_seen, USER, ITEM),
+        exclude=_seen(exclude_seen, users),
     )
     return found.withColumnsRenamed({SOURCE: USER, CANDIDATE: ITEM, SEGMENT: TYPE})
 

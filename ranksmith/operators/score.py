@@ -32,6 +32,9 @@ SCORES_PER_TASK = 100_000_000
 MIN_SCORES_PER_TASK = 5_000_000
 MAX_TASKS = 100_000
 
+# Rough size of one id in a broadcast list.
+ID_BYTES = 16
+
 
 def _block(id_column: str, n_blocks: int) -> Column:
     return F.pmod(F.xxhash64(F.col(id_column).cast("int")), F.lit(n_blocks)).cast("int")
@@ -215,9 +218,13 @@ def best_candidates(
     )
     if exclude is not None:
         blocks = ["source_block", "candidate_tile"]
+        exclude = exclude.select(F.col(SOURCE).cast("int"), F.col(CANDIDATE).cast("int"))
+        # Few sources make few blocks, and the pairs of all other ids would pile up in them.
+        if is_small(ID_BYTES * n_sources):
+            wanted = sources.select(F.col("id").alias(SOURCE))
+            exclude = exclude.join(F.broadcast(wanted), SOURCE, "left_semi")
         seen = (
-            exclude.select(F.col(SOURCE).cast("int"), F.col(CANDIDATE).cast("int"))
-            .distinct()
+            exclude.distinct()
             .withColumn("source_block", _block(SOURCE, source_blocks))
             .withColumn("candidate_tile", F.pmod(_block(CANDIDATE, candidate_blocks), F.lit(candidate_tiles)))
             .groupBy(*blocks)

@@ -86,6 +86,18 @@ def test_rated_items_can_be_left_out_by_type(model, factors, ratings, catalog, c
     assert found == brute(users, factors[1], 4, lambda s, c: kinds[c] == "OVA" and (s, c) not in rated)
 
 
+def test_only_the_targets_pairs_are_gathered(model, ratings):
+    """One target makes one block; other users' ratings must not end up in it."""
+    for users in (3, np.int64(3), iter([3]), ratings.where("user_id = 3").select("user_id")):
+        lists_of = top_items(model, 4, users, exclude_seen=ratings)
+        plan = lists_of._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" in plan
+        assert lists_of.join(ratings, ["user_id", "item_id"], "left_semi").count() == 0
+    stranger = ratings.withColumn("user_id", F.col("user_id") + 1000)
+    both = ratings.unionByName(stranger)
+    assert sorted(map(tuple, top_items(model, 4, 3, both).collect())) == sorted(map(tuple, lists_of.collect()))
+
+
 def test_rated_items_stay_by_default(model, ratings):
     seen = top_items(model, 10).join(ratings, ["user_id", "item_id"], "left_semi")
     assert seen.count() > 0
