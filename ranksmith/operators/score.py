@@ -15,6 +15,7 @@ from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ranksmith.columns import RANK, SCORE
@@ -48,6 +49,32 @@ def _packed(rows: str, side: str) -> list[Column]:
     ]
 
 
+def _packer(segmented: bool):
+    """Blocks of candidates as they lie, one per batch of rows and segment."""
+
+    def row(part: pa.RecordBatch, segment: str | None) -> pa.RecordBatch:
+        columns = {SEGMENT: pa.array([segment], pa.string())} if segmented else {}
+        for name, values in (
+            ("candidate_ids", part.column("id")),
+            ("candidate_features", part.column("features").flatten()),
+        ):
+            columns[name] = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        columns["candidate_tile"] = pa.array([0], pa.int32())
+        return pa.RecordBatch.from_pydict(columns)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if not segmented:
+                yield row(batch, None)
+                continue
+            for segment in pc.unique(batch.column(SEGMENT)):
+                yield row(batch.filter(pc.equal(batch.column(SEGMENT), segment)), segment.as_py())
+
+    return pack
+
+
 def _tiling(
     tiles: int, n_sources: int, n_candidates: int, source_blocks: int, candidate_blocks: int
 ) -> tuple[int, int]:
@@ -183,10 +210,11 @@ def best_candidates(
     ``sources`` and ``candidates`` are ``id, features``; with a ``segment``
     column on the candidates the ``k`` best are found within every segment.
     ``exclude`` lists pairs ``source_id, candidate_id`` to leave out.
-    The counts need not be exact; they only size blocks and tasks.
+    The counts are upper bounds; they size blocks, tasks and broadcasts, not results.
 
-    Small candidate tables are broadcast and source blocks never move again.
-    Larger ones are cut into tiles, and every tile of sources meets every tile of
+    Small candidate tables are broadcast and source blocks never move again. If only
+    the sources are few, they are broadcast instead and the candidates never move.
+    Otherwise both are cut into tiles, and every tile of sources meets every tile of
     candidates in a shuffled join with as many tasks as the work asks for.
     """
     segmented = SEGMENT in candidates.columns
@@ -198,8 +226,11 @@ def best_candidates(
     candidate_blocks = max(1, ceil(n_candidates / CANDIDATE_BLOCK))
     small = is_small(factor_bytes(n_candidates, rank), broadcast_bytes)
 
+    few = not small and exclude is None and n_sources <= SOURCE_BLOCK
     source_tiles, candidate_tiles = 1, candidate_blocks
-    if not small:
+    if few:
+        tasks, source_blocks, candidate_tiles = 1, 1, 1
+    elif not small:
         source_tiles, candidate_tiles = _tiling(
             4 * tasks, n_sources, n_candidates, source_blocks, candidate_blocks
         )
@@ -237,31 +268,36 @@ def best_candidates(
         )
         left = left.repartition(tasks, *blocks).join(seen.repartition(tasks, *blocks), blocks, "left")
 
-    keys = [SEGMENT, "candidate_block"] if segmented else ["candidate_block"]
-    right = (
-        candidates.withColumn("candidate_block", _block("id", candidate_blocks))
-        .groupBy(*keys)
-        .agg(F.collect_list(F.struct("id", "features")).alias("rows"))
-        .select(*keys, *_packed("rows", "candidate"))
-        .withColumn("candidate_tile", F.pmod("candidate_block", F.lit(candidate_tiles)))
-    )
-    if small:
-        pairs = left.join(F.broadcast(right), "candidate_tile")
+    keys = [SEGMENT] if segmented else []
+    segment_field = f"{SEGMENT} string, " if segmented else ""
+    if few:
+        packed = f"{segment_field}candidate_ids array<int>, candidate_features array<float>, candidate_tile int"
+        right = candidates.select("id", "features", *keys).mapInArrow(_packer(segmented), packed)
+        pairs = right.join(F.broadcast(left), "candidate_tile")
     else:
-        tile = ["source_tile", "candidate_tile"]
-        right = right.withColumn("source_tile", F.explode(F.sequence(F.lit(0), F.lit(source_tiles - 1))))
-        pairs = left.repartition(tasks, *tile).join(right.repartition(tasks, *tile), tile)
+        right = (
+            candidates.withColumn("candidate_block", _block("id", candidate_blocks))
+            .groupBy(*keys, "candidate_block")
+            .agg(F.collect_list(F.struct("id", "features")).alias("rows"))
+            .select(*keys, "candidate_block", *_packed("rows", "candidate"))
+            .withColumn("candidate_tile", F.pmod("candidate_block", F.lit(candidate_tiles)))
+        )
+        if small:
+            pairs = left.join(F.broadcast(right), "candidate_tile")
+        else:
+            tile = ["source_tile", "candidate_tile"]
+            copies = F.explode(F.sequence(F.lit(0), F.lit(source_tiles - 1)))
+            right = right.withColumn("source_tile", copies)
+            pairs = left.repartition(tasks, *tile).join(right.repartition(tasks, *tile), tile)
 
     columns = ["source_block", "source_ids", "source_features", "candidate_ids", "candidate_features"]
-    if segmented:
-        columns.append(SEGMENT)
+    columns += keys
     if exclude is not None:
         columns += ["seen_sources", "seen_candidates"]
-    segment_field = f"{SEGMENT} string, " if segmented else ""
     schema = f"{SOURCE} int, {segment_field}{CANDIDATE} int, {SCORE} float"
     found = pairs.select(*columns).mapInArrow(_scorer(k, rank, segmented, exclude is not None), schema)
 
-    groups = [SOURCE, SEGMENT] if segmented else [SOURCE]
+    groups = [SOURCE, *keys]
     order = Window.partitionBy(*groups).orderBy(F.desc(SCORE), F.asc(CANDIDATE))
     return (
         found.withColumn(RANK, F.row_number().over(order))

@@ -35,11 +35,14 @@ def brute(sources, candidates, k, allowed=lambda s, c: True):
     return {s: entries for s, entries in found.items() if entries}
 
 
-@pytest.fixture(params=["one block", "many blocks", "tiles", "one tile per block"])
+@pytest.fixture(params=["one block", "many blocks", "tiles", "one tile per block", "few sources"])
 def cut(request, monkeypatch):
     """The ways the work can be cut; results must not depend on it."""
     if request.param == "one block":
         return
+    if request.param == "few sources":
+        monkeypatch.setattr(sizes, "BROADCAST_BYTES", 0)
+        return
     monkeypatch.setattr(score, "SOURCE_BLOCK", 7)
     monkeypatch.setattr(score, "CANDIDATE_BLOCK", 5)
     monkeypatch.setattr(score, "SCORES_PER_TASK", 300)
@@ -181,3 +184,6 @@ def test_no_row_per_pair_and_no_cross_join(model, catalog, monkeypatch):
         plan = top_items_by_type(model, catalog, ["TV"], 5)._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
         assert "WindowGroupLimit" in plan
+    monkeypatch.setattr(score, "SOURCE_BLOCK", 7)
+    plan = top_items(model, 5)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
