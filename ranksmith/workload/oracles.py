@@ -32,7 +32,7 @@ IN_TRAINING = f"(({_LINE}) * ({_LINE})) % {HASH_PRIME} < {round(0.8 * HASH_PRIME
 
 MERGED = f"""merged AS (
   SELECT user_id, item_id, rating FROM ratings UNION ALL
-  SELECT {t.TARGET_ALIAS}, item_id, rating FROM ratings WHERE user_id = {t.TARGET})"""
+  SELECT {t.TARGET_ALIAS}::BIGINT, item_id, rating FROM ratings WHERE user_id = {t.TARGET})"""
 
 SCORED = """scored AS (
   SELECT user_id, item_id, "Type", avg(rating) AS score
@@ -56,7 +56,7 @@ def _with(*parts: str) -> str:
 
 def _listed(n: str) -> str:
     """What every right list of length ``n`` looks like."""
-    return f"{n} AS n, 1 AS first_rank, {n} AS last_rank, {n} AS n_distinct, true AS ordered"
+    return f"{n} AS n, 1::BIGINT AS first_rank, {n} AS last_rank, {n} AS n_distinct, true AS ordered"
 
 
 ITEM_COUNT = "(SELECT count(DISTINCT item_id) FROM ratings)"
@@ -252,7 +252,7 @@ ORACLES["als_item_subset_shape"] = _with(RATINGS) + f"""
 SELECT DISTINCT item_id, {_listed(f"least(10, {USER_COUNT})")} FROM ratings ORDER BY item_id LIMIT 3"""
 
 ORACLES["als_unseen_shape"] = _with(RATINGS) + f"""
-SELECT user_id, 0 AS n_seen, {_listed(f"least(10, {ITEM_COUNT} - count(DISTINCT item_id))")}
+SELECT user_id, 0::BIGINT AS n_seen, {_listed(f"least(10, {ITEM_COUNT} - count(DISTINCT item_id))")}
 FROM ratings GROUP BY user_id"""
 
 _TYPE_SIZES = f"""sizes AS (
@@ -289,11 +289,11 @@ _TYPED_MERGED = f"""typed AS (
   FROM merged JOIN catalog ON item_id = "ID" WHERE "Type" IN ({TYPE_LIST}))"""
 
 ORACLES["global_lists_shape"] = _with(RATINGS, CATALOG, MERGED, _TYPED_MERGED) + f"""
-SELECT {t.TARGET_ALIAS} AS user_id, "Type", {_listed("least(5, count(DISTINCT item_id))")}
+SELECT {t.TARGET_ALIAS}::BIGINT AS user_id, "Type", {_listed("least(5, count(DISTINCT item_id))")}
 FROM typed WHERE in_training GROUP BY "Type" """
 
 ORACLES["segment_lists_shape"] = _with(RATINGS, CATALOG, MERGED, _TYPED_MERGED) + f"""
-SELECT {t.TARGET_ALIAS} AS user_id, "Type", {_listed("least(5, count(DISTINCT item_id))")}
+SELECT {t.TARGET_ALIAS}::BIGINT AS user_id, "Type", {_listed("least(5, count(DISTINCT item_id))")}
 FROM typed WHERE in_training GROUP BY "Type"
 HAVING count(*) FILTER (WHERE user_id = {t.TARGET_ALIAS}) > 0"""
 

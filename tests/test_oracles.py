@@ -37,6 +37,8 @@ def test_same_rows_as_sql(spark, duck, name):
     cursor = duck.execute(ORACLES[name])
     columns = [c[0] for c in cursor.description]
     assert sorted(found.columns) == sorted(columns)
+    kinds = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    assert {c: kinds[k] for c, k in found.dtypes} == {c[0]: str(c[1]) for c in cursor.description}
     ours = [tuple(plain(r[c]) for c in columns) for r in found.collect()]
     theirs = [tuple(map(plain, r)) for r in cursor.fetchall()]
     assert sorted(map(repr, ours)) == sorted(map(repr, theirs))
