@@ -6,13 +6,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from ranksmith.workload.oracles import ORACLES
+from ranksmith.workload.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
 ).split()
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +29,8 @@ def plain(value):
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+    assert set(QUERIES) <= set(entry_module.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
