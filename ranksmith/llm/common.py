@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 
+from ranksmith.storage import remove, scratch_path, written
+
 # Texts are handled in pieces of about this many bytes, so a worker's memory follows this and the longest text.
 SLICE_BYTES = 8 << 20
 
@@ -27,6 +29,23 @@ def worker_state() -> dict:
     return vars(sys.modules.setdefault("_ranksmith_worker", types.ModuleType("_ranksmith_worker")))
 
 
+class Copies:
+    """Copies of tables in the shared folder, for steps that follow each other; each is dropped when the next ones stand."""
+
+    def __init__(self, spark):
+        self.spark, self.paths = spark, {}
+
+    def __call__(self, table: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(self.spark, label)
+        copy = written(table, label, path=path)
+        self.paths[id(copy)] = (copy, path)
+        return copy
+
+    def drop(self, *copies: DataFrame) -> None:
+        for copy in copies:
+            remove(self.spark, self.paths.pop(id(copy))[1])
+
+
 def kept_columns(table: DataFrame, taken: Iterable[str], keep: Iterable[str] | None = None) -> list[str]:
     """The columns to pass on: ``keep`` or all, without those whose names the results take."""
     taken = {c.lower() for c in taken}

@@ -10,11 +10,14 @@ Bucket-pointer refinement, each round on the survivors of the one before, every
 1. Anchors are put into buckets by their q-gram. An anchor alone in its bucket is settled: nothing repeats there.
 2. Each bucket is refined by the identifier of all bytes that the anchor's windows reach (before and after it). Two
    anchors in one such bucket settle all their windows at once: they repeat.
-3. The rest is refined piece by piece: the windows of an anchor are cut into cells of 16 neighbouring starts. All windows of
-   a cell share a core; cells alone in their core's bucket are settled. One anchor of each bucket of step 2 takes part, as a witness.
-4. Buckets of equal cores are refined by the up to 15 bytes on either side, which gives the single windows.
+3. The rest is refined piece by piece: the windows of an anchor are cut into cells of 16 neighbouring starts, in buckets by the
+   core that all windows of a cell share. Cells alone in their bucket are settled. One anchor of each bucket of
+   step 2 takes part, as a witness.
+4. These buckets are refined as in step 2, by all bytes that a cell reaches, and the rest by single windows: the core with
+   the up to 15 bytes on either side that a window takes.
 
-All buckets are grouped counts, joined back to their members; no bucket is ever gathered in one task.
+All buckets are grouped counts, joined back to their members; no bucket is ever gathered in one task. Texts travel
+compressed to where they meet their anchors and spans.
 
 Defined cases: null and texts shorter than ``length`` keep all they have; a repeated row is a repeat like any other;
 matches never cross texts; texts of any length are read whole; an empty table gives an empty table.
@@ -25,9 +28,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ranksmith.llm.common import guarded, guarded_name, kept_columns, raw, slices
+from ranksmith.llm.common import Copies, guarded, guarded_name, kept_columns, raw, slices
 from ranksmith.storage import written
 
 LENGTH = 400
@@ -120,91 +124,130 @@ def find_anchors(table: DataFrame, text: str, length: int, gram: int) -> DataFra
     return table.select(text, "k1", "k2").mapInArrow(run, schema)
 
 
-def find_cells(met: DataFrame, text: str, length: int) -> DataFrame:
-    """Rows (c1, c2, left, right, k1, k2, start, low, high) for texts with ``parts``, their anchors to be refined.
+def packed(table: DataFrame, text: str) -> DataFrame:
+    """The rows with the text as a Zstandard frame in ``zipped``."""
+    passed = [c for c in table.columns if c != text]
+    schema = T.StructType([table.schema[c] for c in passed]).add("zipped", T.BinaryType())
 
-    The windows of a cell start at ``start - j`` for j from low to high; c1 and c2 stand for the core at ``start``.
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=3)
+        for piece in slices(batches, text, PIECE_BYTES):
+            frames = pa.array([press.compress(x) for x in raw(piece.column(text))], pa.binary())
+            yield pa.RecordBatch.from_arrays([piece.column(c) for c in passed] + [frames], names=schema.names)
+
+    return table.mapInArrow(run, schema)
+
+
+def unpacked(frames: pa.Array) -> list[bytes]:
+    press = zstandard.ZstdDecompressor()
+    return [press.decompress(x) for x in frames.to_pylist()]
+
+
+def find_cells(met: DataFrame, length: int) -> DataFrame:
+    """Rows (core, hull, left, right, k1, k2, start, low, high) for texts with ``parts``, their anchors to be refined.
+
+    The windows of a cell start at ``start - j`` for j from low to high. ``core`` stands for the bytes that all of them
+    share, ``left`` and ``right`` are the bytes around it that some of them take, and ``hull`` stands for all together.
     """
-    core, side = length - CELL + 1, CELL - 1
+    shared, side = length - CELL + 1, CELL - 1
 
     def run(batches):
         previous = None
-        for piece in slices(batches, text, PIECE_BYTES):
-            c1, c2, left, right, rows = [], [], [], [], []
+        for piece in slices(batches, "zipped", PIECE_BYTES):
+            core, hull, left, right, rows = [], [], [], [], []
             keys = zip(piece.column("k1").to_pylist(), piece.column("k2").to_pylist())
-            for key, value, parts in zip(keys, raw(piece.column(text)), piece.column("parts").to_pylist()):
+            for key, value, parts in zip(keys, unpacked(piece.column("zipped")), piece.column("parts").to_pylist()):
                 if key == previous:  # copies of one text stand together, and one of them is enough
                     continue
                 previous = key
                 for part in parts:
-                    a, low, high = part["a"], part["a"] - part["s2"], part["a"] - part["s1"]
-                    for d in range(low // CELL * CELL, high + 1, CELL):
-                        at = a - d
-                        number = xxhash.xxh3_128_intdigest(value[at : at + core])
-                        c1.append(signed(number >> 64))
-                        c2.append(signed(number & (1 << 64) - 1))
-                        left.append(value[max(0, at - side) : at])
-                        right.append(value[at + core : at + core + side])
-                        rows.append((*key, at, max(low - d, 0), min(high - d, CELL - 1)))
+                    a, least, most = part["a"], part["a"] - part["s2"], part["a"] - part["s1"]
+                    for d in range(least // CELL * CELL, most + 1, CELL):
+                        at, low, high = a - d, max(least - d, 0), min(most - d, side)
+                        begin, end = at - high, at + length - low
+                        core.append(signed(xxhash.xxh3_64_intdigest(value[at : at + shared])))
+                        hull.append(signed(xxhash.xxh3_64_intdigest(value[begin:end], CELL * low + high)))
+                        left.append(value[begin:at])
+                        right.append(value[at + shared : end])
+                        rows.append((*key, at, low, high))
             columns = list(zip(*rows)) or [()] * 5
-            arrays = [pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())]
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+            arrays = [pa.array(core, pa.int64()), pa.array(hull, pa.int64())]
+            arrays += [pa.array(x, pa.binary()) for x in (left, right)]
             arrays += [pa.array(x, k) for x, k in zip(columns, kinds)]
-            yield pa.RecordBatch.from_arrays(
-                arrays, names=["c1", "c2", "left", "right", "k1", "k2", "start", "low", "high"]
-            )
+            names = ["core", "hull", "left", "right", "k1", "k2", "start", "low", "high"]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    schema = "c1 bigint, c2 bigint, left binary, right binary, k1 bigint, k2 bigint, start int, low int, high int"
-    return met.select(text, "k1", "k2", "parts").mapInArrow(run, schema)
+    schema = "core bigint, hull bigint, left binary, right binary, k1 bigint, k2 bigint, start int, low int, high int"
+    return met.select("zipped", "k1", "k2", "parts").mapInArrow(run, schema)
 
 
-def several(table: DataFrame, keys: list[str], label: str) -> DataFrame:
+def several(table: DataFrame, keys: list[str]) -> DataFrame:
     """The keys that more than one row has."""
-    counted = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return written(counted.select(*keys), label)
+    return table.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
+
+
+def refined(copies: Copies, table: DataFrame, bucket: str, finer: str) -> DataFrame:
+    """The rows that share their ``bucket`` with another, and ``whole``: whether they share ``finer`` in it too."""
+    shared = copies(several(table, [bucket]), "shared")
+    members = copies(table.join(shared, bucket), "members")
+    equal = copies(several(members, [bucket, finer]), "equal")
+    marked = members.join(equal.withColumn("whole", F.lit(True)), [bucket, finer], "left")
+    marked = copies(marked.withColumn("whole", F.coalesce("whole", F.lit(False))), "marked")
+    copies.drop(shared, members, equal)
+    return marked
 
 
-def spans_of(rows: DataFrame, *more: DataFrame) -> DataFrame:
-    """All (begin, end) of each text, as one array."""
-    for other in more:
-        rows = rows.unionByName(other)
-    return rows.groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+def open_and_witnesses(marked: DataFrame, bucket: str, finer: str, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows not settled, and the settled rows of buckets that have some."""
+    return marked.where("not whole").drop("whole"), marked.where("whole").drop("whole").join(asked, bucket)
 
 
 def find_repeats(table: DataFrame, text: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(k1, k2, spans): for each text with repeated windows, byte spans that cover them all. ``table`` has k1 and k2."""
-    every = written(find_anchors(table, text, length, gram), "anchors")
-    shared = several(every, ["q"], "grams")
-    candidates = written(every.join(shared, "q"), "candidates")
-    whole = several(candidates, ["q", "hull"], "hulls")
-    marked = candidates.join(whole.withColumn("whole", F.lit(True)), ["q", "hull"], "left")
-    marked = written(marked.withColumn("whole", F.coalesce("whole", F.lit(False))), "marked")
+    copies = Copies(table.sparkSession)
+    every = copies(find_anchors(table, text, length, gram), "anchors")
+    marked = refined(copies, every, "q", "hull")
+    copies.drop(every)
     settled = marked.where("whole").selectExpr("k1", "k2", "s1 as begin", f"s2 + {length} as end")
 
-    open_ = marked.where("not whole").select("q", "hull", "k1", "k2", "a", "s1", "s2")
-    asked = written(open_.select("q").distinct(), "asked")
+    asked = copies(marked.where("not whole").select("q").distinct(), "asked")
+    rest, witnesses = open_and_witnesses(marked, "q", "hull", asked)
     member = F.min(F.struct("k1", "k2", "a", "s1", "s2")).alias("m")
-    witness = marked.where("whole").groupBy("q", "hull").agg(member).join(asked, "q").select("q", "hull", "m.*")
-    parts = open_.union(witness).groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "s1", "s2")).alias("parts"))
-    met = table.join(written(parts, "parts"), ["k1", "k2"])
-    cells = written(find_cells(met, text, length), "cells")
-    cores = several(cells, ["c1", "c2"], "cores")
-    near = cells.join(cores, ["c1", "c2"]).withColumn("j", F.explode(F.sequence("low", "high")))
-    windows = near.select(
-        "c1",
-        "c2",
-        "j",
-        F.expr("substring(left, length(left) - j + 1, j)").alias("left"),
-        F.expr(f"substring(right, 1, {CELL - 1} - j)").alias("right"),
+    one = witnesses.groupBy("q", "hull").agg(member).select("m.*")
+    parts = rest.select("k1", "k2", "a", "s1", "s2").union(one)
+    parts = copies(parts.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "s1", "s2")).alias("parts")), "parts")
+    cells = copies(find_cells(packed(table, text).join(parts, ["k1", "k2"]), length), "cells")
+    near = refined(copies, cells, "core", "hull")
+    copies.drop(asked, parts, cells)
+    whole_cells = near.where("whole").selectExpr("k1", "k2", "start - high as begin", f"start - low + {length} as end")
+
+    asked = copies(near.where("not whole").select("core").distinct(), "asked")
+    rest, witnesses = open_and_witnesses(near, "core", "hull", asked)
+    # Equal cells are equal in all but their place, and a witness, settled already, needs none.
+    one = witnesses.groupBy("core", "hull").agg(*[F.min(c).alias(c) for c in ("left", "right", "low", "high")])
+    one = one.withColumns({c: F.lit(None).cast(rest.schema[c].dataType) for c in ("k1", "k2", "start")})
+    singles = rest.unionByName(one).withColumn("j", F.explode(F.sequence("low", "high")))
+    string = [
+        F.col("core"),
+        F.col("j"),
+        F.expr("substring(left, length(left) - j + 1, j)"),
+        F.expr(f"substring(right, 1, {CELL - 1} - j)"),
+    ]
+    windows = singles.select(
+        F.xxhash64(*string).alias("w1"),
+        F.xxhash64(F.lit(1), *string).alias("w2"),
         "k1",
         "k2",
         (F.col("start") - F.col("j")).alias("begin"),
     )
-    windows = written(windows, "windows")
-    same = several(windows, ["c1", "c2", "j", "left", "right"], "same")
-    repeated = windows.join(same, ["c1", "c2", "j", "left", "right"])
-    repeated = repeated.selectExpr("k1", "k2", "begin", f"begin + {length} as end")
-    return written(spans_of(settled, repeated), "spans")
+    windows = copies(windows, "windows")
+    repeated = windows.join(copies(several(windows, ["w1", "w2"]), "same"), ["w1", "w2"])
+    repeated = repeated.where("begin is not null").selectExpr("k1", "k2", "begin", f"begin + {length} as end")
+    found = settled.union(whole_cells).union(repeated)
+    spans = written(found.groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "spans")
+    copies.drop(*[copy for copy, _ in list(copies.paths.values())])
+    return spans
 
 
 def united(spans: list[dict]) -> tuple[np.ndarray, np.ndarray]:
@@ -236,9 +279,9 @@ def remove_repeats(
         schema = schema.add(name, T.BinaryType() if name == "kept" else T.LongType())
 
     def run(batches):
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, "zipped"):
             rows = []
-            for data, found in zip(raw(piece.column("text")), piece.column("spans").to_pylist()):
+            for data, found in zip(unpacked(piece.column("zipped")), piece.column("spans").to_pylist()):
                 begin, end = united(found or [])
                 cuts = np.concatenate(([0], np.stack((begin, end), axis=1).ravel(), [len(data)])).tolist()
                 kept = b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2])) if len(begin) else data
@@ -247,5 +290,5 @@ def remove_repeats(
             arrays = [pa.array(x, k) for x, k in zip(zip(*rows), kinds)]
             yield pa.RecordBatch.from_arrays([piece.column(c) for c in names.values()] + arrays, names=schema.names)
 
-    met = table.join(spans, ["k1", "k2"], "left").select(*names.values(), "text", "spans")
+    met = packed(table, "text").join(spans, ["k1", "k2"], "left").select(*names.values(), "zipped", "spans")
     return met.mapInArrow(run, schema).toDF(*names, *results)
