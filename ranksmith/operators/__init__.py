@@ -32,6 +32,7 @@ from ranksmith.operators.recommend import (
     as_arrays,
     first_per_list,
     flatten_lists,
+    reusable,
     top_items,
     top_items_by_type,
     top_users,
@@ -62,6 +63,7 @@ __all__ = [
     "profile_ratings",
     "random_split",
     "resolve_duplicates",
+    "reusable",
     "rmse",
     "target_users",
     "text_cells",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable
+from contextvars import copy_context
 from dataclasses import dataclass, field
 from math import ceil
 from multiprocessing.pool import ThreadPool
@@ -13,16 +15,27 @@ from pyspark.sql import DataFrame, functions as F
 
 from ranksmith.columns import ITEM, RATING, TYPE, USER
 from ranksmith.operators.ratings import RatingProfile, profile_ratings
-from ranksmith.operators.sums import MAX_TASK_ROWS, fit_by_sums
 from ranksmith.storage import checkpoint_dir, written
 
 
+log = logging.getLogger(__name__)
+
+
 @dataclass(frozen=True)
 class AlsParams:
+    """Settings of a fit. The model depends on the first four, and on ``blocks`` through its random start.
+
+    ``blocks`` is the number of blocks per side, by default one for every ``ROWS_PER_BLOCK`` ratings; ``storage`` is
+    where Spark ML keeps blocks and factors between rounds, ``checkpoint_interval`` the rounds between cuts of the lineage.
+    """
+
     max_iter: int = 10
     reg: float = 0.1
     rank: int = 10
     seed: int = 42
+    blocks: int | None = None
+    storage: str = "MEMORY_AND_DISK"
+    checkpoint_interval: int = 10
 
 
 # The two parameter sets in use.
@@ -32,7 +45,6 @@ SEGMENT = AlsParams(max_iter=5, reg=0.01)
 # Spark ML keeps all ratings of a block, hence of an id, in arrays of one task.
 ROWS_PER_BLOCK = 5_000_000
 MIN_BLOCKS = 8
-MAX_BLOCKS = 500
 
 
 @dataclass(frozen=True)
@@ -45,22 +57,16 @@ class FactorModel:
     n_users: int
     n_items: int
     params: AlsParams
-    als_model: ALSModel | None = field(default=None, repr=False)
-
-
-def choose_solver(profile: RatingProfile) -> str:
-    """``blocks`` (Spark ML) while every block and every id fits a task, ``sums`` beyond."""
-    hottest = max(profile.max_user_rows, profile.max_item_rows)
-    fullest_block = profile.n_rows / block_count(profile.n_rows)
-    return "sums" if max(hottest, fullest_block) > MAX_TASK_ROWS else "blocks"
+    als_model: ALSModel | None = field(default=None, repr=False)  # None for factors from elsewhere
 
 
 def block_count(n_rows: int) -> int:
     """Blocks per side from the row count alone, so that the model does not depend on the cluster."""
-    return min(MAX_BLOCKS, max(MIN_BLOCKS, ceil(n_rows / ROWS_PER_BLOCK)))
+    return max(MIN_BLOCKS, ceil(n_rows / ROWS_PER_BLOCK))
 
 
-def als_estimator(params: AlsParams, blocks: int = MIN_BLOCKS, checkpoint_interval: int = 10) -> ALS:
+def als_estimator(params: AlsParams, blocks: int = MIN_BLOCKS) -> ALS:
+    blocks = params.blocks or blocks
     return ALS(
         rank=params.rank,
         maxIter=params.max_iter,
@@ -72,7 +78,9 @@ def als_estimator(params: AlsParams, blocks: int = MIN_BLOCKS, checkpoint_interv
         coldStartStrategy="drop",
         numUserBlocks=blocks,
         numItemBlocks=blocks,
-        checkpointInterval=checkpoint_interval,
+        checkpointInterval=params.checkpoint_interval,
+        intermediateStorageLevel=params.storage,
+        finalStorageLevel=params.storage,
     )
 
 
@@ -80,66 +88,43 @@ def check_profile(profile: RatingProfile) -> None:
     """One bad row would abort the training job half way, so refuse it beforehand, with a count."""
     if profile.n_bad:
         raise ValueError(
-            f"{profile.n_bad} of {profile.n_rows} ratings have a missing value or an id beyond 32 bits"
+            f"{profile.n_bad} of {profile.n_rows} ratings have a missing or infinite value or an id beyond 32 bits"
         )
     if profile.n_rows == 0:
         raise ValueError("no ratings to train on")
 
 
-def _fit_blocks(
-    ratings: DataFrame, params: AlsParams, profile: RatingProfile
-) -> tuple[ALSModel, DataFrame, DataFrame]:
-    # Spark ML cuts its lineage every ten rounds, but only where a folder is set.
-    checkpoint_dir(ratings.sparkSession)
-    als_model = als_estimator(params, block_count(profile.n_rows)).fit(ratings)
-    # The factors hang on every shuffle of the training run. Written copies keep the
-    # loss of an executor during scoring from repeating the training.
-    users = written(als_model.userFactors, "users")
-    items = written(als_model.itemFactors, "items")
-    return als_model, users, items
-
-
 def fit_als(
-    ratings: DataFrame,
-    params: AlsParams = GLOBAL,
-    solver: str = "auto",
-    profile: RatingProfile | None = None,
+    ratings: DataFrame, params: AlsParams = GLOBAL, profile: RatingProfile | None = None
 ) -> FactorModel:
-    """Fit one model on all the given ratings; duplicates of a pair each count.
+    """Fit one model on all the given ratings with Spark ML's ALS; duplicates of a pair each count.
 
-    The profile rejects unusable rows, sizes the blocks and picks the solver: Spark
-    ML's, or the same normal equations by grouped sums where one id or one block
-    is too large for a task. It and the fit each read the ratings once, so
-    hand in a table rather than the plan of a large join.
+    The profile rejects unusable rows and sizes the blocks. It and the fit each read the
+    ratings once, so hand in a table rather than the plan of a large join. Spark ML
+    holds all ratings of one id in one task; the log names how many that are at most.
     """
     if profile is None:
         profile = profile_ratings(ratings)
     check_profile(profile)
+    log.info(
+        "%d ratings; the hottest user has %d, the hottest item %d, each in one task",
+        profile.n_rows,
+        profile.max_user_rows,
+        profile.max_item_rows,
+    )
     triples = ratings.select(
         F.col(USER).cast("int").alias(USER),
         F.col(ITEM).cast("int").alias(ITEM),
         F.col(RATING).cast("float").alias(RATING),
     )
-    if solver == "auto":
-        solver = choose_solver(profile)
-    if solver == "blocks":
-        als_model, users, items = _fit_blocks(triples, params, profile)
-    elif solver == "sums":
-        als_model = None
-        users, items = fit_by_sums(
-            triples,
-            params.rank,
-            params.max_iter,
-            params.reg,
-            params.seed,
-            profile.n_users,
-            profile.n_items,
-        )
-    else:
-        raise ValueError(f"solver must be auto, blocks or sums, not {solver!r}")
+    # Spark ML cuts its lineage now and then, but only where a folder is set.
+    checkpoint_dir(ratings.sparkSession)
+    als_model = als_estimator(params, block_count(profile.n_rows)).fit(triples)
+    # The factors hang on every shuffle of the training run. Written copies keep the
+    # loss of an executor during scoring from repeating the training.
     return FactorModel(
-        user_factors=users,
-        item_factors=items,
+        user_factors=written(als_model.userFactors, "users"),
+        item_factors=written(als_model.itemFactors, "items"),
         rank=params.rank,
         n_users=profile.n_users,
         n_items=profile.n_items,
@@ -167,5 +152,7 @@ def fit_als_per_segment(
         return fit_als(rows, params, profile=profile) if profile.n_rows else None
 
     with ThreadPool(max(1, min(parallelism, len(names)))) as pool:
-        models = pool.map(inheritable_thread_target(typed_ratings.sparkSession)(fit), names)
+        contexts = [copy_context() for _ in names]
+        run = inheritable_thread_target(typed_ratings.sparkSession)(lambda c, name: c.run(fit, name))
+        models = pool.starmap(run, zip(contexts, names))
     return {name: model for name, model in zip(names, models) if model is not None}

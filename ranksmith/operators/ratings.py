@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ranksmith.columns import CATALOG_ID, ITEM, RATING, TS, TYPE, USER
 
 MAX_ID = 2**31 - 1
+MAX_FLOAT = 3.4028234663852886e38
 
 
 def merge_ratings(all_ratings: DataFrame, one_user: DataFrame) -> DataFrame:
@@ -74,8 +75,11 @@ def resolve_duplicates(ratings: DataFrame, how: str = "keep") -> DataFrame:
     if how == "mean":
         return pairs.agg(F.avg(RATING).alias(RATING))
     if how == "latest":
-        last = F.max(F.struct(TS, RATING))
-        return pairs.agg(last.alias("last")).select(USER, ITEM, f"last.{RATING}", f"last.{TS}")
+        # Two grouped maxima of numbers are hashed; the maximum of a struct would sort all rows.
+        highest = ratings.groupBy(USER, ITEM, TS).agg(F.max(RATING).alias(RATING))
+        moment = F.coalesce(F.col(TS), F.lit(-(2**63)))
+        last = highest.groupBy(USER, ITEM).agg(F.max_by(RATING, moment).alias(RATING), F.max(TS).alias(TS))
+        return last.select(USER, ITEM, RATING, TS)
     raise ValueError(f"how must be keep, latest or mean, not {how!r}")
 
 
@@ -92,10 +96,11 @@ class RatingProfile:
 
 
 def bad_rating(ratings: DataFrame) -> Column:
-    """True for a row no factor model can use: a NULL, a NaN or an id that is not a 32-bit integer."""
+    """True for a row no factor model can use: a NULL, a NaN, a rating infinite as a float, an id that is not a 32-bit integer."""
     kinds = dict(ratings.dtypes)
     value = F.col(RATING).cast("double")
     bad = F.col(USER).isNull() | F.col(ITEM).isNull() | value.isNull() | F.isnan(value)
+    bad = bad | F.coalesce(F.abs(value) > MAX_FLOAT, F.lit(False))
     for column in (USER, ITEM):
         if kinds[column] not in ("tinyint", "smallint", "int"):
             number = F.col(column).cast("double")

@@ -31,7 +31,7 @@ def _chosen(factors: DataFrame, n_factors: int, ids: Ids, column: str) -> tuple[
     return rows_of(factors, "id", wanted), len(wanted)
 
 
-def _reusable(ids: Ids) -> Ids:
+def reusable(ids: Ids) -> Ids:
     """Ids that may be gone through more than once."""
     return ids if ids is None or isinstance(ids, DataFrame) else id_list(ids)
 
@@ -52,7 +52,7 @@ def top_items(
 
     Rated items stay in the lists unless ``exclude_seen`` names the ratings to leave out.
     """
-    users = _reusable(users)
+    users = reusable(users)
     sources, n_sources = _chosen(model.user_factors, model.n_users, users, USER)
     found = best_candidates(
         sources,
@@ -91,11 +91,12 @@ def top_items_by_type(
     wanted = catalog.where(F.col(TYPE).isin(list(types))).select(
         F.col(CATALOG_ID).cast("int").alias("id"), F.col(TYPE)
     )
+    wanted = wanted.distinct()
     if candidate_k is not None:
         long_list = top_items(model, candidate_k, users, exclude_seen).drop(RANK)
         typed = long_list.join(wanted.withColumnRenamed("id", ITEM), ITEM)
         return first_per_list(typed, n)
-    users = _reusable(users)
+    users = reusable(users)
     sources, n_sources = _chosen(model.user_factors, model.n_users, users, USER)
     candidates = model.item_factors.join(wanted, "id").withColumnRenamed(TYPE, SEGMENT)
     found = best_candidates(

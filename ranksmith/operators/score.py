@@ -15,7 +15,6 @@ from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ranksmith.columns import RANK, SCORE
@@ -49,28 +48,56 @@ def _packed(rows: str, side: str) -> list[Column]:
     ]
 
 
+def _segment_blocks(sizes: dict[str, int]) -> dict[str, tuple[int, int]]:
+    """First block and number of blocks of each segment.
+
+    Wide segments get blocks of their own; narrow ones share a block until it is full.
+    """
+    found, blocks, room = {}, 0, 0
+    for segment, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        if 2 * n > CANDIDATE_BLOCK:
+            own = ceil(n / CANDIDATE_BLOCK)
+            found[segment], blocks = (blocks, own), blocks + own
+            continue
+        if n > room:
+            blocks, room = blocks + 1, CANDIDATE_BLOCK
+        found[segment], room = (blocks - 1, 1), room - n
+    return found
+
+
+def _placed(candidates: DataFrame, n_candidates: int) -> tuple[DataFrame, int]:
+    """The candidates with their ``candidate_block``, and the number of blocks.
+
+    The segments counted here are the few that the caller names.
+    """
+    if SEGMENT not in candidates.columns:
+        blocks = max(1, ceil(n_candidates / CANDIDATE_BLOCK))
+        return candidates.withColumn("candidate_block", _block("id", blocks)), blocks
+    sizes = {r[SEGMENT]: r["count"] for r in candidates.groupBy(SEGMENT).count().collect()}
+    places = _segment_blocks(sizes)
+    rows = [(segment, first, own) for segment, (first, own) in places.items()]
+    where = candidates.sparkSession.createDataFrame(rows, f"{SEGMENT} string, first_block int, own_blocks int")
+    block = F.col("first_block") + F.pmod(F.xxhash64("id"), F.col("own_blocks")).cast("int")
+    placed = candidates.join(F.broadcast(where), SEGMENT).withColumn("candidate_block", block)
+    return placed.drop("first_block", "own_blocks"), max(1, sum(own for _, own in places.values()))
+
+
 def _packer(segmented: bool):
-    """Blocks of candidates as they lie, one per batch of rows and segment."""
-
-    def row(part: pa.RecordBatch, segment: str | None) -> pa.RecordBatch:
-        columns = {SEGMENT: pa.array([segment], pa.string())} if segmented else {}
-        for name, values in (
-            ("candidate_ids", part.column("id")),
-            ("candidate_features", part.column("features").flatten()),
-        ):
-            columns[name] = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        columns["candidate_tile"] = pa.array([0], pa.int32())
-        return pa.RecordBatch.from_pydict(columns)
+    """Blocks of candidates as they lie, one per batch of rows."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if not segmented:
-                yield row(batch, None)
-                continue
-            for segment in pc.unique(batch.column(SEGMENT)):
-                yield row(batch.filter(pc.equal(batch.column(SEGMENT), segment)), segment.as_py())
+            values = {"candidate_ids": batch.column("id"), "candidate_features": batch.column("features").flatten()}
+            if segmented:
+                values["candidate_segments"] = batch.column(SEGMENT)
+            columns = {
+                name: pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
+                for name, column in values.items()
+            }
+            columns["candidate_tile"] = pa.array([0], pa.int32())
+            yield pa.RecordBatch.from_pydict(columns)
 
     return pack
 
@@ -153,7 +180,19 @@ def _block_scores(sources, candidates, source_ids, candidate_ids, seen, held, k)
     return _best(rows, candidate_ids[columns], exact, k)
 
 
-def _scorer(k: int, rank: int, segmented: bool, excluding: bool):
+def _parts(segments) -> Iterator[tuple[str | None, np.ndarray | slice]]:
+    """Each segment of a block with the places of its candidates."""
+    if segments is None:
+        yield None, slice(None)
+        return
+    coded = segments.dictionary_encode()
+    codes = coded.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    cuts = np.searchsorted(codes[order], np.arange(1, len(coded.dictionary)))
+    yield from zip(coded.dictionary.to_pylist(), np.split(order, cuts))
+
+
+def _scorer(k: int, rank: int, segmented: bool, excluding: bool, ranking: bool):
     def array(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray:
         return batch.column(name)[i].values.to_numpy(zero_copy_only=False)
 
@@ -162,6 +201,11 @@ def _scorer(k: int, rank: int, segmented: bool, excluding: bool):
             columns = {SOURCE: pa.array(source_ids[rows], pa.int32())}
             if segmented:
                 columns[SEGMENT] = pa.array([segment] * rows.size, pa.string())
+            if ranking:
+                # Rows of a source follow each other, best first.
+                first = np.flatnonzero(np.diff(rows, prepend=-1))
+                position = np.arange(rows.size) - np.repeat(first, np.diff(np.r_[first, rows.size]))
+                columns[RANK] = pa.array(position + 1, pa.int32())
             columns[CANDIDATE] = pa.array(ids, pa.int32())
             columns[SCORE] = pa.array(scores, pa.float32())
             yield pa.RecordBatch.from_pydict(columns)
@@ -183,12 +227,15 @@ def _scorer(k: int, rank: int, segmented: bool, excluding: bool):
                 seen = None
                 if excluding and batch.column("seen_sources")[i].is_valid:
                     seen = array(batch, "seen_sources", i), array(batch, "seen_candidates", i)
-                segment = batch.column(SEGMENT)[i].as_py() if segmented else None
-                known = held.get(segment)
-                new = _block_scores(sources, candidates, source_ids, candidate_ids, seen, known, k)
-                if known is not None:
-                    new = _best(*[np.concatenate(part) for part in zip(known, new)], k)
-                held[segment] = new
+                segments = batch.column("candidate_segments")[i].values if segmented else None
+                for segment, own in _parts(segments):
+                    known = held.get(segment)
+                    new = _block_scores(
+                        sources, candidates[own], source_ids, candidate_ids[own], seen, known, k
+                    )
+                    if known is not None:
+                        new = _best(*[np.concatenate(part) for part in zip(known, new)], k)
+                    held[segment] = new
         if held:
             yield from finished(source_ids, held)
 
@@ -212,7 +259,8 @@ def best_candidates(
     ``exclude`` lists pairs ``source_id, candidate_id`` to leave out.
     The counts are upper bounds; they size blocks, tasks and broadcasts, not results.
 
-    Small candidate tables are broadcast and source blocks never move again. If only
+    Small candidate tables are broadcast, source blocks never move again, and every list is
+    finished in the task of its source. If only
     the sources are few, they are broadcast instead and the candidates never move.
     Otherwise both are cut into tiles, and every tile of sources meets every tile of
     candidates in a shuffled join with as many tasks as the work asks for.
@@ -223,7 +271,7 @@ def best_candidates(
     tasks = min(MAX_TASKS, max(1, tasks))
     # Equal numbers of blocks for every task.
     source_blocks = tasks * max(1, ceil(n_sources / tasks / SOURCE_BLOCK))
-    candidate_blocks = max(1, ceil(n_candidates / CANDIDATE_BLOCK))
+    candidates, candidate_blocks = _placed(candidates, n_candidates)
     small = is_small(factor_bytes(n_candidates, rank), broadcast_bytes)
 
     few = not small and exclude is None and n_sources <= SOURCE_BLOCK
@@ -243,44 +291,69 @@ def best_candidates(
         .repartitionById(tasks, F.col("task"))
         .groupBy("task", "source_block")
         .agg(F.collect_list(F.struct("id", "features")).alias("rows"))
-        .select("source_block", *_packed("rows", "source"))
-        .withColumn("source_tile", F.pmod("source_block", F.lit(source_tiles)))
-        .withColumn("candidate_tile", F.explode(F.sequence(F.lit(0), F.lit(candidate_tiles - 1))))
+        .select("task", "source_block", *_packed("rows", "source"))
     )
-    if exclude is not None:
-        blocks = ["source_block", "candidate_tile"]
+    tile_of = F.pmod("candidate_block", F.lit(candidate_tiles)).cast("int")
+    tiles = F.sequence(F.lit(0), F.lit(candidate_tiles - 1))
+    if exclude is None:
+        left = left.withColumn("candidate_tile", F.explode(tiles))
+    else:
         exclude = exclude.select(F.col(SOURCE).cast("int"), F.col(CANDIDATE).cast("int"))
         # Few sources make few blocks, and the pairs of all other ids would pile up in them.
         if is_small(ID_BYTES * n_sources):
             wanted = sources.select(F.col("id").alias(SOURCE))
             exclude = exclude.join(F.broadcast(wanted), SOURCE, "left_semi")
+        # One list of pairs per source block and tile. The lists of a block meet it once, before it
+        # is repeated for every tile, and each repetition takes its own list along.
+        exclude = exclude.distinct()
+        if segmented:
+            where = candidates.select(F.col("id").alias(CANDIDATE), tile_of.alias("tile")).distinct()
+            exclude = exclude.join(F.broadcast(where) if small else where, CANDIDATE)
+        else:
+            place = F.pmod(_block(CANDIDATE, candidate_blocks), F.lit(candidate_tiles))
+            exclude = exclude.withColumn("tile", place.cast("int"))
+        source_block = _block(SOURCE, source_blocks)
+        lists = F.struct(
+            F.transform("seen", lambda x: x[SOURCE]).alias("sources"),
+            F.transform("seen", lambda x: x[CANDIDATE]).alias("candidates"),
+        )
         seen = (
-            exclude.distinct()
-            .withColumn("source_block", _block(SOURCE, source_blocks))
-            .withColumn("candidate_tile", F.pmod(_block(CANDIDATE, candidate_blocks), F.lit(candidate_tiles)))
-            .groupBy(*blocks)
+            exclude.withColumn("source_block", source_block)
+            .groupBy("source_block", "tile")
             .agg(F.collect_list(F.struct(SOURCE, CANDIDATE)).alias("seen"))
-            .select(
-                *blocks,
-                F.transform("seen", lambda s: s[SOURCE]).alias("seen_sources"),
-                F.transform("seen", lambda s: s[CANDIDATE]).alias("seen_candidates"),
-            )
+            .withColumn("task", F.col("source_block") % tasks)
+            .repartitionById(tasks, F.col("task"))
+            .groupBy("task", "source_block")
+            .agg(F.map_from_entries(F.collect_list(F.struct("tile", lists))).alias("seen"))
+        )
+        left = left.join(seen, ["task", "source_block"], "left")
+        own = F.transform(tiles, lambda n: F.struct(n.alias("tile"), F.try_element_at("seen", n).alias("seen")))
+        left = left.withColumn("own", F.explode(own)).select(
+            "source_block",
+            "source_ids",
+            "source_features",
+            F.col("own.tile").alias("candidate_tile"),
+            F.col("own.seen.sources").alias("seen_sources"),
+            F.col("own.seen.candidates").alias("seen_candidates"),
         )
-        left = left.repartition(tasks, *blocks).join(seen.repartition(tasks, *blocks), blocks, "left")
+    left = left.withColumn("source_tile", F.pmod("source_block", F.lit(source_tiles)))
 
     keys = [SEGMENT] if segmented else []
     segment_field = f"{SEGMENT} string, " if segmented else ""
+    packing = "candidate_ids array<int>, candidate_features array<float>, "
+    if segmented:
+        packing += "candidate_segments array<string>, "
     if few:
-        packed = f"{segment_field}candidate_ids array<int>, candidate_features array<float>, candidate_tile int"
-        right = candidates.select("id", "features", *keys).mapInArrow(_packer(segmented), packed)
+        right = candidates.select("id", "features", *keys).mapInArrow(_packer(segmented), packing + "candidate_tile int")
         pairs = right.join(F.broadcast(left), "candidate_tile")
     else:
+        packed = _packed("rows", "candidate")
+        if segmented:
+            packed.append(F.transform("rows", lambda r: r[SEGMENT]).alias("candidate_segments"))
         right = (
-            candidates.withColumn("candidate_block", _block("id", candidate_blocks))
-            .groupBy(*keys, "candidate_block")
-            .agg(F.collect_list(F.struct("id", "features")).alias("rows"))
-            .select(*keys, "candidate_block", *_packed("rows", "candidate"))
-            .withColumn("candidate_tile", F.pmod("candidate_block", F.lit(candidate_tiles)))
+            candidates.groupBy("candidate_block")
+            .agg(F.collect_list(F.struct("id", "features", *keys)).alias("rows"))
+            .select(*packed, tile_of.alias("candidate_tile"))
         )
         if small:
             pairs = left.join(F.broadcast(right), "candidate_tile")
@@ -291,13 +364,16 @@ def best_candidates(
             pairs = left.repartition(tasks, *tile).join(right.repartition(tasks, *tile), tile)
 
     columns = ["source_block", "source_ids", "source_features", "candidate_ids", "candidate_features"]
-    columns += keys
+    columns += ["candidate_segments"] * segmented
     if exclude is not None:
         columns += ["seen_sources", "seen_candidates"]
-    schema = f"{SOURCE} int, {segment_field}{CANDIDATE} int, {SCORE} float"
-    found = pairs.select(*columns).mapInArrow(_scorer(k, rank, segmented, exclude is not None), schema)
+    rank_field = f"{RANK} int, " if small else ""
+    schema = f"{SOURCE} int, {segment_field}{rank_field}{CANDIDATE} int, {SCORE} float"
+    found = pairs.select(*columns).mapInArrow(_scorer(k, rank, segmented, exclude is not None, small), schema)
 
     groups = [SOURCE, *keys]
+    if small:
+        return found.withColumn(SCORE, F.col(SCORE).cast("double"))
     order = Window.partitionBy(*groups).orderBy(F.desc(SCORE), F.asc(CANDIDATE))
     return (
         found.withColumn(RANK, F.row_number().over(order))
