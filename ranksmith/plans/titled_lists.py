@@ -16,7 +16,7 @@ from ranksmith.operators import (
     with_lookup_title,
 )
 from ranksmith.plans.global_lists import Recommendation
-from ranksmith.storage import written
+from ranksmith.storage import owned, written
 
 
 def titled_lists(
@@ -30,10 +30,11 @@ def titled_lists(
     keep_copy: bool = False,
 ) -> Recommendation:
     """Top ``k`` for the ``n_users`` smallest user ids, with a title per item."""
-    if keep_copy:
-        ratings = written(ratings, "ratings")
-    training, test = hash_split(ratings, train, seed)
-    model = fit_als(training, params)
-    users = distinct_ids(ratings, als_estimator(params).getUserCol(), n_users)
-    lists = with_lookup_title(top_items(model, k, users), lookup)
-    return Recommendation(lists, coldstart_report(model, test), model)
+    with owned(ratings.sparkSession, "titled-lists") as folder:
+        if keep_copy:
+            ratings = written(ratings, "ratings")
+        training, test = hash_split(ratings, train, seed)
+        model = fit_als(training, params)
+        users = distinct_ids(ratings, als_estimator(params).getUserCol(), n_users)
+        lists = with_lookup_title(top_items(model, k, users), lookup)
+        return Recommendation(lists, coldstart_report(model, test), model, folder)

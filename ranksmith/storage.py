@@ -1,4 +1,4 @@
-"""Shared storage for checkpoints and fitted models.
+"""Shared storage for checkpoints, fitted models and copies of tables.
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
 local session that names none gets a temporary folder of its own.
@@ -8,32 +8,64 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+# Temporary folders of local sessions, by application.
+_local: dict[str, str] = {}
+
+# Where copies go while a job owns them.
+_owner: ContextVar[str | None] = ContextVar("owner", default=None)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder; the context is left as it is."""
+    context = spark.sparkContext
+    named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named is not None:
+        return named
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    if context.applicationId not in _local:
+        _local[context.applicationId] = tempfile.mkdtemp(prefix="ranksmith-")
+    return _local[context.applicationId]
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; set on the context if it was not yet."""
+    """The same folder, set on the context if none was: for training, which cuts its lineage there."""
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current is not None:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        named = tempfile.mkdtemp(prefix="ranksmith-")
-    context.setCheckpointDir(named)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(spark))
     return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in this application's part of the checkpoint folder."""
-    return f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the checkpoint folder, or in its owner's part of that."""
+    return f"{_owner.get() or _scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def _scratch_root(spark: SparkSession) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/ranksmith"
+    return f"{shared_dir(spark).rstrip('/')}/ranksmith"
+
+
+@contextmanager
+def owned(spark: SparkSession, label: str) -> Iterator[str]:
+    """Put all copies made inside into one folder, which is yielded. Its owner removes it when done.
+
+    When the body fails, nobody will own the copies, so they go at once.
+    """
+    folder = f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    token = _owner.set(folder)
+    try:
+        yield folder
+    except BaseException:
+        remove(spark, folder)
+        raise
+    finally:
+        _owner.reset(token)
 
 
 def remove(spark: SparkSession, path: str) -> None:
