@@ -165,6 +165,8 @@ ORACLES["markup_list_sink"] = _finished(IMAGE_CELL, TRAILER_CELL)
 ORACLES["split_rows"] = _with(RATINGS) + f"""
 SELECT user_id, item_id, rating, {IN_TRAINING} AS in_training FROM ratings"""
 
+ORACLES["random_split_rows"] = _with(RATINGS) + "SELECT user_id, item_id, rating FROM ratings"
+
 ORACLES["rmse_constant"] = _with(RATINGS) + """
 SELECT count(*) AS n_rows, round(sqrt(avg((rating - 5) * (rating - 5))), 6) AS rmse FROM ratings"""
 
@@ -172,14 +174,20 @@ ORACLES["rmse_constant_by_type"] = _with(RATINGS, CATALOG) + """
 SELECT "Type", count(*) AS n_rows, round(sqrt(avg((rating - 5) * (rating - 5))), 6) AS rmse
 FROM ratings JOIN catalog ON item_id = "ID" GROUP BY "Type" """
 
-GIVEN = """users AS (
+_USERS = """users AS (
   SELECT c_custkey AS user_id, 1 + c_custkey % 5 AS u0, c_nationkey % 7 AS u1, (c_custkey // 3) % 4 AS u2
-  FROM customer WHERE c_mktsegment <> 'BUILDING'),
-items AS (
+  FROM customer"""
+
+_ITEMS = """items AS (
   SELECT p_partkey AS item_id, p_type AS "Type", p_size % 10 AS v0, 1 + p_partkey % 6 AS v1,
          3 - p_partkey % 4 AS v2
   FROM part)"""
 
+GIVEN = f"""{_USERS}),
+{_ITEMS}"""
+GIVEN_COLD = f"""{_USERS} WHERE c_mktsegment <> 'BUILDING'),
+{_ITEMS}"""
+
 ALL_SCORES = """scores AS (
   SELECT user_id, item_id, "Type", CAST(u0 * v0 + u1 * v1 + u2 * v2 AS DOUBLE) AS score
   FROM users CROSS JOIN items)"""
@@ -196,7 +204,7 @@ _TYPED_COLUMNS = 'user_id, "Type", rank, item_id, score'
 
 ORACLES["scored_items_per_user"] = _with(GIVEN, ALL_SCORES) + _ranked("user_id", "item_id", 10)
 ORACLES["scored_users_per_item"] = _with(GIVEN, ALL_SCORES) + _ranked("item_id", "user_id", 10)
-ORACLES["scored_items_of_members"] = _with(GIVEN, ALL_SCORES) + _ranked(
+ORACLES["scored_items_of_members"] = _with(GIVEN_COLD, ALL_SCORES) + _ranked(
     "user_id",
     "item_id",
     5,
@@ -225,7 +233,7 @@ ORACLES["predicted_ratings"] = _with(RATINGS, GIVEN) + """
 SELECT user_id, item_id, rating, CAST(u0 * v0 + u1 * v1 + u2 * v2 AS DOUBLE) AS prediction
 FROM ratings JOIN users USING (user_id) JOIN items USING (item_id)"""
 
-ORACLES["predicted_holdout"] = _with(RATINGS, GIVEN) + """
+ORACLES["predicted_holdout"] = _with(RATINGS, GIVEN_COLD) + """
 SELECT count(*) AS n_test, count(prediction) AS n_scored, count(*) - count(prediction) AS n_dropped,
        round(sqrt(avg((rating - prediction) * (rating - prediction))), 6) AS rmse
 FROM (SELECT rating, u0 * v0 + u1 * v1 + u2 * v2 AS prediction
@@ -262,6 +270,10 @@ _TYPE_SIZES = f"""sizes AS (
 ORACLES["als_top_by_type_shape"] = _with(RATINGS, CATALOG, _TYPE_SIZES) + f"""
 SELECT DISTINCT user_id, "Type", {_listed("least(5, items)")} FROM ratings CROSS JOIN sizes"""
 
+ORACLES["als_candidate_list_shape"] = _with(RATINGS) + """
+SELECT DISTINCT user_id, 0::BIGINT AS n_outside, 0::BIGINT AS n_left_out, true AS ranked, true AS ordered
+FROM ratings"""
+
 ORACLES["als_per_segment_shape"] = _with(RATINGS, CATALOG, _TYPE_SIZES) + f"""
 SELECT DISTINCT user_id, "Type", {_listed("least(5, items)")}
 FROM ratings JOIN catalog ON item_id = "ID" JOIN sizes USING ("Type")"""
@@ -292,6 +304,17 @@ ORACLES["global_lists_shape"] = _with(RATINGS, CATALOG, MERGED, _TYPED_MERGED) +
 SELECT {t.TARGET_ALIAS}::BIGINT AS user_id, "Type", {_listed("least(5, count(DISTINCT item_id))")}
 FROM typed WHERE in_training GROUP BY "Type" """
 
+_GLOBAL_SIZES = f"""sizes AS (
+  SELECT {t.TARGET_ALIAS}::BIGINT AS user_id, "Type", least(5, count(DISTINCT item_id)) AS n
+  FROM typed WHERE in_training GROUP BY "Type")"""
+
+ORACLES["als_top_by_type"] = _with(RATINGS, CATALOG, MERGED, _TYPED_MERGED, _GLOBAL_SIZES) + """
+SELECT user_id, "Type", unnest(generate_series(1, n)) AS rank, true AS title_right, true AS links_right
+FROM sizes"""
+
+ORACLES["global_lists_files"] = _with(RATINGS, CATALOG, MERGED, _TYPED_MERGED, _GLOBAL_SIZES) + """
+SELECT user_id, "Type", n AS n_text, n AS n_markup, n AS last_rank, true AS cells_right FROM sizes"""
+
 ORACLES["segment_lists_shape"] = _with(RATINGS, CATALOG, MERGED, _TYPED_MERGED) + f"""
 SELECT {t.TARGET_ALIAS}::BIGINT AS user_id, "Type", {_listed("least(5, count(DISTINCT item_id))")}
 FROM typed WHERE in_training GROUP BY "Type"

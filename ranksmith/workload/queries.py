@@ -5,11 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ranksmith.columns import ITEM, PREDICTION, RANK, RATING, SCORE, TS, TYPE, USER
 from ranksmith.functions import instant
+from ranksmith.functions.cells import (
+    IMAGE_CLOSE,
+    IMAGE_OPEN,
+    MISSING_TEXT,
+    TRAILER_CLOSE,
+    TRAILER_MISSING,
+    TRAILER_OPEN,
+)
 from ranksmith.operators import (
     GLOBAL,
     SEGMENT,
@@ -32,6 +40,7 @@ from ranksmith.operators import (
     output_columns,
     predict,
     profile_ratings,
+    random_split,
     resolve_duplicates,
     rmse,
     target_users,
@@ -44,8 +53,7 @@ from ranksmith.operators import (
     with_media,
     with_titles,
 )
-from ranksmith.operators.sums import normal_equations, pair_sums, salted, solve_side
-from ranksmith.plans import global_lists, segment_lists, titled_lists
+from ranksmith.plans import global_lists, segment_lists, titled_lists, write_global_lists
 from ranksmith.sinks import write_lists
 from ranksmith.sources import (
     catalog_from_text,
@@ -319,6 +327,13 @@ def split_rows(spark, sf):
     return t.triples(spark, sf).withColumn("in_training", in_training())
 
 
+@query
+def random_split_rows(spark, sf):
+    """Both parts of a random split, put together again."""
+    training, test = random_split(t.triples(spark, sf))
+    return training.unionByName(test)
+
+
 @query
 def rmse_constant(spark, sf):
     guess = t.triples(spark, sf).withColumn(PREDICTION, F.lit(5.0))
@@ -335,10 +350,13 @@ def rmse_constant_by_type(spark, sf):
 # floats make every score exact, and plenty of ties, so SQL has the same answer.
 
 
-def _given_users(spark, sf) -> DataFrame:
+def _given_users(spark, sf, cold: str | None = None) -> DataFrame:
+    """All customers; ``cold`` names a market segment whose customers have no factors."""
     key = F.col("c_custkey")
     features = F.array(1 + key % 5, F.col("c_nationkey") % 7, F.floor(key / 3) % 4)
-    known = t.table(spark, sf, "customer").where(F.col("c_mktsegment") != "BUILDING")
+    known = t.table(spark, sf, "customer")
+    if cold is not None:
+        known = known.where(F.col("c_mktsegment") != cold)
     return known.select(key.cast("int").alias("id"), features.cast("array<float>").alias("features"))
 
 
@@ -350,8 +368,8 @@ def _given_items(spark, sf) -> DataFrame:
     )
 
 
-def _given_model(spark, sf) -> FactorModel:
-    users, items = _given_users(spark, sf), _given_items(spark, sf)
+def _given_model(spark, sf, cold: str | None = None) -> FactorModel:
+    users, items = _given_users(spark, sf, cold), _given_items(spark, sf)
     return FactorModel(users, items, 3, users.count(), items.count(), AlsParams(rank=3))
 
 
@@ -367,9 +385,9 @@ def scored_users_per_item(spark, sf):
 
 @query
 def scored_items_of_members(spark, sf):
-    """The users wanted come from a table; half of the customers have no factors."""
+    """The users wanted come from a table; the fifth of them that is in one market segment has no factors."""
     rich = t.table(spark, sf, "customer").where(F.col("c_acctbal") > 5000)
-    return top_items(_given_model(spark, sf), 5, rich.select(F.col("c_custkey").alias(USER)))
+    return top_items(_given_model(spark, sf, cold="BUILDING"), 5, rich.select(F.col("c_custkey").alias(USER)))
 
 
 @query
@@ -398,19 +416,20 @@ def predicted_ratings(spark, sf):
 
 @query
 def predicted_holdout(spark, sf):
-    report = coldstart_report(_given_model(spark, sf), t.triples(spark, sf))
+    """Customers of one market segment are cold."""
+    report = coldstart_report(_given_model(spark, sf, cold="BUILDING"), t.triples(spark, sf))
     return report.withColumn("rmse", F.round("rmse", 6))
 
 
 @query
 def solved_users(spark, sf):
-    """One half step of training with a single factor per item."""
-    items = _given_items(spark, sf).withColumn("features", F.slice("features", 2, 1))
-    pairs = salted(pair_sums(t.triples(spark, sf)), USER, ITEM)
-    equations = normal_equations(pairs, USER, ITEM, items, 1, items.count())
-    return solve_side(equations, 1, GLOBAL.reg).select(
-        F.col("id").alias(USER), F.col("features")[0].alias("factor")
+    """The least-squares factor of every user for a single given factor per item."""
+    items = _given_items(spark, sf).select(F.col("id").alias(ITEM), F.col("features")[1].cast("double").alias("v"))
+    sums = t.triples(spark, sf).join(items, ITEM).groupBy(USER).agg(
+        F.sum(F.col(RATING) * F.col("v")).alias("right"),
+        (F.sum(F.col("v") * F.col("v")) + GLOBAL.reg * F.count(F.lit(1))).alias("left"),
     )
+    return sums.select(USER, (F.col("right") / F.col("left")).cast("float").alias("factor"))
 
 
 # Models. Factors depend on random starts, so these return what any right model must satisfy.
@@ -490,10 +509,25 @@ def als_top_by_type_shape(spark, sf):
 
 @query
 def als_candidate_list_shape(spark, sf):
-    lists = top_items_by_type(
-        _fit(spark, sf), t.catalog(spark, sf), t.TYPES, 5, candidate_k=100
+    """Per user, against the one long list: entries from elsewhere, wanted entries left out, ranks and order."""
+    model, catalog = _fit(spark, sf), t.catalog(spark, sf)
+    found = top_items_by_type(model, catalog, t.TYPES, 5, candidate_k=100)
+    wanted = catalog.where(F.col(TYPE).isin(t.TYPES)).select(F.col("ID").alias(ITEM), TYPE)
+    long_list = top_items(model, 100).select(USER, ITEM).join(wanted, ITEM, "left")
+    both = long_list.join(found.drop(TYPE), [USER, ITEM], "full")
+    per_type = both.groupBy(USER, TYPE).agg(
+        F.count(TYPE).alias("listed"),
+        F.count(RANK).alias("taken"),
+        F.count_if(F.col(TYPE).isNull() & F.col(RANK).isNotNull()).alias("outside"),
+    )
+    left_out = F.when(F.col(TYPE).isNotNull(), F.least(F.lit(5), F.col("listed")) - F.col("taken")).otherwise(0)
+    counts = per_type.groupBy(USER).agg(F.sum("outside").alias("n_outside"), F.sum(left_out).alias("n_left_out"))
+    shape = _shape(found, USER, TYPE, other=ITEM)
+    right = (F.col("first_rank") == 1) & (F.col("last_rank") == F.col("n")) & (F.col("n_distinct") == F.col("n"))
+    shape = shape.groupBy(USER).agg(F.bool_and(right).alias("ranked"), F.bool_and("ordered").alias("ordered"))
+    return counts.join(shape, USER, "left").select(
+        USER, "n_outside", "n_left_out", F.coalesce("ranked", F.lit(True)).alias("ranked"), F.coalesce("ordered", F.lit(True)).alias("ordered")
     )
-    return _shape(lists, USER, TYPE, other=ITEM)
 
 
 @query
@@ -526,7 +560,14 @@ def als_normal_equations(spark, sf):
     ratings = _table(spark, sf)
     model = fit_als(ratings)
     rank = model.rank
-    sums = normal_equations(pair_sums(ratings), USER, ITEM, model.item_factors, rank, model.n_items)
+    v = [F.col("features")[i].cast("double") for i in range(rank)]
+    rows = ratings.join(model.item_factors.withColumnRenamed("id", ITEM), ITEM)
+    upper = [(i, j) for i in range(rank) for j in range(i, rank)]
+    sums = rows.groupBy(F.col(USER).alias("id")).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(v[i] * v[j]).alias(f"a_{i}_{j}") for i, j in upper],
+        *[F.sum(F.col(RATING) * v[i]).alias(f"b_{i}") for i in range(rank)],
+    )
     solved = sums.join(model.user_factors, "id")
     x = [F.col("features")[i].cast("double") for i in range(rank)]
     gaps = []
@@ -541,9 +582,9 @@ def als_normal_equations(spark, sf):
 
 @query
 def als_by_sums(spark, sf):
-    """The solver for hot ids on the whole table: every user listed, error below the mean's."""
+    """Two rounds of training on the whole table: every user listed, error, from sums of squares, below the mean's."""
     ratings = _table(spark, sf)
-    model = fit_als(ratings, AlsParams(max_iter=2), solver="sums")
+    model = fit_als(ratings, AlsParams(max_iter=2))
     gap = F.col(RATING) - F.col(PREDICTION)
     return predict(model, ratings).agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -565,6 +606,15 @@ def _merged(spark, sf) -> DataFrame:
     return merge_ratings(t.triples(spark, sf), t.one_user(spark, sf))
 
 
+def text_cells_match(image: Column, trailer: Column) -> Column:
+    """Whether the markup cells are made of the text cells beside them."""
+    from_image = F.concat(F.lit(IMAGE_OPEN), image, F.lit(IMAGE_CLOSE))
+    from_trailer = F.when(trailer == MISSING_TEXT, F.lit(TRAILER_MISSING)).otherwise(
+        F.concat(F.lit(TRAILER_OPEN), trailer, F.lit(TRAILER_CLOSE))
+    )
+    return (F.col("m.Image") == from_image) & (F.col("m.Trailer") == from_trailer)
+
+
 def flagship(spark, sf) -> DataFrame:
     return global_lists(
         _merged(spark, sf),
@@ -580,7 +630,39 @@ def flagship(spark, sf) -> DataFrame:
 
 @query
 def als_top_by_type(spark, sf):
-    return flagship(spark, sf)
+    """The flagship's entries, each with whether its title and links are the catalog's and the pages'."""
+    lists = flagship(spark, sf)
+    titles = t.catalog(spark, sf).select(F.col("ID").alias(ITEM), F.struct(*t.TITLES).alias("title"))
+    links = with_media(lists.select(ITEM).distinct(), t.media(spark, sf)).select(
+        ITEM, F.struct("image_url", "trailer_url").alias("link")
+    )
+    both = lists.join(titles, ITEM, "left").join(links, ITEM, "left")
+    return both.select(
+        USER,
+        TYPE,
+        RANK,
+        F.struct(*t.TITLES).eqNullSafe(F.col("title")).alias("title_right"),
+        F.struct("image_url", "trailer_url").eqNullSafe(F.col("link")).alias("links_right"),
+    )
+
+
+@query
+def global_lists_files(spark, sf):
+    """The main job to its files, read back: both hold the same ranks, and cells of the right form."""
+    text_path, markup_path = scratch_path(spark, "text"), scratch_path(spark, "markup")
+    write_global_lists(flagship(spark, sf), text_path, markup_path, t.TITLES)
+    text = spark.read.schema(_FINISHED).csv(text_path, header=True, escape='"', encoding="UTF-8")
+    markup = spark.read.schema(_FINISHED).json(markup_path)
+    keys = [USER, TYPE, RANK, "ID"]
+    image, trailer = F.col("t.Image"), F.col("t.Trailer")
+    both = text.alias("t").join(markup.alias("m"), keys, "full")
+    plain = text_cells_match(image, trailer)
+    return both.groupBy(USER, TYPE).agg(
+        F.count("t.Image").alias("n_text"),
+        F.count("m.Image").alias("n_markup"),
+        F.max(RANK).alias("last_rank"),
+        F.bool_and(plain).alias("cells_right"),
+    )
 
 
 @query

@@ -8,19 +8,9 @@ from ranksmith.operators import (
     AlsParams,
     fit_als,
     fit_als_per_segment,
-    predict,
-    rmse,
     with_item_type,
 )
-from ranksmith.operators.model import block_count, choose_solver
-from ranksmith.operators.ratings import RatingProfile
-from ranksmith.operators.sums import (
-    fit_by_sums,
-    normal_equations,
-    pair_sums,
-    salted,
-    solve_side,
-)
+from ranksmith.operators.model import als_estimator, block_count
 
 
 def vectors(table):
@@ -65,14 +55,15 @@ def test_another_seed_another_model(ratings, factors):
     assert max(np.abs(other[i] - v).max() for i, v in factors[1].items()) > 1e-2
 
 
-def test_bad_rows_and_unknown_solver_are_refused(spark, ratings):
+def test_bad_rows_are_refused(spark, ratings):
     bad = ratings.unionByName(spark.createDataFrame([(1, None, 3.0)], ratings.schema))
     with pytest.raises(ValueError, match="1 of"):
         fit_als(bad)
     with pytest.raises(ValueError, match="no ratings"):
         fit_als(ratings.where("user_id < 0"))
-    with pytest.raises(ValueError, match="solver"):
-        fit_als(ratings, solver="magic")
+    for value in (float("inf"), float("-inf"), 1e39):
+        with pytest.raises(ValueError, match="infinite"):
+            fit_als(ratings.unionByName(spark.createDataFrame([(1, 100, value)], ratings.schema)))
 
 
 def test_wide_ids_are_narrowed(ratings, factors):
@@ -80,55 +71,16 @@ def test_wide_ids_are_narrowed(ratings, factors):
     assert set(vectors(fit_als(wide).user_factors)) == set(factors[0])
 
 
-def profile(n_rows, user_rows=10, item_rows=10):
-    return RatingProfile(n_rows, 100, 100, user_rows, item_rows, 0)
-
-
-def test_solver_choice():
-    assert choose_solver(profile(600_000)) == "blocks"
-    assert choose_solver(profile(9_000_000_000)) == "blocks"
-    assert choose_solver(profile(11_000_000_000)) == "sums"
-    assert choose_solver(profile(90_000_000, user_rows=30_000_000)) == "sums"
-    assert choose_solver(profile(90_000_000, item_rows=30_000_000)) == "sums"
+def test_one_solver_whatever_the_size(ratings, model):
+    assert model.als_model is not None
+    estimator = als_estimator(AlsParams(blocks=3, storage="DISK_ONLY", checkpoint_interval=4))
+    assert estimator.getNumUserBlocks() == estimator.getNumItemBlocks() == 3
+    assert estimator.getFinalStorageLevel() == estimator.getIntermediateStorageLevel() == "DISK_ONLY"
+    assert estimator.getCheckpointInterval() == 4
 
 
 def test_block_count_grows_with_rows_only():
-    assert [block_count(n) for n in (1, 60_000, 10**9, 10**12)] == [8, 8, 200, 500]
-
-
-@pytest.mark.parametrize("limit", [None, 0], ids=["broadcast", "shuffled"])
-def test_grouped_sums_repeat_the_last_half_step_of_the_library_solver(ratings, model, factors, limit):
-    pairs = salted(pair_sums(ratings), "user_id", "item_id", max_rows=4)
-    equations = normal_equations(pairs, "user_id", "item_id", model.item_factors, 10, 40, limit)
-    found = vectors(solve_side(equations, 10, GLOBAL.reg))
-    assert set(found) == set(factors[0])
-    assert max(np.abs(found[u] - v).max() for u, v in factors[0].items()) < 1e-4
-
-
-def test_salting_splits_hot_ids_and_no_others(spark):
-    hot = spark.range(900).select(F.lit(1).alias("user_id"), F.col("id").cast("int").alias("item_id"))
-    cold = spark.range(100).select((F.col("id") + 2).cast("int").alias("user_id"), F.lit(5).alias("item_id"))
-    parts = salted(hot.unionByName(cold), "user_id", "item_id", max_rows=100).groupBy("user_id", "salt").count()
-    sizes = {}
-    for r in parts.collect():
-        sizes.setdefault(r["user_id"], []).append(r["count"])
-    assert sum(sizes[1]) == 900 and len(sizes[1]) == 9 and max(sizes[1]) < 200
-    assert all(sizes[u] == [1] for u in range(2, 102))
-
-
-@pytest.mark.parametrize("limit", [None, 0], ids=["broadcast", "shuffled"])
-def test_fit_by_sums_is_a_proper_fit(ratings, model, limit):
-    users, items = fit_by_sums(ratings, 4, 2, 0.1, 42, 60, 40, max_rows=5, broadcast_bytes=limit)
-    assert worst_gap(ratings, vectors(users), vectors(items), 0.1) < 1e-3
-    alone, _ = fit_by_sums(ratings.repartition(1), 4, 2, 0.1, 42, 60, 40)
-    other = vectors(alone)
-    assert max(np.abs(other[u] - v).max() for u, v in vectors(users).items()) < 1e-3
-
-
-def test_both_solvers_reach_similar_errors(ratings):
-    fits = [fit_als(ratings, AlsParams(max_iter=4), solver=s) for s in ("blocks", "sums")]
-    errors = [rmse(predict(m, ratings)).first()["rmse"] for m in fits]
-    assert abs(errors[0] - errors[1]) < 0.2 * errors[0]
+    assert [block_count(n) for n in (1, 60_000, 10**9, 10**12)] == [8, 8, 200, 200_000]
 
 
 def test_duplicates_count_each(spark):

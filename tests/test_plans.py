@@ -1,8 +1,11 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
+from ranksmith import storage
 from ranksmith.operators import merge_ratings, top_items_by_type
-from ranksmith.plans import global_lists, segment_lists, titled_lists
+from ranksmith.plans import global_lists, segment_lists, titled_lists, write_global_lists
 from ranksmith.sources import (
     read_catalog,
     read_rating_lines,
@@ -78,7 +81,48 @@ def test_segment_lists(ratings, catalog):
 
 
 def test_segments_nobody_rated(ratings, catalog):
-    assert segment_lists(ratings, catalog, 3, ["Opera"]) == (None, None)
+    lists, reports = segment_lists(ratings, catalog, 3, ["Opera"])
+    full, full_reports = segment_lists(ratings, catalog, 3, ["TV"])
+    assert lists.count() == reports.count() == 0
+    assert lists.columns == full.columns and reports.columns == full_reports.columns
+
+
+def test_users_from_a_generator_reach_every_segment(ratings, catalog):
+    lists, _ = segment_lists(ratings, catalog, iter([3, 4]), ["Movie", "TV"], 2)
+    assert {(r["user_id"], r["Type"]) for r in lists.collect()} == {(u, t) for u in (3, 4) for t in ("Movie", "TV")}
+
+
+def test_nothing_is_left_behind_after_close(spark, ratings, catalog):
+    users = spark.createDataFrame([(3,), (4,)], "user_id int")
+    results = [
+        global_lists(ratings, catalog, users, keep_copy=True),
+        segment_lists(ratings, catalog, users, ["TV"]),
+        titled_lists(ratings, catalog.select(F.col("ID").alias("item_id"), F.col("Name").alias("title")), keep_copy=True),
+    ]
+    root = Path(storage.shared_dir(spark).removeprefix("file:")) / "ranksmith"
+    before = set(root.iterdir())
+    for result in results:
+        folder = Path(result.folder.removeprefix("file:"))
+        assert any(folder.iterdir())
+        with result:
+            assert result.lists.count() > 0
+        assert not folder.exists()
+    assert set(root.iterdir()) <= before
+
+
+def test_lists_to_files(spark, ratings, catalog, tmp_path):
+    media = catalog.where("ID % 2 = 0").select(
+        F.col("ID").alias("item_id"), F.lit("http://i").alias("image_url"), F.lit("http://t").alias("trailer_url")
+    )
+    with global_lists(ratings, catalog, [1, 2], n=3, media=media) as result:
+        write_global_lists(result.lists, str(tmp_path / "text"), str(tmp_path / "markup"))
+        wanted = {(r["user_id"], r["Type"], r["rank"], r["item_id"]) for r in result.lists.collect()}
+    text = spark.read.csv(str(tmp_path / "text"), header=True, inferSchema=True, escape='"')
+    markup = spark.read.json(str(tmp_path / "markup"))
+    for found in (text, markup):
+        assert {(r["user_id"], r["Type"], r["rank"], r["ID"]) for r in found.collect()} == wanted
+    assert {r["Image"] for r in text.collect()} <= {"http://i", "None"}
+    assert all(r["Image"].startswith("<img") for r in markup.collect())
 
 
 def test_titled_lists_from_files(spark, files):

@@ -183,7 +183,55 @@ def test_no_row_per_pair_and_no_cross_join(model, catalog, monkeypatch):
         monkeypatch.setattr(sizes, "BROADCAST_BYTES", limit)
         plan = top_items_by_type(model, catalog, ["TV"], 5)._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-        assert "WindowGroupLimit" in plan
+        # With broadcast candidates a list is finished where its source is.
+        assert ("WindowGroupLimit" in plan) == (limit == 0)
     monkeypatch.setattr(score, "SOURCE_BLOCK", 7)
     plan = top_items(model, 5)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_narrow_types_share_full_blocks(spark, monkeypatch):
+    """Three hundred types of ten items and one wide one: few blocks, and the lists of brute force."""
+    monkeypatch.setattr(score, "CANDIDATE_BLOCK", 1000)
+    sizes = {f"t{k}": 10 for k in range(300)} | {"wide": 2500}
+    places = score._segment_blocks(sizes)
+    assert places["wide"] == (0, 3)
+    assert {first for name, (first, own) in places.items() if name != "wide"} == {3, 4, 5}
+
+    rng = np.random.default_rng(3)
+    names = [name for name, n in sizes.items() for _ in range(n)]
+    vectors = rng.normal(size=(len(names), 4)).astype(np.float32)
+    users = rng.normal(size=(7, 4)).astype(np.float32)
+    candidates = spark.createDataFrame(
+        [(i, name, v.tolist()) for i, (name, v) in enumerate(zip(names, vectors))],
+        "id int, segment string, features array<float>",
+    )
+    sources = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(users)], "id int, features array<float>")
+    seen = [(u, i) for u in range(7) for i in range(u, len(names), 3)]
+    exclude = spark.createDataFrame(seen, "source_id int, candidate_id int")
+    for limit in (None, 0):
+        for pairs, table in (((), None), (seen, exclude)):
+            found = score.best_candidates(sources, candidates, 3, 4, 7, len(names), table, limit)
+            got = {(r["source_id"], r["segment"], r["rank"], r["candidate_id"]) for r in found.collect()}
+            gone, expected = set(pairs), set()
+            for u in range(7):
+                lists = {}
+                for i in np.argsort(-(vectors.astype(float) @ users[u].astype(float)), kind="stable").tolist():
+                    own = lists.setdefault(names[i], [])
+                    if (u, i) not in gone and len(own) < 3:
+                        own.append(i)
+                expected |= {(u, n, r + 1, i) for n, own in lists.items() for r, i in enumerate(own)}
+            assert got == expected
+
+
+def test_repeated_catalog_rows_list_an_item_once(model, catalog):
+    plain = {tuple(r) for r in top_items_by_type(model, catalog, ["TV"], 4).collect()}
+    twice = top_items_by_type(model, catalog.unionByName(catalog), ["TV"], 4).collect()
+    assert len(twice) == len(plain) and {tuple(r) for r in twice} == plain
+
+
+def test_broadcast_lists_need_no_exchange_after_the_blocks(model, ratings):
+    for table in (top_items(model, 3), top_items(model, 3, exclude_seen=ratings)):
+        text = table._jdf.queryExecution().sparkPlan().toString()
+        above = table._jdf.queryExecution().executedPlan().toString().split("Generate", 1)[0]
+        assert "Window" not in text and "Exchange" not in above.replace("BroadcastExchange", "")

@@ -17,7 +17,6 @@ from ranksmith.operators import (
     with_item_type,
 )
 from ranksmith.operators import sizes
-from ranksmith.operators.sums import fit_by_sums
 
 N = 30_000
 
@@ -46,22 +45,6 @@ def test_profile_sees_it(table):
     assert max(found.max_user_rows, found.max_item_rows) >= N // 3
 
 
-@pytest.mark.parametrize("limit", [None, 0], ids=["broadcast", "shuffled"])
-def test_salted_solver_gives_the_unsalted_factors(table, limit):
-    found = profile_ratings(table)
-    args = (table, 3, 1, 0.1, 42, found.n_users, found.n_items)
-    plain, _ = fit_by_sums(*args)
-    salted, _ = fit_by_sums(*args, max_rows=500, broadcast_bytes=limit)
-    both = plain.alias("a").join(salted.alias("b"), "id")
-    gap = F.aggregate(
-        F.zip_with("a.features", "b.features", lambda x, y: F.abs(x - y)),
-        F.lit(0.0),
-        lambda m, x: F.greatest(m, x.cast("double")),
-    )
-    row = both.agg(F.count("*"), F.max(gap)).first()
-    assert row[0] == found.n_users and row[1] < 1e-3
-
-
 def test_lists_and_errors(table, monkeypatch):
     model = fit_als(table, AlsParams(max_iter=2, rank=4))
     lists = {tuple(r) for r in top_items(model, 5, exclude_seen=table).collect()}

@@ -109,3 +109,30 @@ def test_title_lookup_with_quoted_commas(spark, tmp_path):
         'movieId,title,genres\n1,Toy (1995),Comedy|Drama\n11,"President, The (1995)",Drama\n',
     )
     assert rows(read_title_lookup(spark, path)) == [(1, "Toy (1995)"), (11, "President, The (1995)")]
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_wide_parquet_ids_fail_instead_of_wrapping(spark, tmp_path, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        path = str(tmp_path / ansi)
+        rows = [(5, 1, 3.0), (None, 2, 4.0)]
+        spark.createDataFrame(rows, "user_id bigint, item_id bigint, rating double").write.parquet(path)
+        assert {tuple(r) for r in read_ratings(spark, path, item="item_id", fmt="parquet").collect()} == set(rows)
+        wide = spark.createDataFrame([(2**32 + 5, 1, 3.0)], "user_id bigint, item_id bigint, rating double")
+        wide.write.mode("append").parquet(path)
+        with pytest.raises(Exception, match="not a valid int"):
+            read_ratings(spark, path, item="item_id", fmt="parquet").collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_null_and_broken_lines_raise(spark):
+    good = "1,2,3.5,100"
+    for bad in (None, "", "1,2,3.5", "userIdX,2,3.5,100", "x,2,3.5,100"):
+        lines = spark.createDataFrame([(good,), (bad,)], "value string")
+        with pytest.raises(Exception, match="not a valid"):
+            parse_rating_lines(lines).collect()
+    lines = spark.createDataFrame([(good,), (" userId ,movieId,rating,timestamp",), ("userId",)], "value string")
+    assert [tuple(r) for r in parse_rating_lines(lines).collect()] == [(1, 2, 3.5, 100)]
