@@ -14,6 +14,15 @@ def strict_cast(text: Column, type_name: str) -> Column:
     return F.coalesce(text.try_cast(type_name), F.raise_error(message))
 
 
+def whole_number(value: Column, type_name: str, least: int, most: int) -> Column:
+    """Narrow a number to an integer type; one outside its range or with a fraction raises, NULL stays NULL."""
+    fits = value.between(least, most) & (value == F.floor(value))
+    message = F.concat(F.lit(f"not a valid {type_name}: "), value.cast("string"))
+    return F.when(value.isNull() | fits, value.try_cast(type_name)).otherwise(
+        F.raise_error(message).cast(type_name)
+    )
+
+
 def instant(epoch_seconds: Column) -> Column:
     """Epoch seconds as a timestamp."""
     return F.timestamp_seconds(epoch_seconds)

@@ -12,12 +12,3 @@ def dot(left: Column, right: Column, rank: int) -> Column:
     """Dot product of two arrays of known length, unrolled so that it stays in codegen."""
     products = [left[i].cast("double") * right[i].cast("double") for i in range(rank)]
     return reduce(add, products)
-
-
-def unit_vector(key: Column, rank: int, seed: int) -> Column:
-    """A direction that depends only on ``key`` and ``seed``, as array<float> of length one."""
-    parts = F.array(
-        *[F.xxhash64(key, F.lit(seed), F.lit(i)).cast("double") / F.lit(2.0**63) for i in range(rank)]
-    )
-    norm = F.sqrt(F.aggregate(parts, F.lit(0.0), lambda total, x: total + x * x))
-    return F.transform(parts, lambda x: (x / norm).cast("float"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from ranksmith.columns import ITEM, RATING, TS, USER
-from ranksmith.functions.casts import strict_cast
+from ranksmith.functions.casts import strict_cast, whole_number
+
+# The ranges of the integer types in use.
+RANGES = {"int": (-(2**31), 2**31 - 1), "bigint": (-(2**63), 2**63 - 1)}
 
 
 def rating_schema(
@@ -27,6 +30,19 @@ def _standard_names(df: DataFrame, schema: StructType) -> DataFrame:
     return df.select(*[F.col(f"`{f.name}`").alias(n) for f, n in zip(schema.fields, names)])
 
 
+def _checked(loaded: DataFrame, wanted: StructField) -> Column:
+    """A column as the wanted type; a value that does not fit raises whatever the ANSI setting. NULL stays NULL."""
+    column, kind = F.col(f"`{wanted.name}`"), loaded.schema[wanted.name].dataType
+    type_name = wanted.dataType.simpleString()
+    if kind == wanted.dataType:
+        return column
+    if kind.simpleString() == "string":
+        return F.when(column.isNotNull(), strict_cast(column, type_name))
+    if type_name in RANGES:
+        return whole_number(column, type_name, *RANGES[type_name])
+    return column.cast(wanted.dataType)
+
+
 def read_ratings(
     spark: SparkSession,
     path: str,
@@ -53,7 +69,7 @@ def read_ratings(
         )
     else:
         loaded = spark.read.format(fmt).load(path)
-        table = loaded.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in schema.fields])
+        table = loaded.select(*[_checked(loaded, f).alias(f.name) for f in schema.fields])
     return _standard_names(table, schema)
 
 
@@ -72,17 +88,17 @@ def parse_rating_lines(lines: DataFrame, column: str = "value", header: str = "u
     """Typed ratings from ``user,item,rating,seconds`` lines.
 
     A line whose first field is the header's is dropped, so every file of a
-    folder may carry one. Any other line that does not parse raises.
+    folder may carry one. Any other line that does not parse raises, a NULL line too.
     """
-    fields = F.split(F.col(column), ",")
-    return (
-        lines.where(F.trim(F.get(fields, F.lit(0))) != header)
-        .select(
-            strict_cast(F.get(fields, F.lit(0)), "int").alias(USER),
-            strict_cast(F.get(fields, F.lit(1)), "int").alias(ITEM),
-            strict_cast(F.get(fields, F.lit(2)), "double").alias(RATING),
-            strict_cast(F.get(fields, F.lit(3)), "bigint").alias(TS),
-        )
+    line = F.col(column)
+    # Only lines that begin like the header are looked at twice, and a line is split once.
+    is_header = F.ltrim(line).startswith(header) & (F.trim(F.substring_index(line, ",", 1)) == header)
+    fields = lines.where(~F.coalesce(is_header, F.lit(False))).select(F.split(line, ",").alias("fields"))
+    return fields.select(
+        strict_cast(F.get("fields", F.lit(0)), "int").alias(USER),
+        strict_cast(F.get("fields", F.lit(1)), "int").alias(ITEM),
+        strict_cast(F.get("fields", F.lit(2)), "double").alias(RATING),
+        strict_cast(F.get("fields", F.lit(3)), "bigint").alias(TS),
     )
 
 
