@@ -47,7 +47,7 @@ def targets(sizes: DataFrame, weights: DataFrame, share: float, cap: float) -> D
     the rest get the same number of words for each unit of weight.
     """
     known = with_source(sizes, weights).withColumn("full", cap * F.col("source_size"))
-    before = Window.orderBy(F.col("full") / F.col("weight"), "source").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.try_divide("full", "weight").asc_nulls_last(), "source").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     known = known.withColumns(
         {
@@ -55,7 +55,7 @@ def targets(sizes: DataFrame, weights: DataFrame, share: float, cap: float) -> D
             "weights": F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
         }
     )
-    known = known.withColumn("unit", F.col("left") / F.col("weights"))
+    known = known.withColumn("unit", F.try_divide("left", "weights"))
     unit = F.max(F.when(F.col("full") >= F.col("unit") * F.col("weight"), F.col("unit"))).over(whole)
     return known.withColumn("unit", unit).select(
         "source",
@@ -94,7 +94,7 @@ def tilts(counts: DataFrame, aims: DataFrame, cap: float, tolerance: float, most
             .groupBy("source")
             .agg(
                 F.sum(words * r).alias("words"),
-                F.sum(words * (F.col("size") / F.col("mean")) * r * (1 - r / cap)).alias("slope"),
+                F.sum(words * F.try_divide("size", "mean") * r * (1 - r / cap)).alias("slope"),
             )
         )
         over = F.coalesce(F.col("words"), F.lit(0.0)) - F.col("target")

@@ -9,8 +9,8 @@ Every step is one partially aggregated group-by over a narrow table in the share
 crosses, so a group with a third of all rows costs no task more than another.
 
 Defined cases: a null or empty text has no words and fails; null language or source is a group of its own; in groups
-with fewer than ``least_rows`` rows and where a count hardly varies, spreads are floored, so that small
-differences are no outliers; repeated rows are judged alike; an empty table gives an empty table.
+with fewer than ``least_rows`` rows the robust start is the estimate; where a count hardly varies, its spread is
+floored, so that small differences are no outliers; repeated rows are judged alike; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -150,8 +150,10 @@ def estimates(rows: DataFrame, group: list[str], steps: int, share: float, least
         for j in range(i + 1):
             spread = F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)
             middle = middle.withColumn(f"c{i}{j}", spread)
-    current = written(triangle(middle.drop(*[f"q{i}" for i in range(5)]), F.lit(1.0)), "estimate")
+    start = written(triangle(middle.drop(*[f"q{i}" for i in range(5)]), F.lit(1.0)), "estimate")
+    few, current = start.where(F.col("n") < least_rows), start
     for _ in range(steps):
+        # Groups too small for a covariance keep their start.
         measured = met(rows, current, group).withColumn("d", distance()).select(*group, *FEATURES, "d")
         limits = written(
             measured.groupBy(*group).agg(
@@ -159,8 +161,9 @@ def estimates(rows: DataFrame, group: list[str], steps: int, share: float, least
             ),
             "limits",
         )
-        nearest = met(measured, limits, group).where((F.col("d") <= F.col("limit")) | (F.col("rows") < least_rows))
-        current = written(triangle(moments(nearest.drop("limit", "rows"), group), F.lit(_inflation(share))), "estimate")
+        nearest = met(measured, limits, group).where((F.col("d") <= F.col("limit")) & (F.col("rows") >= least_rows))
+        better = triangle(moments(nearest.drop("limit", "rows"), group), F.lit(_inflation(share)))
+        current = written(better.unionByName(few), "estimate")
     return current
 
 

@@ -1,0 +1,63 @@
+"""The registered queries and the pipeline on a small table."""
+
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry_module
+import corpus_pipeline
+from ranksmith.llm.queries import QUERIES
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def folder(spark, documents, tmp_path_factory):
+    """A data folder whose documents are the test texts and some clean ones."""
+    path = tmp_path_factory.mktemp("data")
+    given = spark.read.parquet(f"{SF_DIR}/documents.parquet").where("doc_id < 60")
+    own = documents.select((F.col("doc_id") + 1000).alias("doc_id"), "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
+    given.unionByName(own).write.parquet(f"{path}/documents.parquet")
+    spark.read.parquet(f"{SF_DIR}/benchmark.parquet").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_all_are_registered():
+    names = set(entry_module.queries())
+    assert set(QUERIES) | {"pipeline"} <= names
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
+
+
+def test_stages(spark, folder):
+    """Each stage's rows come from its input's, in the same columns; the last numbers the mix's tokens."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns, before = docs.columns, Counter(map(tuple, docs.collect()))
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    assert names == ["quality rules", "near dedup", "decontamination", "mixing", "token files"]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, folder)
+        assert found.columns == columns
+        rows = Counter(map(tuple, found.collect()))
+        assert set(rows) <= set(before)
+        if name != "mixing":
+            assert all(n <= before[r] for r, n in rows.items())
+        assert rows
+        docs, before = spark.createDataFrame([r for r in rows.elements()], docs.schema), rows
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+    assert last.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert Counter(r["doc_id"] for r in last.collect()) == Counter(r[0] for r in before.elements())
+
+
+def test_run_is_the_stages_one_after_another(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder)
+    expected = Counter(map(tuple, docs.collect()))
+    assert Counter(map(tuple, corpus_pipeline.run(spark, folder).collect())) == expected
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_queries_return_a_row_for_each_row(spark, name):
+    table = "pages" if name.startswith("op5") else "documents"
+    assert QUERIES[name](spark, SF_DIR).count() == spark.read.parquet(f"{SF_DIR}/{table}.parquet").count()
