@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ranksmith.storage import remove, scratch_path, written
 
@@ -95,6 +95,12 @@ def with_results(
     return table.select(*[f"`{c}`" for c in wanted]).mapInArrow(run, schema)
 
 
+def row_keys(*columns: str) -> dict[str, Column]:
+    """128 bits, ``k1`` and ``k2``, that stand for the values of a row's columns; rows that agree in them share both."""
+    given = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
+    return {"k1": F.xxhash64(*given), "k2": F.xxhash64(F.lit(1), *given)}
+
+
 def guarded(table: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """The table under names of our own that no result can clash with, and the way back to its own names."""
     own = table.columns

@@ -11,15 +11,15 @@ Rates become copies in groups of some hundred documents of a source, dealt by a
 each takes the whole number next below or above its rate that brings the words taken so far nearest to the words wanted.
 
 Defined cases: a null or empty text has size 0 and rate 1 and takes nothing; a null source is a source, ordered last;
-a source without words has target 0; equal rows may get different copies, but as a multiset the result is the same at every
-run; an empty table gives an empty table.
+a source without words has target 0; rows equal in id, text and source get equal numbers of copies; the result is the same at
+every run, however the rows are partitioned; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ranksmith.llm.common import SPACE, guarded, guarded_name, kept_columns
+from ranksmith.llm.common import SPACE, guarded, guarded_name, kept_columns, row_keys
 from ranksmith.storage import written
 
 GROUP_ROWS = 200
@@ -130,22 +130,23 @@ def tilts(counts: DataFrame, aims: DataFrame, cap: float, tolerance: float, most
 
 
 def rounded(rates: DataFrame) -> DataFrame:
-    """(row, copies) for rows (group, size, rate, hash, row): whole numbers that keep each group's words on course."""
-    item = F.struct((-F.col("size")).alias("order"), "hash", "row", "size", "rate")
+    """(k1, k2, copies and the rest of ``rates``) for rows (group, size, rate, rows, k1, k2, ...): whole numbers that keep
+    each group's words on course. A row here stands for ``rows`` equal documents, which get the same number."""
+    carried = [c for c in rates.columns if c not in ("group", "size", "k1", "k2")]
+    item = F.struct((-F.col("size")).alias("order"), "k1", "k2", "size", *carried)
     grouped = rates.groupBy("group").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    start = F.struct(
-        F.lit(0.0).alias("due"), F.array().cast("array<struct<row:bigint,copies:bigint>>").alias("out")
-    )
+    start = F.struct(F.lit(0.0).alias("due"), F.array().cast("array<bigint>").alias("out"))
 
     def add(state, x):
-        due = state["due"] + x["rate"] * x["size"]
-        near = F.when(x["size"] > 0, F.round(due / x["size"])).otherwise(F.round(x["rate"]))
+        words = x["size"] * x["rows"]
+        due = state["due"] + x["rate"] * words
+        near = F.when(words > 0, F.round(due / words)).otherwise(F.round(x["rate"]))
         copies = F.least(F.greatest(near, F.floor(x["rate"])), F.ceil(x["rate"])).cast("bigint")
-        done = F.struct(x["row"].alias("row"), copies.alias("copies"))
-        return F.struct((due - copies * x["size"]).alias("due"), F.concat(state["out"], F.array(done)).alias("out"))
+        return F.struct((due - copies * words).alias("due"), F.concat(state["out"], F.array(copies)).alias("out"))
 
     folded = F.aggregate("items", start, add, lambda state: state["out"])
-    return grouped.select(F.explode(folded).alias("x")).select("x.row", "x.copies")
+    pairs = F.arrays_zip(F.col("items"), folded.alias("copies"))
+    return grouped.select(F.explode(pairs).alias("x")).select("x.items.*", F.col("x.copies").alias("copies")).drop("order")
 
 
 def mix(
@@ -170,17 +171,13 @@ def mix(
     table, _ = guarded(documents)
     names = {c: guarded_name(documents, c) for c in passed}
     value = F.coalesce(F.col(guarded_name(documents, text)), F.lit(""))
-    measured = written(
-        table.select(
-            *names.values(),
-            F.col(guarded_name(documents, source)).alias("source"),
-            F.regexp_count(value, F.lit(f"[^{SPACE}]+")).cast("bigint").alias("size"),
-            F.xxhash64(guarded_name(documents, id), value).alias("hash"),
-            F.monotonically_increasing_id().alias("row"),
-        ),
-        "measured",
-    )
-    counts = written(measured.groupBy("source", "size").agg(F.count(F.lit(1)).alias("rows")), "counts")
+    id, source = guarded_name(documents, id), guarded_name(documents, source)
+    filled = table.withColumn("value", F.coalesce(F.col(guarded_name(documents, text)), F.lit("")))
+    keyed = filled.withColumns(row_keys(id, "value", source))
+    size = F.regexp_count("value", F.lit(f"[^{SPACE}]+")).cast("bigint")
+    measured = keyed.select(F.col(source).alias("source"), size.alias("size"), "k1", "k2")
+    measured = written(measured.groupBy("source", "size", "k1", "k2").agg(F.count(F.lit(1)).alias("rows")), "measured")
+    counts = written(measured.groupBy("source", "size").agg(F.sum("rows").alias("rows")), "counts")
     sizes = counts.groupBy("source").agg(
         F.sum(F.col("rows") * F.col("size")).alias("source_size"), F.sum("rows").alias("n")
     )
@@ -192,11 +189,11 @@ def mix(
     rated = with_source(measured, solved, "left").withColumns(
         {
             "rate": rate(F.col("size"), cap),
-            "group": F.xxhash64("source", F.pmod(F.xxhash64("hash", F.lit(2)), groups), F.col("source").isNull()),
+            "group": F.xxhash64("source", F.pmod(F.xxhash64("k1", F.lit(2)), groups), F.col("source").isNull()),
         }
     )
-    copies = rounded(rated.select("group", "size", "rate", "hash", "row"))
-    final = rated.join(copies.withColumnRenamed("row", "row_of"), F.col("row") == F.col("row_of"))
+    decided = rounded(rated.select("group", "size", "rate", "rows", "k1", "k2", "source_size", "target"))
+    final = keyed.select(*names.values(), "k1", "k2").join(written(decided, "decided"), ["k1", "k2"])
     return final.select(
         *[F.col(n).alias(c) for c, n in names.items()],
         "size",

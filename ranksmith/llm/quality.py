@@ -9,7 +9,7 @@ Every step is one partially aggregated group-by over a narrow table in the share
 crosses, so a group with a third of all rows costs no task more than another.
 
 Defined cases: a null or empty text has no words and fails; null language or source is a group of its own; in groups
-with fewer than ``least_rows`` rows the robust start is the estimate; where a count hardly varies, its spread is
+with fewer than ``least_rows`` rows the robust start, widened, is the estimate; where a count hardly varies, its spread is
 floored, so that small differences are no outliers; repeated rows are judged alike; an empty table gives an empty table.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ranksmith.llm.common import SPACE, guarded, guarded_name, kept_columns
+from ranksmith.llm.common import SPACE, guarded, guarded_name, kept_columns, row_keys
 from ranksmith.storage import written
 
 SYMBOLS = "#*$%&|<>"
@@ -151,9 +151,12 @@ def estimates(rows: DataFrame, group: list[str], steps: int, share: float, least
             spread = F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)
             middle = middle.withColumn(f"c{i}{j}", spread)
     start = written(triangle(middle.drop(*[f"q{i}" for i in range(5)]), F.lit(1.0)), "estimate")
-    few, current = start.where(F.col("n") < least_rows), start
+    # Groups too small for a covariance keep their start, the wider the fewer rows it rests on.
+    wider = F.sqrt(1 + least_rows / F.col("n"))
+    factors = [f"l{i}{j}" for i in range(5) for j in range(i + 1)]
+    few = start.where(F.col("n") < least_rows).withColumns({c: F.col(c) * wider for c in factors})
+    current = start
     for _ in range(steps):
-        # Groups too small for a covariance keep their start.
         measured = met(rows, current, group).withColumn("d", distance()).select(*group, *FEATURES, "d")
         limits = written(
             measured.groupBy(*group).agg(
@@ -203,7 +206,7 @@ def judge_quality(
 ) -> DataFrame:
     """The rows with the five counts, ``base_failed``, ``distance`` (null for rows that failed) and ``kept``.
 
-    ``keep`` names the input columns to pass on (default all); a table with long texts is written once with them.
+    ``keep`` names the input columns to pass on (default all); they are written once with the counts.
     """
     results = [*COUNTS, "base_failed", "distance", "kept"]
     passed = kept_columns(documents, results, keep)
@@ -218,8 +221,8 @@ def judge_quality(
     counted = counted.withColumns({f"g{k}": F.col(g) for k, g in enumerate(groups)})
     held = [*names.values(), *[f"g{k}" for k in range(len(groups))], *COUNTS, "base_failed"]
     counted = counted.select(*held).withColumns(dict(zip(FEATURES, transformed())))
-    counted = written(counted, "counted")
     own = [f"g{k}" for k in range(len(groups))]
+    counted = written(counted, "counted")
     sound = counted.where(~F.col("base_failed")).select(*own, *FEATURES)
     current = estimates(sound, own, steps, share, least_rows)
     judged = met(counted, current, own)
@@ -233,10 +236,13 @@ def judge_quality(
     )
 
 
-def sound_documents(documents: DataFrame, **options) -> DataFrame:
-    """The documents that are kept, with the columns they came with."""
+def sound_documents(
+    documents: DataFrame, text: str = "text", group: tuple[str, ...] = ("lang", "source"), **options
+) -> DataFrame:
+    """The documents that are kept, with the columns they came with. Only keys and counts are written; the texts meet them once."""
     table, back = guarded(documents)
-    options = {"text": "text", "group": ("lang", "source")} | options
-    options["text"] = guarded_name(documents, options["text"])
-    options["group"] = tuple(guarded_name(documents, g) for g in options["group"])
-    return back(judge_quality(table, **options).where("kept"))
+    value, groups = guarded_name(documents, text), tuple(guarded_name(documents, g) for g in group)
+    keyed = table.withColumns(row_keys(value, *groups))
+    judged = judge_quality(keyed.select(value, *groups, "k1", "k2"), value, groups, keep=["k1", "k2"], **options)
+    kept = written(judged.where("kept").select("k1", "k2").distinct(), "kept")
+    return back(keyed.join(kept, ["k1", "k2"], "left_semi"))

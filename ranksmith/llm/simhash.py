@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ranksmith.llm.common import guarded, guarded_name, kept_columns, raw, with_results
+from ranksmith.llm.common import guarded, guarded_name, kept_columns, raw, row_keys, with_results
 from ranksmith.llm.components import connected
 from ranksmith.storage import written
 
@@ -231,6 +231,17 @@ def near_duplicates(
     table = documents.select(*[f"`{c}`" for c in need])
     signed = fingerprints(table, text, shingle, list(dict.fromkeys([*passed, id])))
     signed = written(signed.withColumn("_rs_row", F.monotonically_increasing_id()), "signed")
+    of = first_of_groups(signed, id, radius, blocks, bucket_rows)
+    return signed.join(of, signed["_rs_fp"] == of["_rs_of"]).select(
+        *[F.col(f"`{c}`") for c in passed],
+        F.lower(F.lpad(F.hex("_rs_fp"), 16, "0")).alias("fingerprint"),
+        F.col("_rs_first.id").alias("component_id"),
+        (F.col("_rs_first.row") == F.col("_rs_row")).alias("is_first"),
+    )
+
+
+def first_of_groups(signed: DataFrame, id: str, radius: int, blocks: int, bucket_rows: int) -> DataFrame:
+    """(_rs_of, _rs_first): each fingerprint with its group's smallest row, ids first, null ids last."""
     first = F.struct(F.col(f"`{id}`").isNull().alias("none"), F.col(f"`{id}`").alias("id"), F.col("_rs_row").alias("row"))
     distinct = written(signed.groupBy("_rs_fp").agg(F.min(first).alias("_rs_first")), "distinct")
     edges = links(units(distinct.select("_rs_fp"), blocks, radius, bucket_rows), radius)
@@ -238,22 +249,30 @@ def near_duplicates(
     members = groups.join(distinct, groups["node"] == distinct["_rs_fp"])
     least = written(members.groupBy("root").agg(F.min("_rs_first").alias("_rs_least")), "least")
     linked = written(groups.join(least, "root").select("node", "_rs_least"), "linked")
-    of = written(
-        distinct.join(linked, distinct["_rs_fp"] == linked["node"], "left").select(
-            F.col("_rs_fp").alias("_rs_of"), F.coalesce("_rs_least", "_rs_first").alias("_rs_first")
-        ),
-        "groups",
-    )
-    return signed.join(of, signed["_rs_fp"] == of["_rs_of"]).select(
-        *[F.col(f"`{c}`") for c in passed],
-        F.lower(F.lpad(F.hex("_rs_fp"), 16, "0")).alias("fingerprint"),
-        F.col("_rs_first.id").alias("component_id"),
-        (F.col("_rs_first.row") == F.col("_rs_row")).alias("is_first"),
+    of = distinct.join(linked, distinct["_rs_fp"] == linked["node"], "left")
+    return written(
+        of.select(F.col("_rs_fp").alias("_rs_of"), F.coalesce("_rs_least", "_rs_first").alias("_rs_first")), "groups"
     )
 
 
-def one_of_each(documents: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each group, the one with the smallest id, with the columns it came with."""
+def one_of_each(
+    documents: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    shingle: int = 4,
+    radius: int = 4,
+    blocks: int = 6,
+    bucket_rows: int = BUCKET_ROWS,
+) -> DataFrame:
+    """One document of each group, the one with the smallest id, with the columns it came with.
+
+    Of rows that agree in id and text one stays. Only keys and fingerprints are written; the texts meet them once.
+    """
     table, back = guarded(documents)
-    found = near_duplicates(table, guarded_name(documents, id), guarded_name(documents, text), **options)
-    return back(found.where("is_first"))
+    own, value = guarded_name(documents, id), guarded_name(documents, text)
+    keyed = table.withColumns(row_keys(own, value))
+    signed = fingerprints(keyed.select(own, value, "k1", "k2"), value, shingle, [own, "k1", "k2"])
+    signed = written(signed.withColumn("_rs_row", F.struct("k1", "k2")).drop("k1", "k2"), "signed")
+    of = first_of_groups(signed, own, radius, blocks, bucket_rows)
+    kept = written(of.select("_rs_first.row.*").distinct(), "kept")
+    return back(keyed.join(kept, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
