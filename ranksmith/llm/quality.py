@@ -25,7 +25,7 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = ["x0", "x1", "x2", "x3", "x4"]
 
 # The least spread of each transformed count: log words, word length, and shares of symbols, equal lines, repeated words.
-FLOORS = [0.5, 0.5, 0.02, 0.05, 0.05]
+FLOORS = [0.5, 0.5, 0.03, 0.15, 0.15]
 # Chi-square with five degrees of freedom: about one row in 10^9 of a normal distribution lies beyond.
 CUTOFF = 52.0
 SHARE = 0.75
