@@ -121,7 +121,25 @@ def op10_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ORACLES: dict[str, str] = {}
+_RULES = ", ".join(f"('{host}', '{path}', '{action}')" for host, path, action in RULES)
+
+ORACLES: dict[str, str] = {
+    "op5_hashed_url_rules": f"""
+WITH rules(rule_host, rule_path, action) AS (VALUES {_RULES}),
+rests AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+parsed AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rests)
+SELECT page_id, any_value(host) AS host, any_value(path) AS path,
+       arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+       coalesce(arg_max(action, length(rule_host || rule_path)), 'allow') AS verdict
+FROM parsed LEFT JOIN rules
+  ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+GROUP BY page_id"""
+}
 
 QUERIES = {
     f.__name__: f
