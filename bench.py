@@ -16,12 +16,18 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import SparkSession  # noqa: E402
 
 from ranksmith.operators import (  # noqa: E402
+    GLOBAL,
+    SEGMENT,
+    als_estimator,
     coldstart_report,
     fit_als,
+    flatten_lists,
     hash_split,
+    merge_ratings,
     top_items,
     top_items_by_type,
     top_users,
+    with_item_type,
 )
 from ranksmith.storage import written  # noqa: E402
 from ranksmith.workload import tables as t  # noqa: E402
@@ -35,6 +41,7 @@ RELATIONAL = [
     "ratings_with_type",
     "merged_ratings",
     "duplicates_mean",
+    "duplicates_latest",
     "first_of_each_list",
     "catalog_left_join",
     "media_cells",
@@ -102,11 +109,42 @@ def main() -> None:
         lambda: QUERIES["segment_lists_shape"](spark, SF_DIR).collect(), 2
     )
 
+    # The same jobs from Spark ML's own calls, in the same session.
+    plain: dict[str, float] = {}
+    plain["fit_global"], _ = timed(lambda: als_estimator(GLOBAL).fit(ratings), 2)
+    plain["top10_all_users"], _ = timed(lambda: drain(model.als_model.recommendForAllUsers(10)), 2)
+    plain["top10_all_items"], _ = timed(lambda: drain(model.als_model.recommendForAllItems(10)), 2)
+    merged = merge_ratings(t.triples(spark, SF_DIR), t.one_user(spark, SF_DIR))
+    target = spark.createDataFrame([(t.TARGET_ALIAS,)], "user_id int")
+
+    def plain_flagship():
+        training, test = merged.randomSplit([0.8, 0.2], 42)
+        fitted = als_estimator(GLOBAL).fit(training)
+        scored = fitted.transform(test)
+        scored.selectExpr("sqrt(avg(pow(rating - prediction, 2)))").collect()
+        long_list = flatten_lists(fitted.recommendForUserSubset(target, 100))
+        both = long_list.join(catalog, long_list["item_id"] == catalog["ID"], "left")
+        return [both.where(both["Type"] == kind).limit(5).collect() for kind in t.TYPES]
+
+    def plain_segments():
+        typed = with_item_type(merged, catalog)
+        for kind in t.TYPES:
+            training, test = typed.where(typed["Type"] == kind).randomSplit([0.8, 0.2], 42)
+            fitted = als_estimator(SEGMENT).fit(training)
+            scored = fitted.transform(test)
+            scored.selectExpr("sqrt(avg(pow(rating - prediction, 2)))").collect()
+            fitted.recommendForUserSubset(target, 5).collect()
+
+    plain["flagship"], _ = timed(plain_flagship, 2)
+    plain["segment_lists"], _ = timed(plain_segments, 2)
+
     line = {
         "metric": "total_headline_seconds",
         "value": round(sum(seconds.values()), 3),
         "unit": "sec",
         "queries": seconds,
+        "plain_spark_ml": plain,
+        "ratio_to_plain": {name: round(seconds[name] / s, 2) for name, s in plain.items()},
         "sf": Path(SF_DIR).name.removeprefix("sf"),
         "ratings": rows,
         "cpus": CPUS,
