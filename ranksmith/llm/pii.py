@@ -89,7 +89,9 @@ def confirmed(text: str) -> list[tuple[str, int, int]]:
     if not DIGIT.search(text):
         return found
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        # Leading zeros count for nothing, and Python reads no number of thousands of digits.
+        parts = [p.lstrip("0") for p in m.group().split(".")]
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in parts):
             found.append(("ip", *m.span()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12:

@@ -63,6 +63,13 @@ def test_long_runs_take_linear_time():
         secrets.base_spans(text)
 
 
+def test_address_parts_of_any_length():
+    zeros = "0" * 5000
+    assert pii.confirmed(f"{zeros}7.1.{zeros}.3") == [("ip", 0, 10006)]
+    assert pii.confirmed(f"{zeros}256.1.2.3") == []
+    assert pii.confirmed("9" * 5000 + ".1.2.3") == []
+
+
 def test_novelty_tells_random_strings_from_known_ones():
     novelty = secrets.Novelty()
     random_text = "auth header is Zk93jXq27LmPv84TnRw05Ys here"
