@@ -72,6 +72,11 @@ def rate(size: Column, cap: float) -> Column:
     return F.when(F.col("mean") <= 0, F.lit(1.0)).when(F.col("target") >= cap * F.col("source_size"), F.lit(cap)).otherwise(tilted)
 
 
+def exact_sum(column: Column) -> Column:
+    """A sum that does not depend on the order of its rows, so that every run takes the same steps."""
+    return F.sum(column.cast("decimal(28,8)")).cast("double")
+
+
 def tilts(counts: DataFrame, aims: DataFrame, cap: float, tolerance: float, most: int) -> DataFrame:
     """(source, source_size, n, target, mean, lambda): Newton's iterations on the dual, one grouped sum each."""
     state = written(
@@ -93,8 +98,8 @@ def tilts(counts: DataFrame, aims: DataFrame, cap: float, tolerance: float, most
             with_source(counts, state)
             .groupBy("source")
             .agg(
-                F.sum(words * r).alias("words"),
-                F.sum(words * F.try_divide("size", "mean") * r * (1 - r / cap)).alias("slope"),
+                exact_sum(words * r).alias("words"),
+                exact_sum(words * F.try_divide("size", "mean") * r * (1 - r / cap)).alias("slope"),
             )
         )
         over = F.coalesce(F.col("words"), F.lit(0.0)) - F.col("target")
