@@ -3,7 +3,8 @@
 The patterns report keys by their form. Beyond them, a long token that stands near a sensitive word is
 a candidate. Its novelty is the number of bytes that Zstandard needs more for the surrounding
 text with the token than without it, when the compressor already knows a dictionary of common identifiers and
-has seen the text around. A token that costs nearly its own length is random, hence reported.
+has seen the text around. A token that costs nearly its own length is random, hence reported. Other places of the token are no
+surroundings: a secret that stands twice is not known through itself, and all its places are reported.
 
 Defined cases: a null or empty text has no spans; equal rows give equal results; texts of any length are read
 whole; an empty table gives an empty table.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 import zstandard
@@ -32,7 +34,9 @@ ASSIGN_LENGTH = 12
 
 SENSITIVE_WORDS = ("key", "auth", "bearer", "credential", "pwd", "private", "signature", "passw", "secret", "token")
 SENSITIVE = re.compile("|".join(SENSITIVE_WORDS), re.I | re.A)
+LEAST_LENGTH = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+PART = re.compile(r"[^=]+=*")
 
 # Identifiers that code and configuration repeat; no secret among them.
 IDENTIFIERS = (
@@ -49,6 +53,27 @@ IDENTIFIERS = (
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,novelty:double>>"
 
 
+def core(token: str) -> str:
+    """What names a token at its other places: the part behind its last ``=`` that is no padding, if long enough."""
+    last = token.rstrip("=").rpartition("=")[2]
+    return last if len(last) >= LEAST_LENGTH else token
+
+
+def surroundings(text: str, start: int, end: int, around: int) -> str:
+    """``around`` code points on either side of a token, without its other places there, whole or cut."""
+    name = core(text[start:end])
+    kept = []
+    for low, high, first, last in ((max(0, start - around), start, 0, start), (end, end + around, end, len(text))):
+        at, high = low, min(high, last)
+        place = text.find(name, max(first, low - len(name)), min(last, high + len(name)))
+        while place >= 0:
+            kept.append(text[at : max(at, min(place, high))])
+            at = max(at, place + len(name))
+            place = text.find(name, place + len(name), min(last, high + len(name)))
+        kept.append(text[at : max(at, high)])
+    return "".join(kept)
+
+
 class Novelty:
     """Marginal compressed bytes of a token in its surroundings."""
 
@@ -60,8 +85,7 @@ class Novelty:
 
     def __call__(self, text: str, start: int, end: int, around: int) -> float:
         """Marginal bytes as a share of the token's own."""
-        before, after = text[max(0, start - around) : start], text[end : end + around]
-        known = (before + after).encode()
+        known = surroundings(text, start, end, around).encode()
         token = text[start:end].encode()
         return (len(self.pack.compress(known + token)) - len(self.pack.compress(known))) / len(token)
 
@@ -83,7 +107,7 @@ def novel_spans(text, base, novelty, within: int, around: int, least: float):
     lowered = text.lower()
     if not any(w in lowered for w in SENSITIVE_WORDS):
         return []
-    found, done = [], 0
+    found, names, done = [], {}, 0
     for word in SENSITIVE.finditer(text):
         at = max(done, word.end())
         for m in CANDIDATE.finditer(text, at, min(len(text), word.end() + within + 512)):
@@ -96,6 +120,21 @@ def novel_spans(text, base, novelty, within: int, around: int, least: float):
                 score = novelty(text, *m.span(), around)
                 if score >= least:
                     found.append(("novel", *m.span(), score))
+                    names[core(token)] = score
+    return found + other_places(text, base + [f[:3] for f in found], names) if names else found
+
+
+def other_places(text, taken, names):
+    """The places outside the spans ``taken`` where a token that was found novel stands as a word or behind a ``=``."""
+    found = []
+    starts, ends = sorted(a for _, a, _ in taken), sorted(b for _, _, b in taken)
+    for m in CANDIDATE.finditer(text):
+        for a, b in [m.span(), *(p.span() for p in PART.finditer(text, *m.span()))]:
+            score = names.get(core(text[a:b]))
+            # As many spans begin before its end as end before its start: none overlaps.
+            if score is not None and bisect_left(starts, b) == bisect_right(ends, a):
+                found.append(("novel", a, b, score))
+                break
     return found
 
 

@@ -150,3 +150,31 @@ def test_ties_between_rules(spark):
     assert got["http://a.net/bb"] == ("a.net/", "allow")  # equal length: the longer host
     assert got["http://b.net/bb"] == ("net/bb", "block")  # the same rule twice: block
     assert got["http://b.net/c"] == (None, "allow")
+
+
+TOKEN = "Zk93jXq27LmPv84TnRw05Ys6BdHc1Ga"
+
+
+def novel(text):
+    base = secrets.base_spans(text)
+    return sorted(s[1:3] for s in secrets.novel_spans(text, base, secrets.Novelty(), 40, 400, 0.75))
+
+
+def places(text, token=TOKEN):
+    return [(m.start(), m.end()) for m in re.finditer(re.escape(token), text)]
+
+
+def test_a_secret_that_stands_twice_is_found_at_each_place():
+    line = f"Authorization: Bearer {TOKEN}\n"
+    assert novel(line) == places(line)
+    assert novel(line * 2) == places(line * 2) and len(line * 2) < 110
+    passage = f"curl -H 'Authorization: Bearer {TOKEN}' https://example.com/v1/items and so on. "
+    assert novel(passage * 3) == places(passage * 3)
+    text = f"private credential {TOKEN} is {'never written down by any of us, ' * 3}{TOKEN} end"
+    assert novel(text) == places(text)
+    # The second copy is cut by the end of the surroundings; the other one stands in a base span.
+    text = line + "x " * 185 + line
+    assert novel(text) == places(text)
+    text = f"token={TOKEN}\nAuthorization: Bearer {TOKEN}"
+    assert novel(text) == places(text)[1:]
+    assert novel("see document-container-1 and document-container-1 here, credential application/json1") == []
