@@ -178,3 +178,17 @@ def test_a_secret_that_stands_twice_is_found_at_each_place():
     text = f"token={TOKEN}\nAuthorization: Bearer {TOKEN}"
     assert novel(text) == places(text)[1:]
     assert novel("see document-container-1 and document-container-1 here, credential application/json1") == []
+
+
+def test_long_tokens_are_found_whole():
+    draw = random.Random(2)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for n, alphabet in ((600, letters), (1700, letters + "+/"), (6000, letters), (6000, letters + "+/")):
+        token = "Q7" + "".join(draw.choice(alphabet) for _ in range(n))
+        text = f'private_key: {token}== and {"words " * 30}'
+        assert novel(text) == [(13, 13 + n + 4)], n
+        assert novel(text + "\n" + text) == places(text + "\n" + text, token + "=="), n
+    # A candidate may begin up to the limit, not behind it; none is searched for beyond.
+    for gap in (40, 41):
+        assert novel("key" + " " * gap + TOKEN) == ([(43, 43 + len(TOKEN))] if gap == 40 else [])
+    assert novel("key " * 100_000) == [] and novel("key1" * 30_000) == []
