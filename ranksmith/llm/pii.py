@@ -71,16 +71,22 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 
 def ibans(text: str) -> list[tuple[int, int]]:
-    """The longest run of groups that begins like an IBAN and passes the checksum."""
-    found = []
-    for m in IBAN.finditer(text):
+    """The longest run of groups that begins like an IBAN and passes the checksum.
+
+    The search goes on behind a confirmed part, else at the next group of what it took.
+    """
+    found, m = [], IBAN.search(text)
+    while m:
         groups = m.group().split(" ")
         ends = list(accumulate(len(g) + 1 for g in groups))
+        at = m.start() + len(groups[0])
         for n in range(len(groups), 0, -1):
             joined = "".join(groups[:n])
             if 15 <= len(joined) <= 34 and mod97(joined):
-                found.append((m.start(), m.start() + ends[n - 1] - 1))
+                at = m.start() + ends[n - 1] - 1
+                found.append((m.start(), at))
                 break
+        m = IBAN.search(text, at)
     return found
 
 

@@ -192,3 +192,15 @@ def test_long_tokens_are_found_whole():
     for gap in (40, 41):
         assert novel("key" + " " * gap + TOKEN) == ([(43, 43 + len(TOKEN))] if gap == 40 else [])
     assert novel("key " * 100_000) == [] and novel("key1" * 30_000) == []
+
+
+def test_ibans_in_lists_and_behind_references():
+    german, british = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    spans = lambda text: [text[a:b] for a, b in pii.ibans(text)]
+    assert spans(f"{german} {british}") == [german, british]
+    assert spans(f"{british} {german} {british} end") == [british, german, british]
+    assert spans(f"EU27 {german}") == [german]
+    assert spans(f"REF AB12 CD34 {british}, {german}") == [british, german]
+    assert spans(german.replace(" ", "") + " " + british.replace(" ", "")) == [german.replace(" ", ""), british.replace(" ", "")]
+    assert len(spans(f"{german} " * 10_000)) == 10_000
+    assert spans("AB12 " * 50_000) == []
