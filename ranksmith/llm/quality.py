@@ -24,8 +24,9 @@ SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = ["x0", "x1", "x2", "x3", "x4"]
 
-# The least spread of each transformed count: log words, word length, and shares of symbols, equal lines, repeated words.
-FLOORS = [0.5, 0.5, 0.03, 0.15, 0.15]
+# The least spread of each transformed count: log words, word length, share of symbols, and weighted shares of equal lines and
+# repeated words. Beyond sqrt(CUTOFF) times its floor each of the last three can reject alone: 35 equal lines of 70, not 5 of 6.
+FLOORS = [0.5, 0.5, 0.03, 0.25, 0.25]
 # Chi-square with five degrees of freedom: about one row in 10^9 of a normal distribution lies beyond.
 CUTOFF = 52.0
 SHARE = 0.75
@@ -49,7 +50,7 @@ def sorted_windows(words: Column) -> Column:
 
 
 def with_counts(table: DataFrame, text: str) -> DataFrame:
-    """The rows with the five counts; helper columns begin with ``_q``."""
+    """The rows with the five counts and ``_q_n_lines``; helper columns begin with ``_q``."""
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lines = F.filter(F.split(value, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))
     table = table.withColumns(
@@ -63,6 +64,7 @@ def with_counts(table: DataFrame, text: str) -> DataFrame:
     table = table.withColumns(
         {
             "n_words": F.size("_q_words").cast("bigint"),
+            "_q_n_lines": F.size("_q_lines"),
             "n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("bigint"),
             "_q_windows": sorted_windows(F.col("_q_words")),
         }
@@ -89,8 +91,9 @@ def transformed() -> list[Column]:
         F.log1p("n_words"),
         F.col("word_chars") / words,
         F.sqrt(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))),
-        F.sqrt(F.col("n_dup_lines") / (F.col("n_dup_lines") + 20)),
-        F.sqrt(F.col("n_repeat_words") / words),
+        # A share, weighted by the count's size: small for a short notice in a short text, large for a page of copies.
+        F.log1p("n_dup_lines") * F.col("n_dup_lines") / F.greatest(F.col("_q_n_lines"), F.lit(1)),
+        F.log1p("n_repeat_words") * F.col("n_repeat_words") / words,
     ]
 
 
@@ -220,7 +223,7 @@ def judge_quality(
     )
     counted = counted.withColumns({f"g{k}": F.col(g) for k, g in enumerate(groups)})
     held = [*names.values(), *[f"g{k}" for k in range(len(groups))], *COUNTS, "base_failed"]
-    counted = counted.select(*held).withColumns(dict(zip(FEATURES, transformed())))
+    counted = counted.select(*held, "_q_n_lines").withColumns(dict(zip(FEATURES, transformed()))).drop("_q_n_lines")
     own = [f"g{k}" for k in range(len(groups))]
     counted = written(counted, "counted")
     sound = counted.where(~F.col("base_failed")).select(*own, *FEATURES)

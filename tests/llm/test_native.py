@@ -63,6 +63,25 @@ def test_outliers_go_and_the_rest_stays(junk):
     assert sum(not got[i]["kept"] for i in range(900) if i % 45) <= 3
 
 
+def test_copied_lines_and_words_reject_alone_and_a_notice_does_not(spark, junk):
+    rng = np.random.default_rng(12)
+    prose = [r["text"].split() for r in junk.where("doc_id % 45 > 0").limit(400).collect()]
+    vocabulary = [w for text in prose for w in text]
+    draw = lambda n: list(rng.choice(vocabulary, size=n))
+    menu, phrase, notice = draw(60), " ".join(draw(10)), " ".join(draw(9))
+    lines = ["\n".join(rng.choice(menu, size=n)) for n in (150, 400, 900)]
+    half = ["\n".join(f"{' '.join(draw(2))}\n{menu[0]}" for _ in range(n)) for n in (60, 300)]
+    words = [" ".join(f"{phrase} {' '.join(draw(13))}" for _ in range(n)) for n in (27, 60)]
+    noticed = [f"{notice}\n{' '.join(draw(n))}\n{notice}" for n in (34, 40, 60, 100, 200, 400)]
+    bad, good = lines + half + words, noticed + [" ".join(t) for t in prose]
+    rows = [(i, t, "en", "one") for i, t in enumerate(bad + good)]
+    table = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.judge_quality(table, keep=["doc_id"]).collect()}
+    assert not any(got[i]["base_failed"] for i in range(len(bad) + len(noticed)))
+    assert not any(got[i]["kept"] for i in range(len(bad)))
+    assert all(got[i]["kept"] for i in range(len(bad), len(bad) + len(noticed)))
+
+
 def test_outliers_do_not_move_the_estimate(junk):
     """Distances of clean rows stay near those found without the outliers."""
     clean = {r["doc_id"]: r["distance"] for r in quality.judge_quality(junk.where("doc_id % 45 > 0")).collect()}
