@@ -10,11 +10,14 @@ from ranksmith.llm import (
     pii,
     ppm,
     quality,
+    resampling,
     secrets,
     simhash,
     suffixdedup,
     tokenfiles,
+    toxicity,
     urls,
+    valuecodes,
 )
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -121,6 +124,22 @@ def op10_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_value_dictionary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return valuecodes.code_vectors(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+
+
+def op12_gumbel_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+
+
+def op13_factorization_machine_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    found = toxicity.score_toxicity(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), trains=~held_out, keep=["doc_id"]
+    )
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 _RULES = ", ".join(f"('{host}', '{path}', '{action}')" for host, path, action in RULES)
 
 ORACLES: dict[str, str] = {
@@ -154,5 +173,8 @@ QUERIES = {
         op8_bucket_pointer_dedup,
         op9_pfor_token_files,
         op10_bit_sliced_simhash,
+        op11_value_dictionary_codes,
+        op12_gumbel_importance_resample,
+        op13_factorization_machine_toxicity,
     )
 }

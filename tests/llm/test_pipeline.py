@@ -26,7 +26,7 @@ def folder(spark, documents, tmp_path_factory):
 def test_all_are_registered():
     names = set(entry_module.queries())
     assert set(QUERIES) | {"pipeline"} <= names
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
 def test_stages(spark, folder):
@@ -59,5 +59,5 @@ def test_run_is_the_stages_one_after_another(spark, folder):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_return_a_row_for_each_row(spark, name):
-    table = "pages" if name.startswith("op5") else "documents"
+    table = {"op5": "pages", "op11": "embeddings"}.get(name.split("_")[0], "documents")
     assert QUERIES[name](spark, SF_DIR).count() == spark.read.parquet(f"{SF_DIR}/{table}.parquet").count()
