@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ranksmith.llm.decontaminate import clean_documents
 from ranksmith.llm.mixing import mixed_documents
-from ranksmith.llm.nearcopies import one_of_near_copies
 from ranksmith.llm.quality import sound_documents
 from ranksmith.llm.queries import END_ID, WEIGHTS, table, tokenizer_path
+from ranksmith.llm.simhash import one_of_each
 from ranksmith.llm.tokenfiles import token_table
 from ranksmith.storage import written
 
@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the document with the smallest id stays."""
-    return one_of_near_copies(docs, shingle=5, percent=80)
+    """Of each group linked by fingerprints of four-word shingles that differ in at most four bits, the smallest id stays."""
+    return one_of_each(docs, shingle=4, radius=4)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
