@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ranksmith.llm import (
     decontaminate,
     mixing,
+    oracles,
     pii,
     ppm,
     quality,
@@ -157,7 +158,9 @@ SELECT page_id, any_value(host) AS host, any_value(path) AS path,
        coalesce(arg_max(action, length(rule_host || rule_path)), 'allow') AS verdict
 FROM parsed LEFT JOIN rules
   ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
-GROUP BY page_id"""
+GROUP BY page_id""",
+    "op11_value_dictionary_codes": oracles.value_codes(),
+    "op12_gumbel_importance_resample": oracles.resampled(),
 }
 
 QUERIES = {
