@@ -12,7 +12,9 @@ each other by a hash of their text, then their text; an empty table makes no seg
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +28,18 @@ SEGMENT_IDS = 1 << 20
 CACHED_WORDS = 1 << 20
 
 
+# A run of small letters that no letter or byte beyond ASCII follows, or whatever stands up to the next white space.
+PIECES = re.compile(rb"[a-z]+(?![a-z\x80-\xFF])|\S+")
+LETTERS = re.compile(rb"[a-z]+")
+
+
 class Encoder:
     """Token ids of texts. With ``by_word`` each distinct word is encoded once and remembered, up to a bound.
 
     ``by_word`` is for vocabularies that drop white space and never look across it; the texts are cut at ASCII
-    white space and the words' ids put together.
+    white space and the words' ids put together. A tokenizer seen to do otherwise is refused. One that also ignores case and always
+    ends a piece where a run of letters ends gets its texts cut there too, so that there are fewer words to remember, and
+    words of letters alone go straight to its model.
     """
 
     def __init__(self, definition: str, by_word: bool):
@@ -39,22 +48,56 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.by_word = by_word
+        if by_word and self.whole("A b\n ab a.b\t1 2 é") != [x for w in "A b ab a.b 1 2 é".split() for x in self.whole(w)]:
+            raise ValueError("the tokenizer keeps white space or looks across it; encode whole texts (by_word=False)")
+        self.cuts_letters = by_word and self.ends_with_letters()
         self.forget()
 
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def ends_with_letters(self) -> bool:
+        """Whether small letters stand for themselves, capitals for small letters, and other ASCII never joins letters before it."""
+        others = [chr(c) for c in range(128) if not chr(c).isalpha() and not chr(c).isspace()]
+        words = ["the", "ab", "internationalization", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba"]
+        return all(self.whole(f"aB{c}re") == self.whole("ab") + self.whole(f"{c}re") for c in others) and all(
+            self.whole(w) == self.whole(w.upper()) == [t.id for t in self.tokenizer.model.tokenize(w)] for w in words
+        )
+
     def forget(self):
         self.number: dict[bytes, int] = {}
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
+    def cut(self, text: bytes) -> list[bytes]:
+        return PIECES.findall(text.lower()) if self.cuts_letters else text.split()
+
     def learn(self, words: list[bytes]):
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        ids = [e.ids for e in found]
+        ids: list[list[int]] = [[]] * len(words)
+        other = []
+        model = self.tokenizer.model.tokenize
+        for k, w in enumerate(words):
+            if self.cuts_letters and LETTERS.fullmatch(w):
+                ids[k] = [t.id for t in model(w.decode())]
+            else:
+                other.append(k)
+        for k, e in zip(other, self.tokenizer.encode_batch_fast([words[k].decode() for k in other], add_special_tokens=False)):
+            ids[k] = e.ids
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(sizes) - sizes))
         self.size = np.concatenate((self.size, sizes))
-        self.flat = np.concatenate((self.flat, np.fromiter((x for i in ids for x in i), np.uint32, int(sizes.sum()))))
-        for w in words:
-            self.number[w] = len(self.number)
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))))
+        self.number.update(zip(words, range(len(self.number), len(self.size))))
+
+    def indexes(self, words: list[bytes]) -> np.ndarray:
+        """The words' numbers; new ones are learnt."""
+        index = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(index < 0)
+        if len(new):
+            missing = [words[k] for k in new.tolist()]
+            self.learn(list(dict.fromkeys(missing)))
+            index[new] = np.fromiter(map(self.number.__getitem__, missing), np.int64, len(missing))
+        return index
 
     def __call__(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and the texts' numbers of ids."""
@@ -64,13 +107,9 @@ class Encoder:
             return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
         if len(self.number) > CACHED_WORDS:
             self.forget()
-        words = [t.split() for t in texts]
-        new = {w for line in words for w in line if w not in self.number}
-        if new:
-            self.learn(sorted(new))
-        get = self.number.__getitem__
+        words = [self.cut(t) for t in texts]
         counts = np.array([len(line) for line in words], np.int64)
-        index = np.fromiter((get(w) for line in words for w in line), np.int64, int(counts.sum()))
+        index = self.indexes(list(chain.from_iterable(words)))
         sizes = self.size[index]
         upto = np.concatenate(([0], np.cumsum(sizes)))
         source = np.arange(upto[-1]) + np.repeat(self.start[index] - upto[:-1], sizes)
