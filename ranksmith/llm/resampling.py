@@ -1,8 +1,8 @@
 """Importance resampling towards a target: hashed n-gram gains, exponential noise, the best share without replacement.
 
-1. A task joins the texts of a batch with a separator that no word can hold. One pass of a regular expression finds all words
-   with their places; the documents' offsets, searched with ``searchsorted``, say which document each word is of, and
-   n-grams whose first and last word are of different documents are masked. ``bincount`` of the hashed rest counts the batch.
+1. A task joins the texts of a batch with a separator that no word can hold. One pass of a regular expression finds all words;
+   the documents' offsets, searched with ``searchsorted`` for the words' places, say which document each is of, and n-grams
+   whose first and last word are of different documents are masked. ``bincount`` of the hashed rest counts the batch.
 2. Spark adds up the buckets' counts of the documents and of the target. A bucket's gain is the rounded logarithm of its smoothed
    share in the target over that in the documents. There are as many gains as buckets, whatever the corpus.
 3. The same pass over each batch adds up the gains of every document's features. Gumbel noise, drawn from a hash of the id, makes
@@ -33,21 +33,25 @@ BATCH_BYTES = 1 << 20
 SEPARATOR = b"\x00"
 # Of lower-cased UTF-8: digits, small letters, and all bytes of letters beyond ASCII.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+OF_WORDS = bytes(WORD.match(bytes([b])) is not None for b in range(256))
+CHUNK_WORDS = 1 << 17
 
 
 def words_in(texts: list[bytes], longest: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """The document and the CRC of every word of the joined texts, and the words themselves where n-grams need them."""
     joined = SEPARATOR.join(texts).lower()
-    if longest == 1:
-        packed = np.fromiter((m.start() << 32 | crc32(m[0]) for m in WORD.finditer(joined)), np.int64)
-        words = []
-    else:
-        found = list(WORD.finditer(joined))
-        words = [m[0] for m in found]
-        packed = np.fromiter((m.start() << 32 | crc32(w) for m, w in zip(found, words)), np.int64, len(words))
+    inside = np.frombuffer(SEPARATOR + joined.translate(OF_WORDS), np.uint8)
+    starts = np.flatnonzero(inside[1:] > inside[:-1])
+    code, words = np.zeros(len(starts), np.int64), []
+    for a in range(0, len(starts), CHUNK_WORDS):
+        n = min(CHUNK_WORDS, len(starts) - a)
+        end = int(starts[a + n]) if a + n < len(starts) else len(joined)
+        found = WORD.findall(joined, int(starts[a]), end)
+        code[a : a + n] = np.fromiter(map(crc32, found), np.int64, n)
+        if longest > 1:
+            words += found
     offsets = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-    document = np.searchsorted(offsets, packed >> 32, side="right") - 1
-    return document, packed & 0xFFFFFFFF, words
+    return np.searchsorted(offsets, starts, side="right") - 1, code, words
 
 
 def features(texts: list[bytes], longest: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
