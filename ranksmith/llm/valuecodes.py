@@ -84,7 +84,7 @@ def write_blocks(kept: DataFrame, columns: list[str], vector: str, size: int, sc
                 held = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held)
                 yield pa.RecordBatch.from_arrays([held, dictionaries, pa.array([codes.tobytes()], pa.binary())], names=schema.names)
 
-    return written(kept.select(*columns, vector).mapInArrow(run, schema), "blocks")
+    return written(kept.select(*dict.fromkeys([*columns, vector])).mapInArrow(run, schema), "blocks")
 
 
 def unpacked(batch: pa.RecordBatch, k: int) -> tuple[list[np.ndarray], np.ndarray]:
