@@ -79,15 +79,16 @@ def with_results(
     fields: str,
     text: str = "text",
     keep: Iterable[str] | None = None,
+    limit: int = SLICE_BYTES,
 ) -> DataFrame:
-    """The rows, one for one, with columns ``fields`` that ``results`` makes of the texts of a piece."""
+    """The rows, one for one, with columns ``fields`` that ``results`` makes of the texts of a piece of about ``limit`` bytes."""
     new = T.StructType.fromDDL(fields)
     passed = kept_columns(table, new.names, keep)
     schema = T.StructType([table.schema[c] for c in passed] + list(new))
     names = schema.names
 
     def run(batches):
-        for piece in slices(batches, text):
+        for piece in slices(batches, text, limit):
             arrays = [piece.column(c) for c in passed] + results(piece.column(text))
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 

@@ -58,9 +58,33 @@ def bucket(value: np.ndarray, kind: int) -> np.ndarray:
     return (value >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def cut(text: bytes, most: int) -> list[bytes]:
+    """The text in parts of at most ``most`` bytes or one longer word, cut at blanks, which no term reaches across."""
+    parts, start = [], 0
+    while len(text) - start > most:
+        end = text.rfind(b" ", start, start + most)
+        end = text.find(b" ", start + most) if end <= start else end
+        if end < 0:
+            break
+        parts.append(text[start:end])
+        start = end
+    return [*parts, text[start:]]
+
+
 def terms(texts: list[bytes], gram: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) of all terms, each pair once, in order; with ``wanted`` only the buckets that are marked there."""
     plain = [t.translate(WORDS) for t in texts]
+    if max(map(len, plain), default=0) > PIECE_BYTES:
+        found = []
+        for k, text in enumerate(plain):
+            codes = [_terms([part], gram, wanted)[1] for part in cut(text, PIECE_BYTES)]
+            found.append(k << BITS | np.unique(np.concatenate(codes)))
+        every = np.concatenate(found)
+        return every >> BITS, every & ((1 << BITS) - 1)
+    return _terms(plain, gram, wanted)
+
+
+def _terms(plain: list[bytes], gram: int, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b" " + b" ".join(plain) + b" ", np.uint8)
     starts = 1 + np.cumsum([0, *(len(t) + 1 for t in plain[:-1])])
     size = len(data)
@@ -217,5 +241,5 @@ def score_toxicity(
         score = Machine.of(shared.value)(raw(column))
         return [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
 
-    scored = with_results(table, results, "score double, predicted int", value, list(names.values()))
+    scored = with_results(table, results, "score double, predicted int", value, list(names.values()), PIECE_BYTES)
     return scored.toDF(*names, "score", "predicted")

@@ -218,3 +218,12 @@ def test_the_sample_is_a_share_by_id(spark):
     rows = spark.range(20_000).withColumnRenamed("id", "_id")
     assert toxicity.sampled(rows, "_id", 20_000).count() == 20_000
     assert 900 < toxicity.sampled(rows, "_id", 1000).count() < 1100
+
+
+def test_terms_of_long_texts_in_parts(monkeypatch):
+    rng = np.random.default_rng(6)
+    word = lambda: bytes(rng.choice(list(b"abcdef"), rng.integers(1, 9)).tolist())
+    texts = [b" ".join(word() for _ in range(2000)), b"", b"x" * 300 + b" yy", b" lead  two "]
+    whole = toxicity.terms(texts, 5)
+    monkeypatch.setattr(toxicity, "PIECE_BYTES", 200)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, toxicity.terms(texts, 5)))
