@@ -9,11 +9,12 @@ escape (its probability is the number of different followers over that number pl
 context is asked without the followers already ruled out (exclusion). Below the empty context all 256 symbols are
 equally likely: the bytes of UTF-8, of which 0xFF never occurs and stands for the end of a text, and before its start.
 
-Scoring: documents are dealt into groups of about ``group_bytes``. A task lists what its group needs, each word and each
-context with its byte once; Spark joins these lists with the model; the group's documents meet the answers in one
-task, which adds them up. No list is longer than the group's own text.
+Scoring: documents are dealt into groups of about ``group_bytes``, equal ones spread like any others. A task lists what
+its group needs, each word and each context with its byte once; Spark joins these lists with the model; the group's documents
+meet the answers in one task, which adds them up. No list is longer than the group's own text, and a task holds the list
+and a megabyte of text, or one longer text.
 
-Defined cases: a null or empty text has the end as its one token; equal rows score alike; without training documents
+Defined cases: texts of any length are read whole; a null or empty text has the end as its one token; equal rows score alike; without training documents
 every byte is equally likely and no token is known; an empty table gives an empty table.
 """
 
@@ -28,8 +29,11 @@ from ranksmith.llm.common import guarded, guarded_name, kept_columns, raw, slice
 from ranksmith.storage import written
 
 ORDER = 4
-GROUP_BYTES = 48 << 20
+GROUP_BYTES = 12 << 20
 LEAST_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
+# A task adds up its lists of grams when so many are pending.
+PENDING_GRAMS = 1 << 20
 END = b"\xff"
 WORD, GRAM, DOCUMENT = 0, 1, 2
 
@@ -80,25 +84,37 @@ def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return packed[scored].view(np.int64), sizes + 1
 
 
-def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the sums of their counts."""
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    every, weight = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(every, kind="stable")
-    every, weight = every[order], weight[order]
-    first = np.flatnonzero(np.diff(every, prepend=every[:1] - 1))
-    return every[first], np.add.reduceat(weight, first) if len(first) else weight
+class Counts:
+    """Distinct keys with the sums of their counts, in order. New ones wait and are merged when there are many."""
+
+    def __init__(self):
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray, counts: np.ndarray):
+        self.waiting.append((keys, counts))
+        if sum(len(k) for k, _ in self.waiting) >= max(PENDING_GRAMS, len(self.keys)):
+            self.merge()
+
+    def merge(self):
+        if not self.waiting:
+            return
+        keys = np.concatenate([self.keys, *(k for k, _ in self.waiting)])
+        counts = np.concatenate([self.counts, *(c for _, c in self.waiting)])
+        self.waiting = []
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+        self.keys, self.counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
 def needs(grouped: DataFrame, text: str, order: int) -> DataFrame:
     """Rows (group, kind, key, count): what each group needs, once, with how often its training documents have it."""
 
     def run(batches):
-        group, words = None, Vocabulary()
+        group, words, symbols = None, Vocabulary(), Counts()
         totals = np.zeros(0, np.int64)
-        keys, counts = [], []
-        for piece in slices(batches, text):
+        for piece in slices(batches, text, PIECE_BYTES):
             group = piece.column("_group")[0].as_py()
             texts, trains = raw(piece.column(text)), piece.column("_trains").to_numpy(zero_copy_only=False)
             index, sizes = words(texts)
@@ -109,12 +125,11 @@ def needs(grouped: DataFrame, text: str, order: int) -> DataFrame:
             of_training = np.repeat(trains, sizes)
             for mask, weight in ((of_training, 1), (~of_training, 0)):
                 found, n = np.unique(packed[mask], return_counts=True)
-                keys.append(found)
-                counts.append(n * weight)
+                symbols.add(found, n * weight)
         if group is None:
             return
-        found, n = merged(keys, counts)
-        for kind, k, c in ((WORD, np.array(words.keys, np.int64), totals), (GRAM, found, n)):
+        symbols.merge()
+        for kind, k, c in ((WORD, np.array(words.keys, np.int64), totals), (GRAM, symbols.keys, symbols.counts)):
             for a in range(0, len(k), 1 << 18):
                 part = k[a : a + (1 << 18)]
                 yield pa.RecordBatch.from_arrays(
@@ -237,12 +252,16 @@ def score_documents(
     spark = documents.sparkSession
     total = table.agg(F.sum(F.octet_length(value))).first()[0] or 0
     n_groups = max(1, -(-total // group_bytes), min(spark.sparkContext.defaultParallelism, -(-total // LEAST_BYTES)))
-    grouped = table.withColumns(
-        {
-            "_group": F.pmod(F.xxhash64(*[f"`{c}`" for c in table.columns]), F.lit(n_groups)).cast("int"),
-            "_trains": F.col(guarded_name(marked, "_rs_trains")),
-        }
+    columns = list(names.values())
+    carried = list(dict.fromkeys([*columns, value]))
+    # Written once, as the number of a row, which spreads equal rows over the groups, may differ in a second run.
+    number = F.xxhash64(F.monotonically_increasing_id())
+    grouped = table.select(
+        *carried,
+        F.pmod(number, F.lit(n_groups)).cast("int").alias("_group"),
+        F.col(guarded_name(marked, "_rs_trains")).alias("_trains"),
     )
+    grouped = written(grouped, "dealt")
     lists = written(needs(grouped.repartitionById(n_groups, "_group"), value, order), "needs")
 
     # A group has a word once, so no word has more rows here than there are groups.
@@ -259,8 +278,6 @@ def score_documents(
     answers = words.select("group", "kind", "key", F.col("total").cast("double").alias("value")).union(
         needed.select("group", "kind", "key").join(written(log_probabilities(seen, order), "model"), "key").select("group", "kind", "key", "value")
     )
-    columns = list(names.values())
-    carried = list(dict.fromkeys([*columns, value]))
     rows = grouped.select(
         F.col("_group").alias("group"), F.lit(DOCUMENT).cast("tinyint").alias("kind"), F.lit(None).cast("bigint").alias("key"), F.lit(None).cast("double").alias("value"), *carried
     ).unionByName(answers, allowMissingColumns=True)
@@ -290,7 +307,7 @@ def score_documents(
                 ready = Lookup(np.concatenate(parts[GRAM][0])), np.concatenate(parts[GRAM][1])
                 parts.clear()
                 parts.update({WORD: ([], []), GRAM: ([], [])})
-            for piece in slices([batch.slice(int(mine[0]), len(mine))], value):
+            for piece in slices([batch.slice(int(mine[0]), len(mine))], value, PIECE_BYTES):
                 texts = raw(piece.column(value))
                 index, n_tokens = words(texts)
                 count = counts[np.searchsorted(keys, np.array(words.keys, np.int64).clip(None, keys[-1]))][index]
