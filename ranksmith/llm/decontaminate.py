@@ -1,17 +1,17 @@
 """Benchmark decontamination: suffix arrays of training shards, searched for every test suffix.
 
 Each task cuts its documents into shards of bounded size, maps words to numbers, and sorts the positions of a shard by
-the words that follow them (a suffix array, by prefix doubling). Every suffix of every benchmark item is then looked up by binary
-search: its neighbours in the array give its longest verbatim match, and the range that begins with its
-first words gives all places of that match.
+the words that follow them (a suffix array, by prefix doubling). The beginning of every suffix of every benchmark item, a
+window, is looked up by binary search, which gives all its places in the shard. Where they stand in a row, the words from there on are
+looked up in turn among the items' sorted suffixes, and the neighbours give each document's own longest verbatim match.
 
 Words that no item has can be part of no match, and neither can runs of item words shorter than the shortest window; the
-array leaves out positions whose run is too short. Items reach the tasks in blocks of at most ``block_words`` words, so what
+array leaves out positions whose run is too short. Items reach the tasks in blocks of about ``block_words`` words, so what
 is broadcast has a fixed bound. Further blocks search the same documents again.
 
 Defined cases: a null or empty text has no words and is never contaminated; items without words have no windows;
-a null item id is listed as ``null``; items that share an id count as one; repeated documents are judged alike; an empty
-benchmark leaves every document clean.
+a null item id is listed as ``null``; items that share an id count as one; repeated documents are judged alike, whatever else is in
+their shard; texts of any length are read whole; an empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ WORDS = bytes(
 )
 SHARD_WORDS = 1 << 21
 BLOCK_WORDS = 1 << 19
-PIECE_WORDS = 1 << 10
+PIECE_WORDS = 1 << 16
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -40,24 +40,39 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Tests:
-    """A block of item pieces: their words as numbers from 1, and which items have each window."""
+    """A block of item pieces: their words as numbers from 1, one after another, and their suffixes in order.
+
+    ``windows`` has, for the numbers of each window, the items that hold it and the range of ``order`` whose
+    suffixes begin with it. Pieces shorter than a window are windows themselves, and their range is empty.
+    """
 
     def __init__(self, pieces: list[tuple[str, list[bytes]]], window: int):
         self.window = window
         self.items = sorted({name for name, _ in pieces})
         number = {name: k for k, name in enumerate(self.items)}
         self.vocabulary: dict[bytes, int] = {}
-        self.windows: dict[bytes, set[int]] = {}
-        packed: set[bytes] = set()
+        owners: dict[bytes, set[int]] = {}
+        lines: dict[bytes, None] = {}
         for name, words in pieces:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-            line = np.array(ids, dtype=">u4").tobytes()
-            packed.add(line)
-            size = 4 * min(window, len(ids))
+            line = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], dtype=">u4").tobytes()
+            lines[line] = None
+            size = 4 * min(window, len(words))
             for k in range(0, len(line) - size + 1, 4):
-                self.windows.setdefault(line[k : k + size], set()).add(number[name])
-        self.packed = sorted(packed)
-        self.depth = max((len(p) // 4 for p in packed), default=1)
+                owners.setdefault(line[k : k + size], set()).add(number[name])
+        gap = b"\xff" * 4  # no word's number
+        self.packed = gap.join(sorted(line for line in lines if len(line) >= 4 * window))
+        ids = np.frombuffer(self.packed, ">u4")
+        # A window begins where no gap comes sooner.
+        gaps = np.concatenate(([0], np.cumsum(ids == 0xFFFFFFFF)))
+        starts = np.arange(max(0, len(ids) - window + 1))
+        starts = starts[gaps[starts] == gaps[starts + window]]
+        _, dense = np.unique(ids, return_inverse=True)
+        self.order = suffix_array(dense + 1, starts, max(1, len(ids)))
+        self.windows: dict[bytes, tuple[list[int], int, int]] = {w: (sorted(own), 0, 0) for w, own in owners.items()}
+        heads = [self.packed[4 * p : 4 * (p + window)] for p in self.order.tolist()]
+        for k, head in enumerate(heads):
+            own, low, high = self.windows[head]
+            self.windows[head] = (own, k if low == high else low, k + 1)
         self.shortest = min((len(w) // 4 for w in self.windows), default=1)
 
     @classmethod
@@ -67,11 +82,13 @@ class Tests:
         tests.__dict__ = state
         return tests
 
-    def suffixes(self):
-        """Each suffix that begins a window."""
-        for line in self.packed:
-            for k in range(0, len(line) - 4 * min(self.window, len(line) // 4) + 1, 4):
-                yield line[k:]
+    def longest(self, packed: bytes, at: int, most: int, low: int, high: int) -> int:
+        """The most words, up to ``most``, that ``packed`` has from word ``at`` on in common with a suffix in order[low:high]."""
+        wanted = packed[4 * at : 4 * (at + most)]
+        if high - low > 1:
+            place = bisect_left(self.order, wanted, low, high, key=lambda p: self.packed[4 * p : 4 * (p + most)])
+            low, high = max(low, place - 1), min(high, place + 1)
+        return max(common(self.packed, 4 * int(p), wanted) for p in self.order[low:high])
 
 
 def suffix_array(ids: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
@@ -120,36 +137,46 @@ def search(ids: np.ndarray, document: np.ndarray, tests: Tests):
     places, dense = compact(ids, tests.shortest)
     if not len(places):
         return cover[:-1] > 0, pairs, longest
-    array = suffix_array(dense, np.flatnonzero(dense), tests.depth)
+    # All suffixes that begin with the same window may stand in any order.
+    array = suffix_array(dense, np.flatnonzero(dense), tests.window)
     packed = dense.astype(">u4").tobytes()
     array_list = array.tolist()
-    seen: dict[bytes, np.ndarray] = {}
-    for suffix in tests.suffixes():
-        size = len(suffix)
-        at = bisect_left(array_list, suffix, key=lambda p: packed[4 * p : 4 * p + size])
-        best = 0
-        for near in (at - 1, at):
-            if 0 <= near < len(array_list):
-                best = max(best, common(packed, 4 * array_list[near], suffix))
-        head = suffix[: 4 * tests.window]
-        if 4 * best < len(head):
+    # For each word that begins a full window, the range of test suffixes that begin with it.
+    low_of, high_of = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+    for head, (items, first, end) in tests.windows.items():
+        key = lambda p, n=len(head): packed[4 * p : 4 * p + n]
+        low = bisect_left(array_list, head, key=key)
+        if low == len(array_list) or key(array_list[low]) != head:
             continue
-        if head not in seen:
-            key = lambda p, n=len(head): packed[4 * p : 4 * p + n]
-            low, high = bisect_left(array_list, head, key=key), bisect_right(array_list, head, key=key)
-            seen[head] = found = places[array[low:high]]
-            np.add.at(cover, found, 1)
-            np.add.at(cover, found + len(head) // 4, -1)
-            for d in np.unique(document[found]).tolist():
-                pairs.update((d, item) for item in tests.windows[head])
-        # The places of the longest match itself, for the report.
-        top = suffix[: 4 * best]
-        key = lambda p, n=len(top): packed[4 * p : 4 * p + n]
-        low, high = bisect_left(array_list, top, key=key), bisect_right(array_list, top, key=key)
-        np.maximum.at(longest, document[places[array[low:high]]], best)
+        found = places[array[low : bisect_right(array_list, head, lo=low, key=key)]]
+        size = len(head) // 4
+        np.add.at(cover, found, 1)
+        np.add.at(cover, found + size, -1)
+        here = np.unique(document[found])
+        longest[here] = np.maximum(longest[here], size)
+        pairs.update((d, item) for d in here.tolist() for item in items)
+        if end > first:
+            low_of[found], high_of[found] = first, end
+    begins = np.flatnonzero(high_of)
+    if len(begins):
+        extend(ids.astype(">u4").tobytes(), begins, low_of, high_of, document, tests, longest)
     return np.cumsum(cover)[:-1] > 0, pairs, longest
 
 
+def extend(packed: bytes, begins: np.ndarray, low_of, high_of, document: np.ndarray, tests: Tests, longest: np.ndarray):
+    """Raise ``longest`` to each document's longest match. A match that starts in a run of neighbouring windows ends in it, so a run is
+    left once what remains of it is no longer than a match already found."""
+    cuts = np.flatnonzero(np.diff(begins) != 1)
+    firsts, lasts = begins[np.concatenate(([0], cuts + 1))], begins[np.append(cuts, len(begins) - 1)]
+    for first, last in zip(firsts.tolist(), lasts.tolist()):
+        d, end = document[first], last + tests.window
+        best, at = int(longest[d]), first
+        while end - at > best:
+            best = max(best, tests.longest(packed, at, end - at, int(low_of[at]), int(high_of[at])))
+            at += 1
+        longest[d] = best
+
+
 def common(packed: bytes, at: int, suffix: bytes) -> int:
     """The number of equal numbers at the start."""
     low, high = 0, len(suffix) // 4
@@ -245,7 +272,7 @@ def find_contamination(
     """The rows with ``n_words``, ``hits`` (runs of word numbers inside a window), ``item_ids`` (sorted, those with
     occurring windows) and ``longest_match`` (words of the longest verbatim match of any test suffix that reaches a window).
 
-    A window is ``window`` consecutive words of an item, or all of a shorter one. Items longer than 1,024 words are searched
+    A window is ``window`` consecutive words of an item, or all of a shorter one. Items longer than 65,536 words are searched
     in pieces that overlap by a window less one word, and a longest match is counted within its piece.
     """
     spark = documents.sparkSession

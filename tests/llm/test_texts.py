@@ -61,6 +61,43 @@ def test_contamination(spark, documents, rows, texts, block_words):
     assert counted(clean, "doc_id") == Counter(r[0] for r in rows if not contamination(r[1], items)[1])
 
 
+def longest_match(text, items, window=10):
+    """The longest run of words that the text has in common with an item and that holds a window, by plain comparison."""
+    words, best = words_of(text), 0
+    for item in map(words_of, items):
+        size, above = min(window, len(item)), [0] * (len(words) + 1)
+        for x in item:
+            row = [0] * (len(words) + 1)
+            for k, y in enumerate(words):
+                row[k + 1] = above[k] + 1 if x == y else 0
+            best = max(best, *[n for n in row if size and n >= size], 0)
+            above = row
+    return best
+
+
+def test_longest_match_is_each_documents_own(spark):
+    rng = np.random.default_rng(8)
+    item = [f"w{n}" for n in rng.integers(0, 400, size=300)]
+    long = [f"x{n}" for n in rng.integers(0, 3000, size=5000)]
+    again = ["a", "b"] * 40 + ["c"] + ["a", "b"] * 30
+    items = [" ".join(item), " ".join(long), " ".join(again), "one two three", " ".join(item[100:140] + long[:30])]
+    texts = [" ".join(item), " ".join(item[:50]), " ".join(["z", *item[20:60], "z", *item[200:290]]), " ".join(long)]
+    texts += [" ".join(long[1000:4000]), " ".join(["a", "b"] * 200), " ".join(["b", "a"] * 20 + ["c"] + ["a", "b"] * 12), "one two three four"]
+    texts += [" ".join(item[95:140] + long[:25]), " ".join(item[:9]), " ".join(item[:12] + item[5:30])]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    expected = {k: longest_match(x, items) for k, x in enumerate(texts)}
+    assert expected[1] == 50 and expected[3] == 5000 and expected[9] == 0
+    for parts, shard in ((1, 1 << 21), (11, 1 << 21), (2, 200)):
+        table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).repartition(parts)
+        before = decontaminate.found_in.__defaults__
+        decontaminate.found_in.__defaults__ = (shard,)
+        try:
+            found = decontaminate.find_contamination(table, benchmark).collect()
+        finally:
+            decontaminate.found_in.__defaults__ = before
+        assert {r["doc_id"]: r["longest_match"] for r in found} == expected
+
+
 def test_contamination_of_nothing(documents, empty, rows):
     benchmark = documents.select(F.col("doc_id").alias("item_id"), "text")
     assert decontaminate.find_contamination(empty, benchmark).count() == 0
