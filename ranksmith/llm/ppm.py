@@ -25,11 +25,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ranksmith.llm.common import guarded, guarded_name, kept_columns, raw, slices
-from ranksmith.storage import written
+from ranksmith.llm.common import Copies, guarded, guarded_name, kept_columns, raw, slices
+from ranksmith.storage import scratch_path, written
 
 ORDER = 4
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 16 << 20
 LEAST_BYTES = 2 << 20
 PIECE_BYTES = 1 << 20
 # A task adds up its lists of grams when so many are pending.
@@ -156,10 +156,12 @@ def bounded(table: DataFrame, key_bytes: int) -> DataFrame:
 
 def log_probabilities(seen: DataFrame, order: int) -> DataFrame:
     """(key, value): the log10 probability of the last byte of every context-with-byte in ``seen`` (key, count)."""
+    copies = Copies(seen.sparkSession)
+    seen = copies(seen, "grams")
     followers = {order: seen.where("count > 0").select(F.col("key").alias(f"k{order}"), F.col("count").alias(f"n{order}"))}
     for k in range(order - 1, -1, -1):
         shorter = followers[k + 1].groupBy(low_bytes(f"k{k + 1}", k + 1).alias(f"k{k}"))
-        followers[k] = written(shorter.agg(F.sum(f"n{k + 1}").alias(f"n{k}")), "followers")
+        followers[k] = copies(shorter.agg(F.sum(f"n{k + 1}").alias(f"n{k}")), "followers")
     asked = seen.select("key")
     for k in range(order, -1, -1):
         own = followers[k].withColumn(f"c{k}", F.shiftright(f"k{k}", 8))
@@ -171,7 +173,7 @@ def log_probabilities(seen: DataFrame, order: int) -> DataFrame:
             F.sum(f"n{k}").alias(f"total{k}"), F.count(F.lit(1)).alias(f"differ{k}"), below.alias(f"below{k}")
         )
         asked = asked.withColumn(f"c{k}", F.shiftright(low_bytes("key", k + 1), 8))
-        asked = asked.join(bounded(written(node, "nodes"), k), f"c{k}", "left").drop(f"c{k}")
+        asked = asked.join(bounded(copies(node, "nodes"), k), f"c{k}", "left").drop(f"c{k}")
         asked = asked.withColumn(f"k{k}", low_bytes("key", k + 1))
         asked = asked.join(bounded(followers[k], k + 1), f"k{k}", "left").drop(f"k{k}")
     value, open_, ruled_total, ruled_differ = F.lit(0.0), F.lit(True), F.lit(0), F.lit(0)
@@ -191,7 +193,9 @@ def log_probabilities(seen: DataFrame, order: int) -> DataFrame:
         )
         value, open_, ruled_total, ruled_differ = (F.col(f"{c}{k}") for c in ("value", "open", "rt", "rd"))
     least = F.when(open_, -F.log10(F.lit(256) - ruled_differ)).otherwise(0.0)
-    return asked.select("key", (value + least).alias("value"))
+    found = written(asked.select("key", (value + least).alias("value")), "model")
+    copies.drop(*[copy for copy, _ in list(copies.paths.values())])
+    return found
 
 
 class Lookup:
@@ -261,7 +265,9 @@ def score_documents(
         F.pmod(number, F.lit(n_groups)).cast("int").alias("_group"),
         F.col(guarded_name(marked, "_rs_trains")).alias("_trains"),
     )
-    grouped = written(grouped, "dealt")
+    path = scratch_path(spark, "dealt")
+    grouped.write.option("compression", "zstd").parquet(path)
+    grouped = spark.read.schema(grouped.schema).parquet(path)
     lists = written(needs(grouped.repartitionById(n_groups, "_group"), value, order), "needs")
 
     # A group has a word once, so no word has more rows here than there are groups.
@@ -274,9 +280,9 @@ def score_documents(
     tokens = tokens or 0
 
     needed = lists.where(F.col("kind") == GRAM)
-    seen = written(needed.groupBy("key").agg(F.sum("count").alias("count")), "grams")
+    seen = needed.groupBy("key").agg(F.sum("count").alias("count"))
     answers = words.select("group", "kind", "key", F.col("total").cast("double").alias("value")).union(
-        needed.select("group", "kind", "key").join(written(log_probabilities(seen, order), "model"), "key").select("group", "kind", "key", "value")
+        needed.select("group", "kind", "key").join(log_probabilities(seen, order), "key").select("group", "kind", "key", "value")
     )
     rows = grouped.select(
         F.col("_group").alias("group"), F.lit(DOCUMENT).cast("tinyint").alias("kind"), F.lit(None).cast("bigint").alias("key"), F.lit(None).cast("double").alias("value"), *carried
