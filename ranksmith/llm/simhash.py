@@ -10,13 +10,15 @@
    the topmost carry means "beyond the radius". Words in which every lane has carried are abandoned.
 4. Within a unit links are reduced to a forest; the forests' edges make the groups (``components.py``).
 
-Defined cases: texts without words have fingerprint 0 and are linked like any other; repeated rows share a group;
+Defined cases: texts without words have fingerprint 0 and are linked like any other; texts of any length are read whole;
+repeated rows share a group;
 a null id is the largest of its group; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ from ranksmith.storage import written
 SEED = 42
 BITS = 64
 BUCKET_ROWS = 4096
+# What comparing two fingerprints costs, as a share of sending one of them to a bucket.
+PAIR_COST = 0.003
 CHUNK_ROWS = 1 << 17
 PAIR_WORDS = 1 << 16
 
@@ -63,6 +67,19 @@ def fingerprints(documents: DataFrame, text: str, shingle: int, keep: list[str]
     return with_results(documents, results, "_rs_fp bigint", text, keep)
 
 
+def fitting_blocks(n: int, radius: int) -> int:
+    """The number of parts that makes copies and comparisons of ``n`` fingerprints cheapest; every number finds the same links.
+
+    More parts make smaller buckets (each on all but ``radius`` of them) and more copies of each fingerprint.
+    """
+
+    def cost(blocks: int) -> float:
+        bucket = n / 2 ** (BITS * (blocks - radius) / blocks)
+        return comb(blocks, radius) * (1 + PAIR_COST * bucket)
+
+    return min(range(radius + 1, min(BITS, radius + 8) + 1), key=cost)
+
+
 def parts(blocks: int) -> list[tuple[int, int]]:
     """``blocks`` neighbouring ranges of bits, as equal as can be."""
     cuts = [round(k * BITS / blocks) for k in range(blocks + 1)]
@@ -216,34 +233,36 @@ def near_duplicates(
     text: str = "text",
     shingle: int = 4,
     radius: int = 4,
-    blocks: int = 6,
+    blocks: int | None = None,
     bucket_rows: int = BUCKET_ROWS,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """The rows with ``fingerprint`` (16 hex digits), ``component_id`` (the smallest id reachable through fingerprints
     within ``radius`` bits) and ``is_first`` (one row of each group).
 
-    More ``blocks`` make smaller buckets and more copies of each fingerprint: with 6 and a radius of 4, 15 copies in
-    buckets on 21 bits; with 8, 70 copies in buckets on 32 bits.
+    By default the number of ``blocks`` follows that of the different fingerprints: with 5 and a radius of 4 there are 5 copies of
+    each in buckets on 12 bits, with 6 there are 15 on 21 bits, with 8 there are 70 on 32 bits.
     """
     passed = kept_columns(documents, ["fingerprint", "component_id", "is_first"], keep)
-    need = list(dict.fromkeys([*passed, id, text]))
-    table = documents.select(*[f"`{c}`" for c in need])
-    signed = fingerprints(table, text, shingle, list(dict.fromkeys([*passed, id])))
+    table, _ = guarded(documents)
+    own, value = guarded_name(documents, id), guarded_name(documents, text)
+    names = {c: guarded_name(documents, c) for c in passed}
+    signed = fingerprints(table, value, shingle, list(dict.fromkeys([*names.values(), own])))
     signed = written(signed.withColumn("_rs_row", F.monotonically_increasing_id()), "signed")
-    of = first_of_groups(signed, id, radius, blocks, bucket_rows)
+    of = first_of_groups(signed, own, radius, blocks, bucket_rows)
     return signed.join(of, signed["_rs_fp"] == of["_rs_of"]).select(
-        *[F.col(f"`{c}`") for c in passed],
+        *[F.col(n).alias(c) for c, n in names.items()],
         F.lower(F.lpad(F.hex("_rs_fp"), 16, "0")).alias("fingerprint"),
         F.col("_rs_first.id").alias("component_id"),
         (F.col("_rs_first.row") == F.col("_rs_row")).alias("is_first"),
     )
 
 
-def first_of_groups(signed: DataFrame, id: str, radius: int, blocks: int, bucket_rows: int) -> DataFrame:
+def first_of_groups(signed: DataFrame, id: str, radius: int, blocks: int | None, bucket_rows: int) -> DataFrame:
     """(_rs_of, _rs_first): each fingerprint with its group's smallest row, ids first, null ids last."""
     first = F.struct(F.col(f"`{id}`").isNull().alias("none"), F.col(f"`{id}`").alias("id"), F.col("_rs_row").alias("row"))
     distinct = written(signed.groupBy("_rs_fp").agg(F.min(first).alias("_rs_first")), "distinct")
+    blocks = blocks or fitting_blocks(distinct.count(), radius)
     edges = links(units(distinct.select("_rs_fp"), blocks, radius, bucket_rows), radius)
     groups = connected(edges)
     members = groups.join(distinct, groups["node"] == distinct["_rs_fp"])
@@ -261,7 +280,7 @@ def one_of_each(
     text: str = "text",
     shingle: int = 4,
     radius: int = 4,
-    blocks: int = 6,
+    blocks: int | None = None,
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """One document of each group, the one with the smallest id, with the columns it came with.
