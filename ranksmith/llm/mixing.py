@@ -12,7 +12,8 @@ each takes the whole number next below or above its rate that brings the words t
 
 Defined cases: a null or empty text has size 0 and rate 1 and takes nothing; a null source is a source, ordered last;
 a source without words has target 0; rows equal in id, text and source get equal numbers of copies; the result is the same at
-every run, however the rows are partitioned; an empty table gives an empty table.
+every run, however the rows are partitioned; texts of any length are read whole; rates that do not reach the targets in ``most``
+iterations are an error; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -129,8 +130,11 @@ def tilts(counts: DataFrame, aims: DataFrame, cap: float, tolerance: float, most
             ),
             "state",
         )
-        if (state.agg(F.max("error")).first()[0] or 0.0) <= tolerance:
+        left = state.agg(F.max("error")).first()[0] or 0.0
+        if left <= tolerance:
             break
+    else:
+        raise RuntimeError(f"after {most} iterations a source is still {left:.2g} of its target away from it")
     return state.select("source", "source_size", "n", "target", "mean", F.round("lambda", 8).alias("lambda"))
 
 

@@ -1,16 +1,17 @@
 """Quality rules and robust multivariate outliers, in DataFrame functions only.
 
 Every text gets a few counts. Two rules reject on them alone. Of the rest, each group (language and source) is described by
-a minimum-covariance-determinant estimate of transformed counts: from a coordinate-wise robust start, repeated
-concentration steps keep the share of rows with the smallest Mahalanobis distances and take mean and covariance of those.
-Rows beyond ``cutoff`` are rejected.
+a minimum-covariance-determinant estimate of transformed counts: from two starts, the coordinates' medians with the spreads of their
+middle halves and the plain mean and covariance, concentration steps keep the share of rows with the smallest Mahalanobis
+distances and take mean and covariance of those, until no group's determinant falls any more. The smaller determinant of the two is
+the estimate. Rows beyond ``cutoff`` are rejected.
 
 Every step is one partially aggregated group-by over a narrow table in the shared folder; only one row of moments per group
 crosses, so a group with a third of all rows costs no task more than another.
 
 Defined cases: a null or empty text has no words and fails; null language or source is a group of its own; in groups
 with fewer than ``least_rows`` rows the robust start, widened, is the estimate; where a count hardly varies, its spread is
-floored, so that small differences are no outliers; repeated rows are judged alike; an empty table gives an empty table.
+floored, so that small differences are no outliers; texts of any length are read whole; repeated rows are judged alike; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ FLOORS = [0.5, 0.5, 0.03, 0.25, 0.25]
 # Chi-square with five degrees of freedom: about one row in 10^9 of a normal distribution lies beyond.
 CUTOFF = 52.0
 SHARE = 0.75
+# A step that lowers the logarithm of a determinant by less than this is the last.
+SETTLED = 0.01
+START = "_start"
 
 
 def sorted_windows(words: Column) -> Column:
@@ -97,13 +101,14 @@ def transformed() -> list[Column]:
     ]
 
 
-def moments(rows: DataFrame, group: list[str]) -> DataFrame:
+def moments(rows: DataFrame, group: list[str], *more: Column) -> DataFrame:
     """Rows, means and covariances of each group."""
     products = [(i, j) for i in range(5) for j in range(i + 1)]
     return rows.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.avg(x).alias(f"m{i}") for i, x in enumerate(FEATURES)],
         *[F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}{j}") for i, j in products],
+        *more,
     )
 
 
@@ -141,36 +146,57 @@ def met(rows: DataFrame, estimate: DataFrame, group: list[str]) -> DataFrame:
     return rows.join(renamed, on, "left").drop(*[f"{g}_of" for g in group])
 
 
-def estimates(rows: DataFrame, group: list[str], steps: int, share: float, least_rows: int) -> DataFrame:
-    """Mean and Cholesky factor of each group after ``steps`` concentration steps."""
+def log_determinant() -> Column:
+    """Half the logarithm of the determinant: the sum over the factor's diagonal."""
+    return sum(F.log(f"l{i}{i}") for i in range(5))
+
+
+def robust_start(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Medians, and spreads from the middle half as for a normal distribution (its width is 1.349 deviations)."""
     middle = rows.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, x in enumerate(FEATURES)],
     )
-    # The start: medians, and spreads from the middle half as for a normal distribution (its width is 1.349 deviations).
     for i in range(5):
         middle = middle.withColumn(f"m{i}", F.col(f"q{i}")[1])
         for j in range(i + 1):
             spread = F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)
             middle = middle.withColumn(f"c{i}{j}", spread)
-    start = written(triangle(middle.drop(*[f"q{i}" for i in range(5)]), F.lit(1.0)), "estimate")
-    # Groups too small for a covariance keep their start, the wider the fewer rows it rests on.
-    wider = F.sqrt(1 + least_rows / F.col("n"))
+    return triangle(middle.drop(*[f"q{i}" for i in range(5)]), F.lit(1.0)).withColumn(START, F.lit(0))
+
+
+def estimates(rows: DataFrame, group: list[str], share: float, least_rows: int) -> DataFrame:
+    """Mean and Cholesky factor of each group: of concentration steps from both starts, what has the smallest determinant.
+
+    Every step reads the estimates that still improve. It ends when none does; as a determinant cannot fall below that of
+    the floors, it does end.
+    """
     factors = [f"l{i}{j}" for i in range(5) for j in range(i + 1)]
-    few = start.where(F.col("n") < least_rows).withColumns({c: F.col(c) * wider for c in factors})
-    current = start
-    for _ in range(steps):
-        measured = met(rows, current, group).withColumn("d", distance()).select(*group, *FEATURES, "d")
-        limits = written(
-            measured.groupBy(*group).agg(
-                F.percentile_approx("d", share, 1000).alias("limit"), F.count(F.lit(1)).alias("rows")
-            ),
-            "limits",
-        )
-        nearest = met(measured, limits, group).where((F.col("d") <= F.col("limit")) & (F.col("rows") >= least_rows))
-        better = triangle(moments(nearest.drop("limit", "rows"), group), F.lit(_inflation(share)))
-        current = written(better.unionByName(few), "estimate")
-    return current
+    kept = [*group, START, "n", *[f"m{i}" for i in range(5)], *factors]
+    robust = robust_start(rows, group)
+    plain = triangle(moments(rows, group), F.lit(1.0)).withColumn(START, F.lit(1))
+    start = written(robust.select(*kept).unionByName(plain.select(*kept)), "estimate")
+    # Groups too small for a covariance keep the robust start, the wider the fewer rows it rests on.
+    wider = F.sqrt(1 + least_rows / F.col("n"))
+    few = start.where((F.col("n") < least_rows) & (F.col(START) == 0)).withColumns({c: F.col(c) * wider for c in factors})
+    current = start.where(F.col("n") >= least_rows).withColumn("reached", F.lit(None).cast("double"))
+    found = few.withColumn("reached", F.lit(0.0))
+    own = [*group, START]
+    while True:
+        measured = met(rows, current, group).where(F.col(START).isNotNull()).withColumn("d", distance())
+        measured = measured.select(*own, "reached", *FEATURES, "d")
+        limits = written(measured.groupBy(*own).agg(F.percentile_approx("d", share, 1000).alias("limit")), "limits")
+        nearest = met(measured, limits, own).where(F.col("d") <= F.col("limit"))
+        better = triangle(moments(nearest, own, F.first("reached").alias("before")), F.lit(_inflation(share)))
+        better = better.withColumn("reached", log_determinant())
+        better = written(better.select(*kept, "before", "reached"), "estimate")
+        found = found.unionByName(better.drop("before"))
+        current = better.where(F.col("before").isNull() | (F.col("reached") < F.col("before") - SETTLED)).drop("before")
+        if current.isEmpty():
+            break
+    columns = [c for c in kept if c not in group]
+    least = found.groupBy(*group).agg(F.min(F.struct("reached", *columns)).alias("e"))
+    return written(least.select(*group, *[F.col(f"e.{c}").alias(c) for c in columns if c != START]), "estimate")
 
 
 def _inflation(share: float) -> float:
@@ -200,7 +226,6 @@ def judge_quality(
     text: str = "text",
     group: tuple[str, ...] = ("lang", "source"),
     keep: list[str] | None = None,
-    steps: int = 4,
     share: float = SHARE,
     cutoff: float = CUTOFF,
     least_rows: int = 30,
@@ -227,7 +252,7 @@ def judge_quality(
     own = [f"g{k}" for k in range(len(groups))]
     counted = written(counted, "counted")
     sound = counted.where(~F.col("base_failed")).select(*own, *FEATURES)
-    current = estimates(sound, own, steps, share, least_rows)
+    current = estimates(sound, own, share, least_rows)
     judged = met(counted, current, own)
     far = F.when(~F.col("base_failed"), distance())
     return judged.select(

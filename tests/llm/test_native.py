@@ -168,3 +168,30 @@ def test_rates_tilt_with_size(spark):
 def test_mix_is_native(documents):
     plan = mixing.mix(documents, (3.0, 1.0, 2.0))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct", plan)
+
+
+def test_the_estimate_has_the_smaller_determinant_and_has_settled(spark):
+    """Against plain numpy: no concentration step from the estimate lowers its determinant, and a cluster of outliers stays outside."""
+    rng = np.random.default_rng(12)
+    core = rng.normal(size=(900, 5)) * [0.6, 0.5, 0.05, 0.3, 0.3] + [5, 5, 0.2, 1, 1]
+    away = rng.normal(size=(200, 5)) * 0.05 + [9, 9, 0.9, 4, 4]
+    rows = [("en", *map(float, x)) for x in np.concatenate((core, away))] + [("xx", 1.0, 1.0, 0.1, 0.1, 0.1)] * 3
+    table = spark.createDataFrame(rows, "g0 string, " + ", ".join(f"x{i} double" for i in range(5)))
+    found = {r["g0"]: r for r in quality.estimates(table, ["g0"], quality.SHARE, 30).collect()}
+    own = found["en"]
+    mean = np.array([own[f"m{i}"] for i in range(5)])
+    factor = np.array([[own[f"l{i}{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+    x = np.concatenate((core, away))
+    z = np.linalg.solve(factor, (x - mean).T)
+    far = (z * z).sum(axis=0)
+    nearest = x[far <= np.quantile(far, quality.SHARE)]
+    again = np.cov(nearest.T, bias=True) * quality._inflation(quality.SHARE) + np.diag(np.square(quality.FLOORS))
+    assert np.log(np.diag(np.linalg.cholesky(again))).sum() >= np.log(np.diag(factor)).sum() - 2 * quality.SETTLED
+    assert far[900:].min() > quality.CUTOFF > np.quantile(far[:900], 0.99)
+    assert found["xx"]["m0"] == 1.0
+
+
+def test_a_mix_that_does_not_converge_is_an_error(spark):
+    table = spark.createDataFrame([(i, "w " * (i + 1), "ab"[i % 2]) for i in range(40)], "doc_id int, text string, source string")
+    with pytest.raises(RuntimeError, match="iterations"):
+        mixing.mix(table, (3.0, 1.0), most=1)
