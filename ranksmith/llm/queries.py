@@ -84,6 +84,7 @@ def op3_checked_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[counted(F.col("personal"), kind) for kind in ("email", "ip", "card", "phone")],
         digest(listed(base)).alias("base_sha256"),
         listed(F.col("personal")).alias("spans"),
+        F.array_join(F.transform("personal", lambda s: s["score"].cast("string")), ",").alias("scores"),
     )
 
 

@@ -1,9 +1,12 @@
 """Secrets: fixed patterns, and strings that a dictionary-primed compressor finds nothing known in.
 
-The patterns report keys by their form. Beyond them, a long token that stands near a sensitive word is
-a candidate. Its novelty is the number of bytes that Zstandard needs more for the surrounding
-text with the token than without it, when the compressor already knows a dictionary of common identifiers and
-has seen the text around. A token that costs nearly its own length is random, hence reported. Other places of the token are no
+The patterns report keys by their form. Beyond them, a long token that stands near a sensitive word and mixes kinds of
+characters, is a candidate. Its novelty is the number of bytes that Zstandard needs more for the surrounding
+text with the token than without it, as a share of what random characters of the token's kinds carry, when the compressor already
+knows a dictionary of identifiers and has seen the text around. A token that costs nearly that is random, hence reported.
+
+The dictionary is learnt from the corpus: short identifiers that stand around sensitive words in several documents, the commonest
+nearest to the text. Identifiers are shorter than any candidate, so no secret gets into it. Other places of the token are no
 surroundings: a secret that stands twice is not known through itself, and all its places are reported.
 
 Defined cases: a null or empty text has no spans; equal rows give equal results; texts of any length are read
@@ -12,15 +15,16 @@ whole; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
+from math import log2
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from ranksmith.llm.common import strings, with_results
+from ranksmith.llm.common import slices, strings, with_results
 
 # The patterns of the kinds, in the order in which equal starts are listed.
 KINDS = ("assign", "access", "hex", "novel")
@@ -50,6 +54,16 @@ IDENTIFIERS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 lorem ipsum dolor sit amet"
 )
 
+# What the dictionary learns: so many identifiers of these lengths, in so many documents at least.
+IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z_][A-Za-z_-]{3,14}(?![A-Za-z0-9_-])")
+LEARNT = 1000
+LEAST_DOCUMENTS = 3
+# A task sends its counts on when it has so many.
+PENDING_WORDS = 1 << 17
+
+# Letters of random case change it at every second step.
+CASE_CHANGES = 0.45
+
 # Bytes of a token that are judged at once.
 PIECE = 512
 
@@ -77,6 +91,12 @@ def surroundings(text: str, start: int, end: int, around: int) -> str:
     return "".join(kept)
 
 
+def byte_share(token: str) -> float:
+    """The share of a byte that a random character carries, of the kinds that the token has: digits, small letters, capitals, signs."""
+    kinds = (any("0" <= c <= "9" for c in token), any("a" <= c <= "z" for c in token), any("A" <= c <= "Z" for c in token))
+    return log2(max(2, 10 * kinds[0] + 26 * kinds[1] + 26 * kinds[2] + 2 * any(c in "+/_=-.\"': " for c in token))) / 8
+
+
 class Novelty:
     """Marginal compressed bytes of a token in its surroundings."""
 
@@ -87,13 +107,13 @@ class Novelty:
         )
 
     def __call__(self, text: str, start: int, end: int, around: int) -> float:
-        """Marginal bytes as a share of the token's own."""
+        """Marginal bytes as a share of those that a random token of the same length carries."""
         known = surroundings(text, start, end, around).encode()
         token = text[start:end].encode()
         # Long tokens are judged piece by piece: over thousands of bytes an entropy coder saves a quarter of any such alphabet.
         pieces = [token[k : k + PIECE] for k in range(0, len(token), PIECE)]
         alone = len(self.pack.compress(known))
-        return sum(len(self.pack.compress(known + piece)) - alone for piece in pieces) / len(token)
+        return sum(len(self.pack.compress(known + piece)) - alone for piece in pieces) / (len(token) * byte_share(text[start:end]))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -108,12 +128,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def likely(token: str) -> bool:
+    """Letters with digits, digits alone, or letters whose case changes more often than in names put together of words."""
+    if any(c.isdigit() for c in token):
+        return True
+    changes = sum(a.islower() != b.islower() for a, b in zip(token, token[1:]))
+    return changes >= CASE_CHANGES * (len(token) - 1)
+
+
 def novel_spans(text, base, novelty, within: int, around: int, least: float):
     """Tokens near a sensitive word, outside the base spans, that cost ``least`` of their length or more."""
     lowered = text.lower()
     if not any(w in lowered for w in SENSITIVE_WORDS):
         return []
     found, names, done = [], {}, 0
+    starts, ends = sorted(a for _, a, _ in base), sorted(b for _, _, b in base)
     for word in SENSITIVE.finditer(text):
         # Only the start of a candidate is bounded: its first characters lie before the limit, its end where it ends.
         limit = word.end() + within + LEAST_LENGTH
@@ -121,8 +150,7 @@ def novel_spans(text, base, novelty, within: int, around: int, least: float):
             m = CANDIDATE.match(text, begun.start())
             done = m.end()
             token = m.group()
-            mixed = any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
-            if mixed and not any(a < m.end() and m.start() < b for _, a, b in base):
+            if likely(token) and not overlaps(starts, ends, *m.span()):
                 score = novelty(text, *m.span(), around)
                 if score >= least:
                     found.append(("novel", *m.span(), score))
@@ -130,6 +158,12 @@ def novel_spans(text, base, novelty, within: int, around: int, least: float):
     return found + other_places(text, base + [f[:3] for f in found], names) if names else found
 
 
+def overlaps(starts: list[int], ends: list[int], a: int, b: int) -> bool:
+    """Whether a span from a to b meets one of those with these sorted starts and ends: if not, as many begin before its end as end
+    before its start."""
+    return bisect_left(starts, b) != bisect_right(ends, a)
+
+
 def other_places(text, taken, names):
     """The places outside the spans ``taken`` where a token that was found novel stands as a word or behind a ``=``."""
     found = []
@@ -137,30 +171,71 @@ def other_places(text, taken, names):
     for m in CANDIDATE.finditer(text):
         for a, b in [m.span(), *(p.span() for p in PART.finditer(text, *m.span()))]:
             score = names.get(core(text[a:b]))
-            # As many spans begin before its end as end before its start: none overlaps.
-            if score is not None and bisect_left(starts, b) == bisect_right(ends, a):
+            if score is not None and not overlaps(starts, ends, a, b):
                 found.append(("novel", a, b, score))
                 break
     return found
 
 
+def identifiers_around(text: str, around: int) -> set[str]:
+    """The identifiers within ``around`` code points of a sensitive word."""
+    found, done = set(), 0
+    lowered = text.lower()
+    if not any(w in lowered for w in SENSITIVE_WORDS):
+        return found
+    for word in SENSITIVE.finditer(text):
+        low, high = max(done, word.start() - around), word.end() + around
+        if high > low:
+            found.update(m.group() for m in IDENTIFIER.finditer(text, low, min(len(text), high)))
+            done = high
+    return found
+
+
+def learnt_identifiers(documents: DataFrame, text: str, around: int, most: int = LEARNT, least_documents: int = LEAST_DOCUMENTS) -> str:
+    """The commonest identifiers around sensitive words in all documents, the commonest last. At most ``most`` reach the driver."""
+
+    def run(batches):
+        counts = Counter()
+
+        def flush():
+            words, numbers = list(counts), list(counts.values())
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(numbers, pa.int64())], names=["word", "n"])
+
+        for piece in slices(batches, text):
+            for value in strings(piece.column(text)):
+                counts.update(identifiers_around(value, around))
+            if len(counts) >= PENDING_WORDS:
+                yield flush()
+        yield flush()
+
+    found = documents.select(text).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    best = found.where(F.col("n") >= least_documents).orderBy(F.desc("n"), "word").limit(most)
+    return " ".join(r["word"] for r in reversed(best.collect()))
+
+
 def find_secrets(
     documents: DataFrame,
     text: str = "text",
     keep: list[str] | None = None,
     within: int = 40,
     around: int = 400,
-    least_novelty: float = 0.75,
+    least_novelty: float = 0.8,
+    identifiers: str | None = None,
 ) -> DataFrame:
     """The rows with ``secrets``: spans of code points (end exclusive) by start, then kind.
 
     ``within`` is how far after a sensitive word a token may start, ``around`` the code points of surroundings on
-    either side that prime the compressor, ``least_novelty`` the share of its own length that a
-    token must cost. Spans of the fixed patterns are always reported, with their novelty.
+    either side that prime the compressor, ``least_novelty`` the share of a random token's bytes that a
+    token must cost. Spans of the fixed patterns are always reported, with their novelty. ``identifiers`` is the dictionary
+    (default: learnt from the documents, behind a short list of common ones).
     """
+    if identifiers is None:
+        named = documents.select(F.col(f"`{text}`").alias("_text"))
+        identifiers = f"{IDENTIFIERS} {learnt_identifiers(named, '_text', around)}"
 
     def results(column: pa.Array) -> list[pa.Array]:
-        novelty = Novelty()
+        novelty = Novelty(identifiers)
         rows = []
         for value in strings(column):
             base = base_spans(value)
@@ -173,11 +248,3 @@ def find_secrets(
 
     return with_results(documents, results, f"secrets {SPAN}", text, keep)
 
-
-def listed(spans) -> str:
-    """``kind:start:end`` of each span, comma-joined."""
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
-
-
-def digest(spans) -> str:
-    return hashlib.sha256(listed(spans).encode()).hexdigest()

@@ -1,14 +1,14 @@
 """URL filters: rules on a host and a path, met through hashed expressions.
 
-A URL is expanded into expressions, each a suffix of its host at a dot with a prefix of its path as long as some rule's
-path. An expression meets the rules in an equality join on the first 32 bits of its SHA-256; the whole digest
+A URL is expanded into expressions, each a suffix of its host with as many labels as some rule's host and a prefix of its path
+as long as some rule's path, so their number is bounded by the rules, however long the URL is. An expression meets the rules in an equality join on the first 32 bits of its SHA-256; the whole digest
 then confirms it, and the longest rule decides.
 
 Every distinct URL is judged once, so a repeated URL costs one judgement, and Spark splits its rows when the judgement
 is joined back. DataFrame functions only.
 
 Defined cases: null or without ``://``: empty host and path, no rule. A URL repeated in many rows gives each
-row the same verdict. No rules, or an empty table: default verdicts, or an empty table.
+row the same verdict. URLs, hosts and paths of any length are read whole. No rules, or an empty table: default verdicts, or an empty table.
 """
 
 from __future__ import annotations
@@ -33,10 +33,15 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return lower_ascii(host), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and what follows each of its dots."""
-    labels = F.split(host, r"\.", -1)
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def label_count(host: Column) -> Column:
+    """The number of parts that dots make of a host."""
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
+def counts_of(numbers: Column, table: DataFrame) -> Column:
+    """The different numbers, in order, as an array."""
+    found = sorted(r[0] for r in table.select(numbers).distinct().collect())
+    return F.array(*[F.lit(n) for n in found]).cast("array<int>")
 
 
 def digested(host: Column, path: Column) -> Column:
@@ -65,12 +70,12 @@ def judge_urls(
     known = known.groupBy("_rule_host", "_rule_path", "_digest").agg(F.max("_action").alias("_action"))
     known = known.withColumn("_prefix", F.substring("_digest", 1, 8))
 
-    # The lengths that rule paths have: at most as many numbers as the longest rule path has characters.
-    lengths = sorted(r[0] for r in known.select(F.length("_rule_path")).distinct().collect())
-    lengths = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
+    # At most as many numbers as the longest rule path has characters, and the longest rule host labels.
+    lengths, labels = counts_of(F.length("_rule_path"), known), counts_of(label_count(F.col("_rule_host")), known)
     expressions = (
         parsed.where(F.col("_host") != "")
-        .withColumn("_suffix", F.explode(host_suffixes(F.col("_host"))))
+        .withColumn("_labels", F.explode(F.filter(labels, lambda n: n <= label_count(F.col("_host")))))
+        .withColumn("_suffix", F.expr("substring_index(_host, '.', -_labels)"))
         .withColumn("_length", F.explode(F.filter(lengths, lambda n: n <= F.length("_path"))))
         .select("_url", digested(F.col("_suffix"), F.expr("substring(_path, 1, _length)")).alias("_found"))
         .withColumn("_prefix", F.substring("_found", 1, 8))

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from ranksmith.llm import pii, secrets, urls
@@ -157,7 +158,7 @@ TOKEN = "Zk93jXq27LmPv84TnRw05Ys6BdHc1Ga"
 
 def novel(text):
     base = secrets.base_spans(text)
-    return sorted(s[1:3] for s in secrets.novel_spans(text, base, secrets.Novelty(), 40, 400, 0.75))
+    return sorted(s[1:3] for s in secrets.novel_spans(text, base, secrets.Novelty(), 40, 400, 0.8))
 
 
 def places(text, token=TOKEN):
@@ -204,3 +205,48 @@ def test_ibans_in_lists_and_behind_references():
     assert spans(german.replace(" ", "") + " " + british.replace(" ", "")) == [german.replace(" ", ""), british.replace(" ", "")]
     assert len(spans(f"{german} " * 10_000)) == 10_000
     assert spans("AB12 " * 50_000) == []
+
+
+def test_context_decides_on_an_iban(spark):
+    good, other = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    far = " filler" * 20
+    rows = [(1, f"order {good} shipped"), (2, f"pay to account {good}"), (3, f"iban: {good}, {other};{far} {good}"), (4, f"{other} bank")]
+    table = spark.createDataFrame(rows, "id int, text string")
+    found = {r["id"]: [(s["kind"], s["score"]) for s in r["personal"] if s["kind"] == "iban"] for r in pii.find_personal(table).collect()}
+    assert found == {1: [], 2: [("iban", 0.6)], 3: [("iban", 0.6)] * 2, 4: [("iban", 0.6)]}
+    held = pii.find_personal(table, least_score=0.3).collect()
+    assert [sum(s["kind"] == "iban" for s in r["personal"]) for r in sorted(held)] == [1, 1, 3, 1]
+
+
+def test_candidates_need_not_mix_letters_and_digits():
+    for token in ("QzKxwVjHtRpLmnBcDy", "9471-0302-6584-7109", TOKEN):
+        line = f"private credential {token} end"
+        assert novel(line) == places(line, token)
+    for plain in ("internationalization", "INTERNATIONALIZATION", "Internationalization", "AbstractFactoryModule", "1111111111111111"):
+        assert novel(f"private credential {plain} end") == []
+
+
+def test_dumps_of_keys_take_linear_time():
+    rng = np.random.default_rng(1)
+    letters = np.array(list("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"))
+    keys = ["".join(rng.choice(letters, 24)) for _ in range(4000)]
+    dump = "\n".join(f"token = {k:032x} auth {key}" for k, key in enumerate(keys))
+    assert len(novel(dump)) >= 3600
+
+
+def test_the_dictionary_is_learnt_from_the_documents(spark):
+    rows = [(i, f"credential of the ZebraFarmGateway module {TOKEN if i == 3 else ''}") for i in range(6)] + [(9, None), (10, "zebra alone")]
+    table = spark.createDataFrame(rows, "id int, text string")
+    learnt = secrets.learnt_identifiers(table, "text", 400).split()
+    assert set(learnt) == {"credential", "module"}  # the others are too short, or as long as a secret
+    assert secrets.learnt_identifiers(table, "text", 400, most=1).split() == [learnt[-1]]
+    spans = {r["id"]: [s["kind"] for s in r["secrets"]] for r in secrets.find_secrets(table).collect()}
+    assert spans[3] == ["novel"] and spans[9] == []
+
+
+def test_very_long_hosts(spark):
+    host = "a." * 70_000 + "example.net"
+    pages = spark.createDataFrame([(1, f"http://{host}/en/x"), (2, "http://." + "." * 5000 + "net/"), (3, "http://x.net./")], "page_id int, url string")
+    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge_urls(pages, rules).collect()}
+    assert got == {1: ("example.net/en/", "allow"), 2: ("net/", "block"), 3: (None, "allow")}
