@@ -10,7 +10,7 @@ from ranksmith.llm.quality import sound_documents
 from ranksmith.llm.queries import END_ID, WEIGHTS, table, tokenizer_path
 from ranksmith.llm.simhash import one_of_each
 from ranksmith.llm.tokenfiles import token_table
-from ranksmith.storage import written
+from ranksmith.storage import owned, remove, scratch_path, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result is written and read again before the next.
+
+    A stage's own copies, and the result it read, are removed when its result stands; of the last stage the token files stay.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        path = scratch_path(spark, name.replace(" ", "-"))
+        with owned(spark, "stage") as folder:
+            docs = written(stage(spark, docs, sf_dir), name, path=path)
+        for done in (folder, before):
+            if done:
+                remove(spark, done)
+        before = path
+    found = STAGES[-1][1](spark, docs, sf_dir)
+    remove(spark, before)
+    return found
