@@ -15,11 +15,14 @@ from ranksmith.operators.model import (
     AlsParams,
     FactorModel,
     als_estimator,
+    check_counts,
     fit_als,
     fit_als_per_segment,
 )
 from ranksmith.operators.ratings import (
     catalog_items,
+    count_ratings,
+    counted_copy,
     distinct_ids,
     merge_ratings,
     of_type,
@@ -47,7 +50,10 @@ __all__ = [
     "als_estimator",
     "as_arrays",
     "catalog_items",
+    "check_counts",
     "coldstart_report",
+    "count_ratings",
+    "counted_copy",
     "distinct_ids",
     "first_per_list",
     "fit_als",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from contextvars import copy_context
 from dataclasses import dataclass, field
 from math import ceil
@@ -11,10 +11,10 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ranksmith.columns import ITEM, RATING, TYPE, USER
-from ranksmith.operators.ratings import RatingProfile, profile_ratings
+from ranksmith.operators.ratings import RatingProfile, count_ratings
 from ranksmith.storage import checkpoint_dir, written
 
 
@@ -67,6 +67,9 @@ def block_count(n_rows: int) -> int:
 
 def als_estimator(params: AlsParams, blocks: int = MIN_BLOCKS) -> ALS:
     blocks = params.blocks or blocks
+    # Spark ML writes a checkpoint in the first of every ``checkpoint_interval`` rounds; where there are no more rounds than that, it
+    # would cut nothing.
+    interval = params.checkpoint_interval if params.max_iter > params.checkpoint_interval else -1
     return ALS(
         rank=params.rank,
         maxIter=params.max_iter,
@@ -78,40 +81,50 @@ def als_estimator(params: AlsParams, blocks: int = MIN_BLOCKS) -> ALS:
         coldStartStrategy="drop",
         numUserBlocks=blocks,
         numItemBlocks=blocks,
-        checkpointInterval=params.checkpoint_interval,
+        checkpointInterval=interval,
         intermediateStorageLevel=params.storage,
         finalStorageLevel=params.storage,
     )
 
 
-def check_profile(profile: RatingProfile) -> None:
+def check_counts(n_rows: int, n_bad: int) -> None:
     """One bad row would abort the training job half way, so refuse it beforehand, with a count."""
-    if profile.n_bad:
-        raise ValueError(
-            f"{profile.n_bad} of {profile.n_rows} ratings have a missing or infinite value or an id beyond 32 bits"
-        )
-    if profile.n_rows == 0:
+    if n_bad:
+        raise ValueError(f"{n_bad} of {n_rows} ratings have a missing or infinite value or an id beyond 32 bits")
+    if n_rows == 0:
         raise ValueError("no ratings to train on")
 
 
-def fit_als(
-    ratings: DataFrame, params: AlsParams = GLOBAL, profile: RatingProfile | None = None
-) -> FactorModel:
-    """Fit one model on all the given ratings with Spark ML's ALS; duplicates of a pair each count.
-
-    The profile rejects unusable rows and sizes the blocks. It and the fit each read the
-    ratings once, so hand in a table rather than the plan of a large join. Spark ML
-    holds all ratings of one id in one task; the log names how many that are at most.
-    """
-    if profile is None:
-        profile = profile_ratings(ratings)
-    check_profile(profile)
+def check_profile(profile: RatingProfile) -> None:
+    """``check_counts`` of a profile, which also says how uneven the ids are."""
+    check_counts(profile.n_rows, profile.n_bad)
     log.info(
         "%d ratings; the hottest user has %d, the hottest item %d, each in one task",
         profile.n_rows,
         profile.max_user_rows,
         profile.max_item_rows,
     )
+
+
+def fit_als(
+    ratings: DataFrame,
+    params: AlsParams = GLOBAL,
+    profile: RatingProfile | None = None,
+    n_rows: int | None = None,
+) -> FactorModel:
+    """Fit one model on all the given ratings with Spark ML's ALS; duplicates of a pair each count.
+
+    A count of all and of unusable rows, one scan without a shuffle, comes first: it rejects a bad table and sizes the blocks. Callers
+    that have counted hand in ``profile`` or, for ratings known to be usable, ``n_rows``. The ratings are read
+    again by the fit, so hand in a table rather than the plan of a large join. Spark ML holds all ratings of
+    one id in one task; a ``profile`` names how many that are at most in the log.
+    """
+    if profile is not None:
+        check_profile(profile)
+        n_rows = profile.n_rows
+    elif n_rows is None:
+        n_rows, n_bad = count_ratings(ratings)
+        check_counts(n_rows, n_bad)
     triples = ratings.select(
         F.col(USER).cast("int").alias(USER),
         F.col(ITEM).cast("int").alias(ITEM),
@@ -119,20 +132,34 @@ def fit_als(
     )
     # Spark ML cuts its lineage now and then, but only where a folder is set.
     checkpoint_dir(ratings.sparkSession)
-    als_model = als_estimator(params, block_count(profile.n_rows)).fit(triples)
+    als_model = als_estimator(params, block_count(n_rows)).fit(triples)
+
+    def copied(side: str) -> tuple[DataFrame, int]:
+        factors = written(als_model.userFactors if side == "users" else als_model.itemFactors, side)
+        return factors, factors.count()  # of files: their footers alone are read
+
     # The factors hang on every shuffle of the training run. Written copies keep the
     # loss of an executor during scoring from repeating the training.
+    (users, n_users), (items, n_items) = side_by_side(ratings.sparkSession, copied, ["users", "items"], 2)
     return FactorModel(
-        user_factors=written(als_model.userFactors, "users"),
-        item_factors=written(als_model.itemFactors, "items"),
+        user_factors=users,
+        item_factors=items,
         rank=params.rank,
-        n_users=profile.n_users,
-        n_items=profile.n_items,
+        n_users=n_users,
+        n_items=n_items,
         params=params,
         als_model=als_model,
     )
 
 
+def side_by_side(spark: SparkSession, run: Callable, names: list[str], parallelism: int) -> list:
+    """The results of small jobs that do not depend on each other and fill each other's gaps."""
+    with ThreadPool(max(1, min(parallelism, len(names)))) as pool:
+        contexts = [copy_context() for _ in names]
+        call = inheritable_thread_target(spark)(lambda context, name: context.run(run, name))
+        return pool.starmap(call, zip(contexts, names))
+
+
 def fit_als_per_segment(
     typed_ratings: DataFrame,
     segments: Iterable[str],
@@ -148,11 +175,11 @@ def fit_als_per_segment(
 
     def fit(segment: str) -> FactorModel | None:
         rows = typed_ratings.where(F.col(segment_column) == segment)
-        profile = profile_ratings(rows)
-        return fit_als(rows, params, profile=profile) if profile.n_rows else None
+        n_rows, n_bad = count_ratings(rows)
+        if not n_rows:
+            return None
+        check_counts(n_rows, n_bad)
+        return fit_als(rows, params, n_rows=n_rows)
 
-    with ThreadPool(max(1, min(parallelism, len(names)))) as pool:
-        contexts = [copy_context() for _ in names]
-        run = inheritable_thread_target(typed_ratings.sparkSession)(lambda c, name: c.run(fit, name))
-        models = pool.starmap(run, zip(contexts, names))
+    models = side_by_side(typed_ratings.sparkSession, fit, names, parallelism)
     return {name: model for name, model in zip(names, models) if model is not None}

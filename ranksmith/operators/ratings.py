@@ -6,9 +6,10 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from numbers import Integral
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ranksmith.columns import CATALOG_ID, ITEM, RATING, TS, TYPE, USER
+from ranksmith.storage import written
 
 MAX_ID = 2**31 - 1
 MAX_FLOAT = 3.4028234663852886e38
@@ -108,6 +109,20 @@ def bad_rating(ratings: DataFrame) -> Column:
     return bad
 
 
+def count_ratings(ratings: DataFrame) -> tuple[int, int]:
+    """How many ratings there are, and how many of them no factor model can use. One scan, no shuffle but of one row a task."""
+    return tuple(ratings.agg(F.count(F.lit(1)), F.count_if(bad_rating(ratings))).first())
+
+
+def counted_copy(ratings: DataFrame, chosen: Column) -> tuple[DataFrame, int, int]:
+    """A written copy of the ratings, and ``count_ratings`` of the chosen rows, counted while they are written."""
+    seen = Observation()
+    bad = F.count_if(chosen & bad_rating(ratings)).alias("bad")
+    copy = written(ratings.observe(seen, F.count_if(chosen).alias("rows"), bad), "ratings")
+    found = seen.get
+    return copy, found["rows"], found["bad"]
+
+
 def profile_ratings(ratings: DataFrame) -> RatingProfile:
     """Row, user, item and hottest-id counts in one job.
 

@@ -88,9 +88,8 @@ def top_items_by_type(
     With ``candidate_k`` the types are picked out of the ``candidate_k`` best items
     overall, which is what a single long list gives and may come out short.
     """
-    wanted = catalog.where(F.col(TYPE).isin(list(types))).select(
-        F.col(CATALOG_ID).cast("int").alias("id"), F.col(TYPE)
-    )
+    types = list(dict.fromkeys(types))
+    wanted = catalog.where(F.col(TYPE).isin(types)).select(F.col(CATALOG_ID).cast("int").alias("id"), F.col(TYPE))
     wanted = wanted.distinct()
     if candidate_k is not None:
         long_list = top_items(model, candidate_k, users, exclude_seen).drop(RANK)
@@ -107,6 +106,7 @@ def top_items_by_type(
         n_sources,
         model.n_items,
         exclude=_seen(exclude_seen, users),
+        n_segments=len(types),
     )
     return found.withColumnsRenamed({SOURCE: USER, CANDIDATE: ITEM, SEGMENT: TYPE})
 

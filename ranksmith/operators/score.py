@@ -32,6 +32,9 @@ SCORES_PER_TASK = 100_000_000
 MIN_SCORES_PER_TASK = 5_000_000
 MAX_TASKS = 100_000
 
+# So many segments may be mixed in a block.
+FEW_SEGMENTS = 16
+
 # Rough size of one id in a broadcast list.
 ID_BYTES = 16
 
@@ -65,12 +68,13 @@ def _segment_blocks(sizes: dict[str, int]) -> dict[str, tuple[int, int]]:
     return found
 
 
-def _placed(candidates: DataFrame, n_candidates: int) -> tuple[DataFrame, int]:
+def _placed(candidates: DataFrame, n_candidates: int, n_segments: int | None) -> tuple[DataFrame, int]:
     """The candidates with their ``candidate_block``, and the number of blocks.
 
-    The segments counted here are the few that the caller names.
+    A few segments share the blocks, which costs their products little and needs no count. More get blocks by their
+    sizes; those counted here are the ones that the caller names.
     """
-    if SEGMENT not in candidates.columns:
+    if SEGMENT not in candidates.columns or (n_segments is not None and n_segments <= FEW_SEGMENTS):
         blocks = max(1, ceil(n_candidates / CANDIDATE_BLOCK))
         return candidates.withColumn("candidate_block", _block("id", blocks)), blocks
     sizes = {r[SEGMENT]: r["count"] for r in candidates.groupBy(SEGMENT).count().collect()}
@@ -225,8 +229,9 @@ def _scorer(k: int, rank: int, segmented: bool, excluding: bool, ranking: bool):
                 candidate_ids = array(batch, "candidate_ids", i)
                 candidates = array(batch, "candidate_features", i).reshape(-1, rank)
                 seen = None
-                if excluding and batch.column("seen_sources")[i].is_valid:
-                    seen = array(batch, "seen_sources", i), array(batch, "seen_candidates", i)
+                if excluding and batch.column("seen_pairs")[i].is_valid:
+                    pairs = array(batch, "seen_pairs", i)
+                    seen = (pairs >> 32).astype(np.int32), pairs.astype(np.int32)
                 segments = batch.column("candidate_segments")[i].values if segmented else None
                 for segment, own in _parts(segments):
                     known = held.get(segment)
@@ -251,6 +256,7 @@ def best_candidates(
     n_candidates: int,
     exclude: DataFrame | None = None,
     broadcast_bytes: int | None = None,
+    n_segments: int | None = None,
 ) -> DataFrame:
     """``source_id, [segment,] rank, candidate_id, score``: the ``k`` best candidates per source.
 
@@ -271,7 +277,7 @@ def best_candidates(
     tasks = min(MAX_TASKS, max(1, tasks))
     # Equal numbers of blocks for every task.
     source_blocks = tasks * max(1, ceil(n_sources / tasks / SOURCE_BLOCK))
-    candidates, candidate_blocks = _placed(candidates, n_candidates)
+    candidates, candidate_blocks = _placed(candidates, n_candidates, n_segments)
     small = is_small(factor_bytes(n_candidates, rank), broadcast_bytes)
 
     few = not small and exclude is None and n_sources <= SOURCE_BLOCK
@@ -303,28 +309,26 @@ def best_candidates(
         if is_small(ID_BYTES * n_sources):
             wanted = sources.select(F.col("id").alias(SOURCE))
             exclude = exclude.join(F.broadcast(wanted), SOURCE, "left_semi")
-        # One list of pairs per source block and tile. The lists of a block meet it once, before it
-        # is repeated for every tile, and each repetition takes its own list along.
-        exclude = exclude.distinct()
         if segmented:
             where = candidates.select(F.col("id").alias(CANDIDATE), tile_of.alias("tile")).distinct()
             exclude = exclude.join(F.broadcast(where) if small else where, CANDIDATE)
         else:
             place = F.pmod(_block(CANDIDATE, candidate_blocks), F.lit(candidate_tiles))
             exclude = exclude.withColumn("tile", place.cast("int"))
-        source_block = _block(SOURCE, source_blocks)
-        lists = F.struct(
-            F.transform("seen", lambda x: x[SOURCE]).alias("sources"),
-            F.transform("seen", lambda x: x[CANDIDATE]).alias("candidates"),
+        # Pairs travel once, to the task of their source block, as one number each. A block has one sorted list
+        # without repeats for each tile. It meets its lists once, before it is repeated for every tile, and each
+        # repetition takes its own list along.
+        pair = F.shiftleft(F.col(SOURCE).cast("bigint"), 32).bitwiseOR(
+            F.col(CANDIDATE).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))
         )
+        placed = exclude.select(_block(SOURCE, source_blocks).alias("source_block"), "tile", pair.alias("pair"))
         seen = (
-            exclude.withColumn("source_block", source_block)
-            .groupBy("source_block", "tile")
-            .agg(F.collect_list(F.struct(SOURCE, CANDIDATE)).alias("seen"))
-            .withColumn("task", F.col("source_block") % tasks)
+            placed.withColumn("task", F.col("source_block") % tasks)
             .repartitionById(tasks, F.col("task"))
+            .groupBy("task", "source_block", "tile")
+            .agg(F.sort_array(F.collect_set("pair")).alias("pairs"))
             .groupBy("task", "source_block")
-            .agg(F.map_from_entries(F.collect_list(F.struct("tile", lists))).alias("seen"))
+            .agg(F.map_from_entries(F.collect_list(F.struct("tile", "pairs"))).alias("seen"))
         )
         left = left.join(seen, ["task", "source_block"], "left")
         own = F.transform(tiles, lambda n: F.struct(n.alias("tile"), F.try_element_at("seen", n).alias("seen")))
@@ -333,8 +337,7 @@ def best_candidates(
             "source_ids",
             "source_features",
             F.col("own.tile").alias("candidate_tile"),
-            F.col("own.seen.sources").alias("seen_sources"),
-            F.col("own.seen.candidates").alias("seen_candidates"),
+            F.col("own.seen").alias("seen_pairs"),
         )
     left = left.withColumn("source_tile", F.pmod("source_block", F.lit(source_tiles)))
 
@@ -366,7 +369,7 @@ def best_candidates(
     columns = ["source_block", "source_ids", "source_features", "candidate_ids", "candidate_features"]
     columns += ["candidate_segments"] * segmented
     if exclude is not None:
-        columns += ["seen_sources", "seen_candidates"]
+        columns.append("seen_pairs")
     rank_field = f"{RANK} int, " if small else ""
     schema = f"{SOURCE} int, {segment_field}{rank_field}{CANDIDATE} int, {SCORE} float"
     found = pairs.select(*columns).mapInArrow(_scorer(k, rank, segmented, exclude is not None, small), schema)

@@ -11,9 +11,12 @@ from ranksmith.operators import (
     GLOBAL,
     AlsParams,
     FactorModel,
+    check_counts,
     coldstart_report,
+    counted_copy,
     fit_als,
     hash_split,
+    in_training,
     markup_cells,
     output_columns,
     resolve_duplicates,
@@ -67,15 +70,17 @@ def global_lists(
 ) -> Recommendation:
     """One model over all items; ``n`` items of each type per target user, with titles and media.
 
-    The ratings are read for the profile, the fit and the holdout. Set ``keep_copy``
-    when they come out of a join or other costly plan, to run it once.
+    The ratings are read for the count, the fit and the holdout. Set ``keep_copy``
+    when they come out of a join or other costly plan: it runs once, and the count is made while the copy is written.
     """
     with owned(ratings.sparkSession, "global-lists") as folder:
         rows = resolve_duplicates(ratings, duplicates)
+        n_rows = None
         if keep_copy:
-            rows = written(rows, "ratings")
+            rows, n_rows, n_bad = counted_copy(rows, in_training(train, seed))
+            check_counts(n_rows, n_bad)
         training, test = hash_split(rows, train, seed)
-        model = fit_als(training, params)
+        model = fit_als(training, params, n_rows=n_rows)
         lists = top_items_by_type(
             model, catalog, types, n, users, rows if exclude_seen else None, candidate_k
         )

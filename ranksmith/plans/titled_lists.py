@@ -8,15 +8,18 @@ from ranksmith.operators import (
     SEGMENT,
     AlsParams,
     als_estimator,
+    check_counts,
     coldstart_report,
+    counted_copy,
     distinct_ids,
     fit_als,
     hash_split,
+    in_training,
     top_items,
     with_lookup_title,
 )
 from ranksmith.plans.global_lists import Recommendation
-from ranksmith.storage import owned, written
+from ranksmith.storage import owned
 
 
 def titled_lists(
@@ -31,10 +34,12 @@ def titled_lists(
 ) -> Recommendation:
     """Top ``k`` for the ``n_users`` smallest user ids, with a title per item."""
     with owned(ratings.sparkSession, "titled-lists") as folder:
+        n_rows = None
         if keep_copy:
-            ratings = written(ratings, "ratings")
+            ratings, n_rows, n_bad = counted_copy(ratings, in_training(train, seed))
+            check_counts(n_rows, n_bad)
         training, test = hash_split(ratings, train, seed)
-        model = fit_als(training, params)
+        model = fit_als(training, params, n_rows=n_rows)
         users = distinct_ids(ratings, als_estimator(params).getUserCol(), n_users)
         lists = with_lookup_title(top_items(model, k, users), lookup)
         return Recommendation(lists, coldstart_report(model, test), model, folder)

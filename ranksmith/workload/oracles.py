@@ -71,6 +71,9 @@ ORACLES["rating_lines_scan"] = ORACLES["ratings_view"]
 ORACLES["ratings_csv_scan"] = _with(RATINGS) + "SELECT user_id, item_id, rating FROM ratings"
 ORACLES["user_ratings_csv_scan"] = ORACLES["ratings_csv_scan"]
 
+ORACLES["remote_ratings_scan"] = ORACLES["ratings_csv_scan"]
+ORACLES["remote_catalog_scan"] = """SELECT p_partkey AS "ID", p_name AS "Name", p_type AS "Type" FROM part"""
+
 ORACLES["catalog_csv_scan"] = """
 SELECT p_partkey AS "ID", '"' || p_name || '", お, ' || p_brand AS "Name", p_type AS "Type" FROM part"""
 
@@ -82,6 +85,9 @@ SELECT p_partkey AS item_id, p_name || ', The ' || p_brand AS title FROM part"""
 
 ORACLES["catalog_projection"] = _with(CATALOG) + "SELECT * FROM catalog"
 
+ORACLES["dropped_columns"] = _with(RATINGS, CATALOG) + f"""
+SELECT user_id, "ID", "Name", "{t.ALT_TITLE}", "Type" FROM ratings LEFT JOIN catalog ON item_id * 2 = "ID" """
+
 ORACLES["ratings_with_type"] = _with(RATINGS, CATALOG) + """
 SELECT user_id, item_id, rating, "Type" FROM ratings JOIN catalog ON item_id = "ID" """
 
@@ -160,6 +166,7 @@ WHERE rank <= 5"""
 ORACLES["text_list_sink"] = _finished(
     f"coalesce(image_url, '{MISSING_TEXT}')", f"coalesce(trailer_url, '{MISSING_TEXT}')"
 )
+ORACLES["remote_list_sink"] = ORACLES["text_list_sink"]
 ORACLES["markup_list_sink"] = _finished(IMAGE_CELL, TRAILER_CELL)
 
 ORACLES["split_rows"] = _with(RATINGS) + f"""
@@ -229,10 +236,19 @@ ORACLES["scored_candidates_by_type"] = (
     + _ranked('user_id, "Type"', "item_id", 5, f'long WHERE "Type" IN ({TYPE_LIST})', _TYPED_COLUMNS)
 )
 
+ORACLES["scored_unseen_items_per_user"] = _with(RATINGS, GIVEN, ALL_SCORES) + _ranked(
+    "user_id", "item_id", 10, "scores ANTI JOIN ratings USING (user_id, item_id)"
+)
+ORACLES["scored_items_per_user_in_tiles"] = ORACLES["scored_items_per_user"]
+ORACLES["scored_users_per_item_in_tiles"] = ORACLES["scored_users_per_item"]
+ORACLES["scored_unseen_by_type_in_tiles"] = ORACLES["scored_unseen_by_type"]
+
 ORACLES["predicted_ratings"] = _with(RATINGS, GIVEN) + """
 SELECT user_id, item_id, rating, CAST(u0 * v0 + u1 * v1 + u2 * v2 AS DOUBLE) AS prediction
 FROM ratings JOIN users USING (user_id) JOIN items USING (item_id)"""
 
+ORACLES["predicted_ratings_shuffled"] = ORACLES["predicted_ratings"]
+
 ORACLES["predicted_holdout"] = _with(RATINGS, GIVEN_COLD) + """
 SELECT count(*) AS n_test, count(prediction) AS n_scored, count(*) - count(prediction) AS n_dropped,
        round(sqrt(avg((rating - prediction) * (rating - prediction))), 6) AS rmse

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -53,6 +54,7 @@ from ranksmith.operators import (
     with_media,
     with_titles,
 )
+from ranksmith.operators.sizes import BROADCAST_SETTING
 from ranksmith.plans import global_lists, segment_lists, titled_lists, write_global_lists
 from ranksmith.sinks import write_lists
 from ranksmith.sources import (
@@ -64,7 +66,7 @@ from ranksmith.sources import (
     read_title_lookup,
     read_user_ratings,
 )
-from ranksmith.storage import scratch_path, written
+from ranksmith.storage import scratch_path, shared_dir, written
 from ranksmith.workload import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,6 +161,29 @@ def rating_lines_scan(spark, sf):
     return read_rating_lines(spark, path)
 
 
+def _remote(spark, label: str) -> str:
+    """A new path that only Spark's readers and writers can open: the shared folder, mounted in a store of its own."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    local = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    spark.conf.set("fs.viewfs.mounttable.ranksmith.link./shared", local)
+    return scratch_path(spark, label).replace(shared_dir(spark).rstrip("/"), "viewfs://ranksmith/shared", 1)
+
+
+@query
+def remote_ratings_scan(spark, sf):
+    path = _remote(spark, "ratings")
+    named = t.triples(spark, sf).withColumnRenamed(ITEM, "anime_id")
+    named.write.csv(path, header=True)
+    return read_ratings(spark, path)
+
+
+@query
+def remote_catalog_scan(spark, sf):
+    path = _remote(spark, "catalog")
+    t.catalog(spark, sf).write.csv(path, header=True, quote='"', escape='"', encoding="UTF-8")
+    return read_catalog(spark, path).select("ID", "Name", TYPE)
+
+
 @query
 def title_lookup_scan(spark, sf):
     path = scratch_path(spark, "movies")
@@ -176,6 +201,14 @@ def catalog_projection(spark, sf):
     return t.catalog(spark, sf).select("ID", *t.TITLES, TYPE).drop("Anime_ID")
 
 
+@query
+def dropped_columns(spark, sf):
+    """Ids without titles join the catalog; of the columns dropped one is there and one is not."""
+    wanted = t.triples(spark, sf).select((F.col(ITEM) * 2).alias("Anime_ID"), USER)
+    listed = wanted.join(t.catalog(spark, sf), F.col("Anime_ID") == F.col("ID"), "left")
+    return listed.drop("Anime_ID", "not there")
+
+
 @query
 def ratings_with_type(spark, sf):
     return with_item_type(t.triples(spark, sf), t.catalog(spark, sf))
@@ -312,6 +345,13 @@ def text_list_sink(spark, sf):
     return spark.read.schema(_FINISHED).csv(path, header=True, escape='"', encoding="UTF-8")
 
 
+@query
+def remote_list_sink(spark, sf):
+    path = _remote(spark, "lists")
+    write_lists(_finished_lists(spark, sf, text_cells), path)
+    return spark.read.schema(_FINISHED).csv(path, header=True, escape='"', encoding="UTF-8")
+
+
 @query
 def markup_list_sink(spark, sf):
     path = scratch_path(spark, "lists")
@@ -383,6 +423,51 @@ def scored_users_per_item(spark, sf):
     return top_users(_given_model(spark, sf), 10)
 
 
+@contextmanager
+def _nothing_small(spark):
+    """No table counts as small enough to be broadcast whole while a plan is made."""
+    before = spark.conf.get(BROADCAST_SETTING, None)
+    spark.conf.set(BROADCAST_SETTING, "0")
+    try:
+        yield
+    finally:
+        spark.conf.unset(BROADCAST_SETTING) if before is None else spark.conf.set(BROADCAST_SETTING, before)
+
+
+@query
+def scored_items_per_user_in_tiles(spark, sf):
+    """Both factor tables are cut into tiles that meet in a shuffled join."""
+    with _nothing_small(spark):
+        return top_items(_given_model(spark, sf), 10)
+
+
+@query
+def scored_users_per_item_in_tiles(spark, sf):
+    with _nothing_small(spark):
+        return top_users(_given_model(spark, sf), 10)
+
+
+@query
+def scored_unseen_by_type_in_tiles(spark, sf):
+    """As ``scored_unseen_by_type``; the pairs to leave out follow their tiles."""
+    with _nothing_small(spark):
+        return top_items_by_type(
+            _given_model(spark, sf), t.catalog(spark, sf), t.TYPES, 5, exclude_seen=t.triples(spark, sf)
+        )
+
+
+@query
+def predicted_ratings_shuffled(spark, sf):
+    """Both factor tables meet the ratings by shuffle."""
+    with _nothing_small(spark):
+        return predict(_given_model(spark, sf), t.triples(spark, sf))
+
+
+@query
+def scored_unseen_items_per_user(spark, sf):
+    return top_items(_given_model(spark, sf), 10, exclude_seen=t.triples(spark, sf))
+
+
 @query
 def scored_items_of_members(spark, sf):
     """The users wanted come from a table; the fifth of them that is in one market segment has no factors."""
@@ -616,7 +701,8 @@ def text_cells_match(image: Column, trailer: Column) -> Column:
 
 
 def flagship(spark, sf) -> DataFrame:
-    return global_lists(
+    """The main job. Only the finished lists stay behind; the copies it made on the way are removed."""
+    job = global_lists(
         _merged(spark, sf),
         t.catalog(spark, sf),
         t.TARGET_ALIAS,
@@ -625,7 +711,9 @@ def flagship(spark, sf) -> DataFrame:
         t.media(spark, sf),
         t.TITLES,
         keep_copy=True,
-    ).lists
+    )
+    with job as result:
+        return written(result.lists, "finished")
 
 
 @query
@@ -670,26 +758,28 @@ def global_lists_shape(spark, sf):
     return _shape(flagship(spark, sf), USER, TYPE, other=ITEM)
 
 
+def _segments(spark, sf, part: str) -> DataFrame:
+    """One of the two results of the job by segment; the copies behind it are removed."""
+    job = segment_lists(_merged(spark, sf), t.catalog(spark, sf), t.TARGET_ALIAS, t.TYPES, 5, t.TITLES)
+    with job as result:
+        return written(getattr(result, part), "finished")
+
+
 @query
 def segment_lists_shape(spark, sf):
-    lists, _ = segment_lists(
-        _merged(spark, sf), t.catalog(spark, sf), t.TARGET_ALIAS, t.TYPES, 5, t.TITLES
-    )
-    return _shape(lists, USER, TYPE, other=ITEM)
+    return _shape(_segments(spark, sf, "lists"), USER, TYPE, other=ITEM)
 
 
 @query
 def segment_holdout(spark, sf):
-    _, report = segment_lists(
-        _merged(spark, sf), t.catalog(spark, sf), t.TARGET_ALIAS, t.TYPES, 5, t.TITLES
-    )
-    return report.select(TYPE, "n_test", "n_scored", "n_dropped")
+    return _segments(spark, sf, "holdout").select(TYPE, "n_test", "n_scored", "n_dropped")
 
 
 @query
 def titled_lists_titles(spark, sf):
     lookup = t.catalog(spark, sf).select(F.col("ID").alias(ITEM), F.col("Name").alias("title"))
-    lists = titled_lists(t.triples(spark, sf), lookup, keep_copy=True).lists
+    with titled_lists(t.triples(spark, sf), lookup, keep_copy=True) as result:
+        lists = written(result.lists, "finished")
     right = lists.join(t.catalog(spark, sf), F.col(ITEM) == F.col("ID"))
     return right.groupBy(USER).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("title") == F.col("Name")).alias("n_right")

@@ -30,3 +30,25 @@ def test_no_cross_joins_and_no_python(spark, name):
     text = plan(QUERIES[name](spark, SF_DIR))
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEvalPython", "MapInArrow"):
         assert word not in text
+
+
+def test_pairs_to_leave_out_are_shuffled_once(spark):
+    from ranksmith.workload.queries import QUERIES
+
+    # The middle tables, as the smallest make one task.
+    text = plan(QUERIES["scored_unseen_items_per_user"](spark, "/root/testdata/sf0.1"))
+    exchanges = [line for line in text.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
+    # One to the tasks for the sources, one for the pairs, one for the candidates' blocks, and none between the pairs' groupings.
+    assert sum("shufflepartitionidpassthrough" in line for line in exchanges) == 2
+    assert len(exchanges) == 3 and "collect_set(pair" in text
+
+
+def test_a_fit_counts_its_ratings_without_a_shuffle_of_ids(spark):
+    from ranksmith.operators.ratings import bad_rating
+    from pyspark.sql import functions as F
+
+    rows = t.table(spark, SF_DIR, "lineitem").select(
+        F.col("l_orderkey").alias("user_id"), F.col("l_partkey").alias("item_id"), F.col("l_quantity").alias("rating")
+    )
+    text = plan(rows.agg(F.count(F.lit(1)), F.count_if(bad_rating(rows))))
+    assert "hashpartitioning" not in text
