@@ -1,0 +1,211 @@
+"""The registered queries' own columns against plain Python, on the whole smallest tables."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+import xxhash
+
+from ranksmith.llm.queries import QUERIES, tokenizer_path
+
+SF_DIR = "/root/testdata/sf0.001"
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+def sha(value):
+    return hashlib.sha256(value if isinstance(value, bytes) else value.encode()).hexdigest()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()
+    return {r["doc_id"]: (r["text"] or "", r["source"]) for r in rows}
+
+
+def result(spark, number, *columns):
+    name = next(n for n in QUERIES if n.startswith(f"op{number}_"))
+    rows = QUERIES[name](spark, SF_DIR).collect()
+    assert len({r["doc_id"] for r in rows}) == len(rows)
+    return {r["doc_id"]: tuple(r[c] for c in columns) if columns else r for r in rows}
+
+
+def test_op1(spark, docs):
+    items = defaultdict(set)
+    for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect():
+        words = WORD.findall(lower(r["text"] or ""))
+        for k in range(max(1, len(words) - 9) if words else 0):
+            items[tuple(words[k : k + 10])].add(str(r["item_id"]))
+    sizes = {len(w) for w in items}
+    expected = {}
+    for i, (text, _) in docs.items():
+        words, hit, names = WORD.findall(lower(text)), set(), set()
+        for n in sizes:
+            for k in range(len(words) - n + 1):
+                if own := items.get(tuple(words[k : k + n])):
+                    hit.update(range(k, k + n))
+                    names |= own
+        expected[i] = (len(words), len(hit), len(names), sha(",".join(sorted(names))), bool(hit))
+    assert result(spark, 1, "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == expected
+
+
+def spans_of(found, kinds, base):
+    """Of a query's row: counts by base kind, digest of the base spans, and whether ``spans`` holds them all in order."""
+    listed = [x for x in found["spans"].split(",") if x]
+    own = [x for x in listed if x.split(":")[0] in base]
+    place = [(int(x.split(":")[1]), kinds.index(x.split(":")[0])) for x in listed]
+    assert place == sorted(place) and sha(",".join(own)) == found["base_sha256"]
+    return tuple(found[f"n_{k}"] for k in base), own
+
+
+def ordered(spans, kinds):
+    return [f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], kinds.index(s[0])))]
+
+
+def test_op2(spark, docs):
+    kinds = ("assign", "access", "hex", "novel")
+    words = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token"))
+    assign = re.compile(rf"({words}|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+    for i, found in result(spark, 2).items():
+        text = docs[i][0]
+        spans = [("assign", *m.span()) for m in assign.finditer(text) if len(m[2]) >= 12]
+        spans += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        spans += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+        counts = Counter(s[0] for s in spans)
+        assert spans_of(found, kinds, kinds[:3]) == (tuple(counts[k] for k in kinds[:3]), ordered(spans, kinds))
+
+
+def test_op3(spark, docs):
+    kinds = ("email", "ip", "card", "phone", "iban")
+
+    def luhn(digits):
+        return sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(digits))) % 10 == 0
+
+    def right(kind, text):
+        digits = re.sub("[^0-9]", "", text)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in text.split("."))
+        return kind == "email" or (12 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15)
+
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    for i, found in result(spark, 3).items():
+        text = docs[i][0]
+        spans = [(k, *m.span()) for k, p in patterns.items() for m in re.finditer(p, text) if right(k, m[0])]
+        counts = Counter(s[0] for s in spans)
+        assert spans_of(found, kinds, kinds[:4]) == (tuple(counts[k] for k in kinds[:4]), ordered(spans, kinds))
+        assert len([x for x in found["scores"].split(",") if x]) == len([x for x in found["spans"].split(",") if x])
+
+
+def test_op4(spark, docs):
+    tokens = {i: [*SPACE.findall(lower(t)), None] for i, (t, _) in docs.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in docs}
+    counts = Counter(w for i, words in tokens.items() if not held[i] for w in words)
+    n, v = sum(counts.values()), len(counts)
+    found = result(spark, 4)
+    for i, words in tokens.items():
+        base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words)
+        r = found[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(words), sum(counts[w] > 0 for w in words), n)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] < 0
+
+
+def test_op6(spark, docs):
+    size = {i: len(SPACE.findall(t)) for i, (t, _) in docs.items()}
+    whole = Counter()
+    for i, (_, s) in docs.items():
+        whole[s] += size[i]
+    order = sorted(whole, key=lambda s: (s is None, s or ""))
+    weight, full = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}, set()
+    while True:
+        left = 1.5 * sum(whole.values()) - sum(2 * whole[s] for s in full)
+        unit = left / sum(weight[s] for s in order if s not in full)
+        over = {s for s in order if s not in full and unit * weight[s] > 2 * whole[s]}
+        if not over:
+            break
+        full |= over
+    target = {s: 2 * whole[s] if s in full else unit * weight[s] for s in order}
+    found, taken = result(spark, 6), Counter()
+    for i, (_, s) in docs.items():
+        r = found[i]
+        assert (r["size"], r["source_size"]) == (size[i], whole[s]) and r["target"] == pytest.approx(target[s])
+        assert 0 <= r["taken"] <= 2 * size[i] and (not size[i] or r["taken"] % size[i] == 0)
+        taken[s] += r["taken"]
+    largest = {s: max(size[i] for i, d in docs.items() if d[1] == s) for s in order}
+    assert all(abs(taken[s] - target[s]) <= max(0.01 * target[s], largest[s]) for s in order)
+
+
+def test_op7(spark, docs):
+    found = result(spark, 7)
+    for i, (text, _) in docs.items():
+        words, lines = SPACE.findall(text), [x for x in text.split("\n") if SPACE.search(x)]
+        windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        many = Counter(windows)
+        covered = {k + j for k, w in enumerate(windows) if many[w] > 1 for j in range(3)}
+        counts = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered))
+        failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
+        r = found[i]
+        assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == counts
+        assert r["base_failed"] == failed and not (failed and r["kept"])
+    assert sum(r["kept"] for r in found.values()) > 0.8 * sum(not r["base_failed"] for r in found.values())
+
+
+def test_op8(spark, docs):
+    data = {i: t.encode() for i, (t, _) in docs.items()}
+    seen = Counter(hash(d[k : k + 400]) for d in data.values() for k in range(len(d) - 399))
+    expected = {}
+    for i, d in data.items():
+        gone = bytearray(len(d))
+        for k in range(len(d) - 399):
+            if seen[hash(d[k : k + 400])] > 1:
+                gone[k : k + 400] = b"\1" * 400
+        runs = len(re.findall(b"\1+", bytes(gone)))
+        expected[i] = (len(d), sum(gone), runs, sha(bytes(b for b, g in zip(d, gone) if not g)))
+    assert result(spark, 8, "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
+
+
+def test_op9(spark, docs):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    expected, start = {}, 0
+    for i in sorted(docs):
+        ids = [*tokenizer.encode(docs[i][0], add_special_tokens=False).ids, 1]
+        expected[i] = (start, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids)))
+        start += len(ids)
+    assert result(spark, 9, "start", "n_tokens", "ids_crc32") == expected
+
+
+def test_op10(spark, docs):
+    prints = {}
+    for i, (text, _) in docs.items():
+        words = SPACE.findall(lower(text))
+        n = min(4, len(words))
+        hashes = [xxhash.xxh64_intdigest(" ".join(words[k : k + n]).encode(), 42) for k in range(len(words) - n + 1)] if words else []
+        prints[i] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    root = {i: i for i in docs}
+    changed = True
+    while changed:
+        changed = False
+        for i in docs:
+            for j in docs:
+                if root[j] < root[i] and (prints[i] ^ prints[j]).bit_count() <= 4:
+                    root[i], changed = root[j], True
+    assert result(spark, 10, "fingerprint", "component_id") == {i: (f"{prints[i]:016x}", root[i]) for i in docs}
+
+
+def test_op13(spark, docs):
+    for i, r in result(spark, 13).items():
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5)
