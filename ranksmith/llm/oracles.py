@@ -67,3 +67,78 @@ drawn AS (
   SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= {least_words}
   QUALIFY rank <= {percent} * count(*) OVER () // 100)
 SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN drawn USING (doc_id)"""
+
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def secret_counts() -> str:
+    """How many matches of each fixed pattern count."""
+    assign = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    return f"""
+WITH given AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id,
+  len(list_filter(regexp_extract_all(text, '{assign}', 1), lambda x: length(x) >= 12))::BIGINT AS n_assign,
+  len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18))::BIGINT AS n_access,
+  len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 16))::BIGINT AS n_hex
+FROM given"""
+
+
+def personal_counts() -> str:
+    """How many matches of each form pass its check."""
+    luhn = """list_sum(list_transform(range(length(d)), lambda k:
+      ((1 + k % 2) * substr(d, length(d) - k, 1)::INT) // 10 + ((1 + k % 2) * substr(d, length(d) - k, 1)::INT) % 10)) % 10 = 0"""
+    digits = "regexp_replace(x, '[^0-9]', '', 'g')"
+    return f"""
+WITH given AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS (
+  SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+'))::BIGINT AS n_email,
+    regexp_extract_all(text, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+') AS ips,
+    list_transform(regexp_extract_all(text, '[0-9](?:[ -]?[0-9])+'), lambda x: {digits}) AS cards,
+    list_transform(regexp_extract_all(text, '[+][0-9][ ().0-9-]+[0-9]'), lambda x: {digits}) AS phones
+  FROM given)
+SELECT doc_id, n_email,
+  len(list_filter(ips, lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR lpad(ltrim(p, '0'), 3, '0') > '255')) = 0))::BIGINT AS n_ip,
+  len(list_filter(cards, lambda d: length(d) BETWEEN 12 AND 19 AND {luhn}))::BIGINT AS n_card,
+  len(list_filter(phones, lambda d: length(d) BETWEEN 9 AND 15))::BIGINT AS n_phone
+FROM found"""
+
+
+def mix_targets(weights: tuple[float, ...], share: float = 1.5, cap: float = 2.0) -> str:
+    """Sizes, and targets that stop at ``cap`` times their source, the rest dealt by weight."""
+    listed = ", ".join(f"{w}::DOUBLE" for w in weights)
+    return f"""
+WITH sized AS (
+  SELECT doc_id, source, len(coalesce(regexp_extract_all(text, '{WORD}'), []))::BIGINT AS size FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+known AS (
+  SELECT *, {cap}::DOUBLE * source_size AS most,
+         [{listed}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} + 1] AS weight FROM sources),
+placed AS (
+  SELECT *, {share}::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER before, 0) AS rest,
+         sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS weights
+  FROM known WINDOW before AS (ORDER BY most / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+dealt AS (SELECT *, max(rest / weights) FILTER (WHERE most >= rest / weights * weight) OVER () AS unit FROM placed)
+SELECT doc_id, size, source_size, round(coalesce(least(most, unit * weight), most), 3) AS target
+FROM sized JOIN dealt ON sized.source IS NOT DISTINCT FROM dealt.source"""
+
+
+def quality_counts(min_words: int = 50, max_repeat_percent: int = 50) -> str:
+    """The five counts and the two rules on them."""
+    return f"""
+WITH given AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+         coalesce(regexp_extract_all(text, '{WORD}'), []) AS words FROM documents),
+windows AS (
+  SELECT r, k, words[k] || ' ' || words[k + 1] || ' ' || words[k + 2] AS w
+  FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS k FROM given)),
+repeated AS (SELECT r, k FROM windows QUALIFY count(*) OVER (PARTITION BY r, w) > 1),
+covered AS (SELECT r, count(DISTINCT k + j)::BIGINT AS n FROM repeated CROSS JOIN range(3) AS t(j) GROUP BY r),
+counted AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+    (len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')))
+      - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')))))::BIGINT AS n_dup_lines,
+    coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM given LEFT JOIN covered USING (r))
+SELECT *, n_words < {min_words} OR 100 * n_repeat_words > {max_repeat_percent} * n_words AS base_failed FROM counted"""

@@ -142,6 +142,26 @@ def op13_factorization_machine_toxicity(spark: SparkSession, sf_dir: str) -> Dat
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+# What SQL can say of four operators: their results without the columns that the dealt methods add.
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_zstd_novelty_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def personal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_checked_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op6_entropy_balanced_mix(spark, sf_dir)
+    return found.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_mcd_quality(spark, sf_dir).select("doc_id", *quality.COUNTS, "base_failed")
+
+
 _RULES = ", ".join(f"('{host}', '{path}', '{action}')" for host, path, action in RULES)
 
 ORACLES: dict[str, str] = {
@@ -162,6 +182,10 @@ FROM parsed LEFT JOIN rules
 GROUP BY page_id""",
     "op11_value_dictionary_codes": oracles.value_codes(),
     "op12_gumbel_importance_resample": oracles.resampled(),
+    "secret_counts": oracles.secret_counts(),
+    "personal_counts": oracles.personal_counts(),
+    "mix_targets": oracles.mix_targets(WEIGHTS),
+    "quality_counts": oracles.quality_counts(),
 }
 
 QUERIES = {
@@ -180,5 +204,9 @@ QUERIES = {
         op11_value_dictionary_codes,
         op12_gumbel_importance_resample,
         op13_factorization_machine_toxicity,
+        secret_counts,
+        personal_counts,
+        mix_targets,
+        quality_counts,
     )
 }

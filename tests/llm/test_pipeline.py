@@ -26,7 +26,7 @@ def folder(spark, documents, tmp_path_factory):
 def test_all_are_registered():
     names = set(entry_module.queries())
     assert set(QUERIES) | {"pipeline"} <= names
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)}
+    assert sorted(name.split("_")[0] for name in QUERIES if name.startswith("op")) == sorted(f"op{n}" for n in range(1, 14))
 
 
 def test_stages(spark, folder):
