@@ -21,7 +21,7 @@ CASES = {
 def pruning(request, monkeypatch):
     monkeypatch.setattr(score, "PRUNED_SCORES", 0)
     monkeypatch.setattr(score, "SOURCE_BLOCK", 0)
-    for name, value in [("CELL", 8), ("CUT_ROWS", 100), ("TILE_SOURCES", 16), ("MIN_TILE_SOURCES", 4), ("BATCH_SCORES", 60)]:
+    for name, value in [("CELL", 8), ("CUT_ROWS", 100), ("TILE_SOURCES", 16), ("MIN_TILE_SOURCES", 4), ("BATCH_SCORES", 60), ("MERGE_ROWS", 3)]:
         monkeypatch.setattr(pruned, name, value)
     if request.param == "shuffled":
         monkeypatch.setattr(sizes, "BROADCAST_BYTES", 0)
