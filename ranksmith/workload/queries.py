@@ -647,6 +647,8 @@ def als_normal_equations(spark, sf):
     rank = model.rank
     v = [F.col("features")[i].cast("double") for i in range(rank)]
     rows = ratings.join(model.item_factors.withColumnRenamed("id", ITEM), ITEM)
+    # A rating with its item's factors is a tenth of the sums, so it is the ratings that go to their users.
+    rows = rows.repartition(USER)
     upper = [(i, j) for i in range(rank) for j in range(i, rank)]
     sums = rows.groupBy(F.col(USER).alias("id")).agg(
         F.count(F.lit(1)).alias("n"),

@@ -52,3 +52,12 @@ def test_a_fit_counts_its_ratings_without_a_shuffle_of_ids(spark):
     )
     text = plan(rows.agg(F.count(F.lit(1)), F.count_if(bad_rating(rows))))
     assert "hashpartitioning" not in text
+
+
+def test_ratings_go_to_their_users_before_they_are_summed(spark):
+    from ranksmith.workload.queries import QUERIES
+
+    # The sums of a user are many times as wide as the ratings with their factors, and must not be shuffled.
+    text = plan(QUERIES["als_normal_equations"](spark, SF_DIR))
+    assert not [line for line in text.splitlines() if "hashpartitioning(id" in line and "ENSURE_REQUIREMENTS" in line]
+    assert "hashpartitioning(user_id" in text and "REPARTITION_BY_COL" in text
