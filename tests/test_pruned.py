@@ -130,3 +130,33 @@ def test_scores_made_do_not_follow_the_number_of_pairs(n_candidates):
     tenth = -np.sort(-exact, axis=1)[:, 9]
     scored = sum(own.size * (bounds[:, i] >= tenth).sum() for i, (own, _) in enumerate(rows_))
     assert scored < (0.25 if n_candidates == 20_000 else 0.1) * exact.size
+
+
+def test_list_order_is_by_row_falling_score_and_id():
+    rng = np.random.default_rng(7)
+    rows = rng.integers(0, 30, 4000)
+    scores = rng.choice(np.array([-np.inf, -2.5, -1e-30, -0.0, 0.0, 1e-30, 1.5, 3.0, np.inf, np.nan], np.float32), 4000)
+    scores[:2000] = rng.normal(size=2000)
+    ids = rng.permutation(4000) - 2000
+    assert (pruned._list_order(rows, ids, scores) == np.lexsort((ids, -scores, rows))).all()
+
+
+def test_cells_far_from_nought_are_bounded_by_their_own_spread():
+    """Cells around distant means, alike in length: what a source wants follows its direction."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 8))
+    centres *= 4 / np.linalg.norm(centres, axis=1)[:, None]
+    items = (np.repeat(centres, 64, axis=0) + 0.2 * rng.normal(size=(2560, 8))).astype(np.float32)
+    users = rng.normal(size=(60, 8)).astype(np.float32)
+    lists = pa.ListArray.from_arrays(pa.array(range(0, items.size + 1, 8), pa.int32()), pa.array(items.ravel()))
+    cells = []
+    for start in range(0, 2560, 64):
+        part = {"id": pa.array(range(start, start + 64), pa.int32()), "features": lists[start : start + 64], "segment": pa.nulls(64, pa.string())}
+        cells += [c.to_pylist()[0] for c in pruned._cutter(8, np.eye(8), 64)(iter([pa.RecordBatch.from_pydict(part)]))]
+    known = pruned.Cells([c | {"cell": i} for i, c in enumerate(cells)], np.eye(8))
+    bounds = pruned.Sides(users, known.rotation).bounds(known, np.arange(40))
+    exact = (users.astype(np.float64) @ items.astype(np.float64).T).reshape(60, 40, 64).max(axis=2)
+    assert (exact <= bounds).all()
+    assert (bounds - exact).mean() < 0.35 * exact.std()
