@@ -4,6 +4,9 @@ Candidates are cut into cells of similar vectors. A cell's bounds say which sour
 ``k``-th score so far is above anything in it. Sources are dealt into tiles, each finished by one task, which reads its
 cells one after the other, the most promising first. The lists are those of scoring every pair, ties included.
 
+A tile's sources are taken in groups of similar ones: what a cell cannot serve in a whole group is not asked source by
+source, so that the bounds made follow groups times cells, and sources only where these leave something open.
+
 A tile keeps its sources, their lists and the items to leave out; a cell is the only other thing in memory. What
 is shuffled are the sources, once, and for every tile the cells that its own bounds do not rule out.
 """
@@ -35,6 +38,9 @@ TILE_SOURCES = 65_536
 TILE_ENTRIES = 4_000_000
 MIN_TILE_SOURCES = 1_024
 
+# Most sources whose bounds are made together first.
+GROUP = 64
+
 # Scores made at once, and sources whose lists are sorted at once.
 BATCH_SCORES = 4_000_000
 MERGE_ROWS = 4_096
@@ -56,6 +62,7 @@ class Cells:
         self.rotation = rotation
         self.number, self.n, self.first = array("cell", np.int64), array("n", np.int64), array("first", np.int64)
         self.low, self.high, self.mean = (array(c).reshape(-1, rank) for c in ("low", "high", "mean"))
+        self.most = np.maximum(np.abs(self.low), np.abs(self.high))
         self.rest, self.length, self.flat = array("rest"), array("length"), array("flat", bool)
         far = self.rest + np.linalg.norm(self.mean[:, 1:], axis=1)  # no candidate is farther
         self.spread = array("spread") if rows and "spread" in rows[0] else far
@@ -76,7 +83,7 @@ class Sides:
         self.turned, self.length = turned, np.linalg.norm(features.astype(np.float64), axis=1)
 
     def __getitem__(self, rows) -> Sides:
-        part = object.__new__(Sides)
+        part = object.__new__(type(self))
         for name, values in vars(self).items():
             setattr(part, name, values[rows])
         return part
@@ -101,6 +108,45 @@ class Sides:
         return every - slack, self.turned @ cells.mean[which].T - slack
 
 
+class Groups(Sides):
+    """Groups of similar sources: each as its middle, with bounds that hold for all of its sources.
+
+    ``order`` lists the sources group by group, whichever groups are taken out; ``starts`` says where each group begins in it
+    and ``sizes`` how many it has.
+    """
+
+    def __init__(self, features: np.ndarray, rotation: np.ndarray):
+        turned = features.astype(np.float64) @ rotation
+        parts = _split(turned, np.arange(len(features)), GROUP)
+        self.order, self.sizes = np.concatenate(parts), np.array([p.size for p in parts])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        own = turned[self.order]
+        low, high = np.minimum.reduceat(own, self.starts), np.maximum.reduceat(own, self.starts)
+        middle = (low + high) / 2
+        super().__init__(middle, np.eye(rotation.shape[0]))
+        self.half = high - middle
+        away = np.linalg.norm(own - np.repeat(middle, self.sizes, axis=0), axis=1)
+        self.radius = np.maximum.reduceat(away, self.starts)
+        self.length = self.length + self.radius
+
+    def __getitem__(self, rows) -> Groups:
+        part = super().__getitem__(rows)
+        part.order = self.order
+        return part
+
+    def _off(self, cells: Cells, which) -> np.ndarray:
+        """How far the score of a group's source may be from that of its middle."""
+        return np.minimum(self.half @ cells.most[which].T, np.outer(self.radius, cells.length[which]))
+
+    def bounds(self, cells: Cells, which) -> np.ndarray:
+        return super().bounds(cells, which) + self._off(cells, which)
+
+    def reached(self, cells: Cells, which) -> tuple[np.ndarray, np.ndarray]:
+        every, one = super().reached(cells, which)
+        off = self._off(cells, which)
+        return every - off, one - off
+
+
 def _floors(sides: Sides, cells: Cells, which: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Per source, a score that at least ``wanted`` candidates of these cells reach, from the cells' bounds alone."""
     every, one = sides.reached(cells, which)
@@ -228,21 +274,26 @@ def _rotation(candidates: DataFrame, rank: int) -> np.ndarray:
 
 def _wanted_cells(cells: Cells, features: np.ndarray, wanted: np.ndarray, tile: int) -> pa.RecordBatch:
     """The cells that may serve a source of the tile, in the order in which to read them."""
-    sides = Sides(features, cells.rotation)
+    groups = Groups(features, cells.rotation)
+    sides, wanted = Sides(features[groups.order], cells.rotation), wanted[groups.order]
+    most = np.maximum.reduceat(wanted, groups.starts)
     sums, served = np.zeros(len(cells.n)), np.zeros(len(cells.n), bool)
     step = max(1, BATCH_SCORES // max(1, len(cells.n)))
     for code in range(len(cells.segments)):
         which = np.flatnonzero(cells.of_segment == code)
-        for start in range(0, len(features), step):
-            left = which[~served[which]]
-            if not left.size:
-                break
-            own = sides[slice(start, start + step)]
-            bound = own.bounds(cells, left)
-            if start == 0:  # The order saves time and changes no list, so a part of the sources may give it.
-                sums[which] = np.nan_to_num(bound / np.maximum(own.length, 1e-30)[:, None]).mean(axis=0)
-            floor = _floors(own, cells, which, wanted[start : start + step])
-            served[left] = (~(bound < floor[:, None])).any(axis=0)
+        for start in range(0, len(most), step):
+            part = groups[slice(start, start + step)]
+            bound = part.bounds(cells, which)
+            sums[which] += np.nan_to_num(bound / np.maximum(part.length, 1e-30)[:, None]).sum(axis=0)
+            open_ = ~(bound < _floors(part, cells, which, most[start : start + step])[:, None])
+            for begin, size, near in zip(part.starts, part.sizes, open_):
+                # What is ruled out for the group is below the scores that give its sources their floors.
+                near = which[near]
+                left = near[~served[near]]
+                if left.size:
+                    own = sides[slice(begin, begin + size)]
+                    floor = _floors(own, cells, near, wanted[begin : begin + size])
+                    served[left] = (~(own.bounds(cells, left) < floor[:, None])).any(axis=0)
     chosen = np.flatnonzero(served)
     chosen = chosen[np.lexsort((cells.first[chosen], -np.round(sums[chosen], 6)))]
     return pa.RecordBatch.from_pydict(
@@ -358,7 +409,14 @@ def _scorer(k: int, rank: int, cells: Cells, segmented: bool):
         if cells.segment[i] not in tile["lists"]:
             tile["lists"][cells.segment[i]] = _Lists(len(features), k)
         lists = tile["lists"][cells.segment[i]]
-        rows = np.flatnonzero(~(sides.bounds(cells, slice(i, i + 1))[:, 0] < lists.scores[:, -1]))
+        cell, last = slice(i, i + 1), lists.scores[:, -1]
+        groups = tile["groups"]
+        near = ~(groups.bounds(cells, cell)[:, 0] < np.minimum.reduceat(last, groups.starts))
+        rows = np.flatnonzero(np.repeat(near, groups.sizes))
+        if not rows.size:
+            return
+        few = sides if near.all() else sides[rows]
+        rows = rows[~(few.bounds(cells, cell)[:, 0] < last[rows])]
         if not rows.size:
             return
         ids, runs = (batch.column(c)[r].values.to_numpy() for c in ("cell_ids", "cell_runs"))
@@ -425,13 +483,17 @@ def _scorer(k: int, rank: int, cells: Cells, segmented: bool):
                         return batch.column(name)[r].values.to_numpy(zero_copy_only=False).copy()
 
                     features, n_seen = array("features").reshape(-1, rank), array("n_seen").astype(np.int64)
+                    # Sources of a group stand together; their items to leave out stay where they are.
+                    groups = Groups(features, cells.rotation)
+                    features = features[groups.order]
                     tile = {
-                        "ids": array("ids"),
+                        "ids": array("ids")[groups.order],
                         "features": features,
+                        "groups": groups,
                         "sides": Sides(features, cells.rotation),
                         "seen": array("seen"),
-                        "n_seen": n_seen,
-                        "starts": np.cumsum(n_seen) - n_seen,
+                        "n_seen": n_seen[groups.order],
+                        "starts": (np.cumsum(n_seen) - n_seen)[groups.order],
                         "lists": {},
                     }
                 else:

@@ -160,3 +160,81 @@ def test_cells_far_from_nought_are_bounded_by_their_own_spread():
     exact = (users.astype(np.float64) @ items.astype(np.float64).T).reshape(60, 40, 64).max(axis=2)
     assert (exact <= bounds).all()
     assert (bounds - exact).mean() < 0.35 * exact.std()
+
+
+def near_vectors(n_sources, seed=9):
+    """Cells and sources around some centres, as similar users and items are."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(30, 4))
+    items = (np.repeat(centres, 40, axis=0) + 0.02 * rng.normal(size=(1200, 4))).astype(np.float32)
+    users = (centres[rng.integers(0, 30, n_sources)] + 0.02 * rng.normal(size=(n_sources, 4))).astype(np.float32)
+    lists = pa.ListArray.from_arrays(pa.array(range(0, items.size + 1, 4), pa.int32()), pa.array(items.ravel()))
+    batch = {"id": pa.array(range(1200), pa.int32()), "features": lists, "segment": pa.nulls(1200, pa.string())}
+    cells = [c for b in pruned._cutter(4, np.eye(4), 16)(iter([pa.RecordBatch.from_pydict(batch)])) for c in b.to_pylist()]
+    return users, cells, pruned.Cells([c | {"cell": i} for i, c in enumerate(cells)], np.eye(4))
+
+
+def test_bounds_of_a_group_hold_for_its_sources():
+    users, found, cells = near_vectors(700)
+    users[5], users[6] = 0, np.nan
+    groups, which = pruned.Groups(users, cells.rotation), np.arange(len(cells.n))
+    assert sorted(groups.order) == list(range(700)) and groups.sizes.max() <= pruned.GROUP
+    at = np.repeat(np.arange(len(groups.sizes)), groups.sizes)
+    scores = [users[groups.order].astype(np.float64) @ np.array(c["features"]).reshape(-1, 4).T for c in found]
+    most, least = (np.stack([f(s, axis=1) for s in scores], axis=1) for f in (np.max, np.min))
+    every, one = (x[at] for x in groups.reached(cells, which))
+    assert not (most > groups.bounds(cells, which)[at]).any()
+    assert not (least < every).any() and not (most < one).any()
+
+
+@pytest.mark.parametrize("k", [1, 10, 200])
+def test_cells_are_chosen_by_groups(monkeypatch, k):
+    """Fewer bounds than sources times cells, no cell beyond those chosen source by source, none missed that is listed."""
+    users, found, cells = near_vectors(4000)
+    made, plain_bounds = [], pruned.Sides.bounds
+    which, sides = np.arange(len(cells.n)), pruned.Sides(users, cells.rotation)
+    wanted = np.full(len(users), k) + np.arange(len(users)) % 3
+    most = (~(sides.bounds(cells, which) < pruned._floors(sides, cells, which, wanted)[:, None])).any(axis=0)
+    scores = np.concatenate([users.astype(np.float64) @ np.array(c["features"]).reshape(-1, 4).T for c in found], axis=1)
+    listed = (scores >= np.array([np.sort(row)[-n] for row, n in zip(scores, wanted)])[:, None]).any(axis=0)
+    least = set(np.repeat(which, cells.n)[listed])
+
+    def counted(self, known, chosen):
+        bound = plain_bounds(self, known, chosen)
+        made.append(bound.size)
+        return bound
+
+    monkeypatch.setattr(pruned.Sides, "bounds", counted)
+    chosen = set(pruned._wanted_cells(cells, users, wanted, 3).column("cell").to_pylist())
+    assert least <= chosen <= set(np.flatnonzero(most))
+    assert sum(made) < 0.2 * len(users) * len(cells.n)
+
+
+def test_lists_are_made_by_groups(monkeypatch):
+    """Fewer bounds than sources times cells, and the lists of a plain sort."""
+    import pyarrow as pa
+
+    users, found, cells = near_vectors(4000)
+    made, plain_bounds = [], pruned.Sides.bounds
+
+    def counted(self, known, chosen):
+        bound = plain_bounds(self, known, chosen)
+        made.append(bound.size)
+        return bound
+
+    monkeypatch.setattr(pruned.Sides, "bounds", counted)
+    ids = [7000 - i for i in range(4000)]
+    tile = {"place": 0, "cell": None, "ids": ids, "features": users.ravel().tolist(), "seen": [], "n_seen": [0] * 4000}
+    every = [{"place": i + 1, "cell": i} | {f"cell_{c}": x[c] for c in ("ids", "runs", "features")} for i, x in enumerate(found)]
+    names = {"ids": pa.int32(), "features": pa.float32(), "seen": pa.int32(), "n_seen": pa.int32()}
+    names |= {"cell_ids": pa.int32(), "cell_runs": pa.int32(), "cell_features": pa.float32()}
+    schema = pa.schema([("place", pa.int32()), ("cell", pa.int64())] + [(n, pa.list_(t)) for n, t in names.items()])
+    scored = pruned._scorer(5, 4, cells, False)(iter([pa.RecordBatch.from_pylist([tile, *every], schema=schema)]))
+    lists = {(r["source_id"], r["rank"], r["candidate_id"], r["score"]) for b in scored for r in b.to_pylist()}
+    items = np.zeros((1200, 4), np.float32)
+    for cell in found:
+        items[cell["ids"]] = np.array(cell["features"], np.float32).reshape(-1, 4)
+    assert lists == plain([users, items], [ids, range(1200)], 5)
+    assert sum(made) < 0.3 * len(users) * len(cells.n)
