@@ -415,14 +415,15 @@ def _scorer(k: int, rank: int, cells: Cells, segmented: bool):
         rows = np.flatnonzero(np.repeat(near, groups.sizes))
         if not rows.size:
             return
-        few = sides if near.all() else sides[rows]
-        rows = rows[~(few.bounds(cells, cell)[:, 0] < last[rows])]
+        asked = sides if near.all() else sides[rows]
+        rows = rows[~(asked.bounds(cells, cell)[:, 0] < last[rows])]
         if not rows.size:
             return
         ids, runs = (batch.column(c)[r].values.to_numpy() for c in ("cell_ids", "cell_runs"))
         vectors = batch.column("cell_features")[r].values.to_numpy().reshape(-1, rank)
         if cells.flat[i]:
             rows = beaten(features, lists, rows, vectors[0], cells.first[i])
+        owners, hidden = _hidden(tile, ids) if tile["seen"].size else (None, None)
         step = max(1, BATCH_SCORES // len(ids))
         for start in range(0, rows.size, step):
             own = rows[start : start + step]
@@ -430,9 +431,10 @@ def _scorer(k: int, rank: int, cells: Cells, segmented: bool):
             few = runs < k + tile["n_seen"][own].max(initial=0)
             own_ids, own_vectors = ids[few], vectors[few]
             rough = features[own] @ own_vectors.T
-            if tile["seen"].size:
-                hidden_rows, hidden_columns = _hidden(tile, own, own_ids)
-                rough[hidden_rows, hidden_columns] = -np.inf
+            if owners is not None:
+                at = np.searchsorted(own, owners).clip(max=own.size - 1)
+                there = (own[at] == owners) & few[hidden]
+                rough[at[there], (np.cumsum(few) - 1)[hidden[there]]] = -np.inf
             held = lists.scores[own, -1]
             floor = held if np.isfinite(held).all() else np.maximum(held, _group_floor(rough, k))
             error = sides.length[own] * cells.length[i] * ((rank + 2) * 2.0**-23)
@@ -441,20 +443,23 @@ def _scorer(k: int, rank: int, cells: Cells, segmented: bool):
             # Few sources find anything in a cell, so each one's best score is looked at first; no number hides nothing.
             reach = np.flatnonzero(~(rough.max(axis=1) < floor))
             r_, c_ = np.nonzero(rough[reach] >= floor[reach, None])
+            if cells.flat[i] and r_.size:
+                # Equal candidates stand by id, so those behind a source's first ones are not listed.
+                first = np.flatnonzero(np.diff(r_, prepend=-1))
+                kept = np.arange(r_.size) - np.repeat(first, np.diff(np.r_[first, r_.size])) < k
+                r_, c_ = r_[kept], c_[kept]
             r_ = reach[r_]
             exact = np.einsum(
                 "ij,ij->i", features[own[r_]].astype(np.float64), own_vectors[c_].astype(np.float64)
             ).astype(np.float32)
             lists.add(own[r_], own_ids[c_].astype(np.int64), exact)
 
-    def _hidden(tile: dict, rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the items to leave out stand among these sources and candidates."""
-        counts = tile["n_seen"][rows]
-        starts = np.repeat(tile["starts"][rows] - np.r_[0, np.cumsum(counts)[:-1]], counts)
-        seen = tile["seen"][starts + np.arange(counts.sum())]
-        at = np.searchsorted(ids, seen).clip(max=ids.size - 1)
-        there = ids[at] == seen
-        return np.repeat(np.arange(rows.size), counts)[there], at[there]
+    def _hidden(tile: dict, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sources that leave out some of these candidates, and where these stand: the pairs lie by candidate."""
+        first = np.searchsorted(tile["seen"], ids)
+        counts = np.searchsorted(tile["seen"], ids, side="right") - first
+        pairs = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        return tile["owner"][pairs], np.repeat(np.arange(ids.size), counts)
 
     def finished(tile: dict) -> Iterator[pa.RecordBatch]:
         for segment, lists in tile["lists"].items():
@@ -483,17 +488,18 @@ def _scorer(k: int, rank: int, cells: Cells, segmented: bool):
                         return batch.column(name)[r].values.to_numpy(zero_copy_only=False).copy()
 
                     features, n_seen = array("features").reshape(-1, rank), array("n_seen").astype(np.int64)
-                    # Sources of a group stand together; their items to leave out stay where they are.
-                    groups = Groups(features, cells.rotation)
-                    features = features[groups.order]
+                    # Sources of a group stand together; the items to leave out are looked up cell by cell.
+                    groups, seen = Groups(features, cells.rotation), array("seen")
+                    features, place = features[groups.order], np.argsort(groups.order)
+                    by_item = np.argsort(seen, kind="stable")
                     tile = {
                         "ids": array("ids")[groups.order],
                         "features": features,
                         "groups": groups,
                         "sides": Sides(features, cells.rotation),
-                        "seen": array("seen"),
+                        "seen": seen[by_item],
+                        "owner": np.repeat(place, n_seen)[by_item],
                         "n_seen": n_seen[groups.order],
-                        "starts": (np.cumsum(n_seen) - n_seen)[groups.order],
                         "lists": {},
                     }
                 else:

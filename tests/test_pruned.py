@@ -212,10 +212,44 @@ def test_cells_are_chosen_by_groups(monkeypatch, k):
     assert sum(made) < 0.2 * len(users) * len(cells.n)
 
 
-def test_lists_are_made_by_groups(monkeypatch):
-    """Fewer bounds than sources times cells, and the lists of a plain sort."""
+def scored_cells(users, ids, found, cells, k, seen):
+    """The lists of one tile that reads every cell; ``seen`` is what each source leaves out."""
     import pyarrow as pa
 
+    flat, counts = [i for own in seen for i in own], [len(own) for own in seen]
+    tile = {"place": 0, "cell": None, "ids": ids, "features": users.ravel().tolist(), "seen": flat, "n_seen": counts}
+    every = [{"place": i + 1, "cell": i} | {f"cell_{c}": x[c] for c in ("ids", "runs", "features")} for i, x in enumerate(found)]
+    names = {"ids": pa.int32(), "features": pa.float32(), "seen": pa.int32(), "n_seen": pa.int32()}
+    names |= {"cell_ids": pa.int32(), "cell_runs": pa.int32(), "cell_features": pa.float32()}
+    schema = pa.schema([("place", pa.int32()), ("cell", pa.int64())] + [(n, pa.list_(t)) for n, t in names.items()])
+    scored = pruned._scorer(k, 4, cells, False)(iter([pa.RecordBatch.from_pylist([tile, *every], schema=schema)]))
+    items = np.zeros((1200, 4), np.float32)
+    for cell in found:
+        items[cell["ids"]] = np.array(cell["features"], np.float32).reshape(-1, 4)
+    return {(r["source_id"], r["rank"], r["candidate_id"], r["score"]) for b in scored for r in b.to_pylist()}, items
+
+
+def test_items_to_leave_out_are_looked_up_cell_by_cell(monkeypatch):
+    """What is looked up follows the cells and the pairs left out, not sources times what each leaves out times cells."""
+    users, found, cells = near_vectors(1000)
+    rng, ids = np.random.default_rng(10), [3000 + i for i in range(1000)]
+    seen = [rng.choice(1300, rng.integers(0, 60), replace=False).tolist() for _ in ids]
+    looked, plain_search = [], np.searchsorted
+
+    def counted(values, wanted, *args, **kwargs):
+        looked.append(np.size(wanted))
+        return plain_search(values, wanted, *args, **kwargs)
+
+    monkeypatch.setattr(np, "searchsorted", counted)
+    lists, items = scored_cells(users, ids, found, cells, 1200, seen)
+    monkeypatch.undo()
+    assert sum(looked) < 0.2 * sum(map(len, seen)) * len(found)
+    hidden = {(s, c) for s, own in zip(ids, seen) for c in own}
+    assert lists == plain([users, items], [ids, range(1200)], 1200, lambda s, c: (s, c) not in hidden)
+
+
+def test_lists_are_made_by_groups(monkeypatch):
+    """Fewer bounds than sources times cells, and the lists of a plain sort."""
     users, found, cells = near_vectors(4000)
     made, plain_bounds = [], pruned.Sides.bounds
 
@@ -226,15 +260,6 @@ def test_lists_are_made_by_groups(monkeypatch):
 
     monkeypatch.setattr(pruned.Sides, "bounds", counted)
     ids = [7000 - i for i in range(4000)]
-    tile = {"place": 0, "cell": None, "ids": ids, "features": users.ravel().tolist(), "seen": [], "n_seen": [0] * 4000}
-    every = [{"place": i + 1, "cell": i} | {f"cell_{c}": x[c] for c in ("ids", "runs", "features")} for i, x in enumerate(found)]
-    names = {"ids": pa.int32(), "features": pa.float32(), "seen": pa.int32(), "n_seen": pa.int32()}
-    names |= {"cell_ids": pa.int32(), "cell_runs": pa.int32(), "cell_features": pa.float32()}
-    schema = pa.schema([("place", pa.int32()), ("cell", pa.int64())] + [(n, pa.list_(t)) for n, t in names.items()])
-    scored = pruned._scorer(5, 4, cells, False)(iter([pa.RecordBatch.from_pylist([tile, *every], schema=schema)]))
-    lists = {(r["source_id"], r["rank"], r["candidate_id"], r["score"]) for b in scored for r in b.to_pylist()}
-    items = np.zeros((1200, 4), np.float32)
-    for cell in found:
-        items[cell["ids"]] = np.array(cell["features"], np.float32).reshape(-1, 4)
+    lists, items = scored_cells(users, ids, found, cells, 5, [[]] * 4000)
     assert lists == plain([users, items], [ids, range(1200)], 5)
     assert sum(made) < 0.3 * len(users) * len(cells.n)
