@@ -15,7 +15,8 @@ def predict(model: FactorModel, pairs: DataFrame, cold: str = "drop") -> DataFra
 
     Pairs with an unseen user or item are dropped, or get NaN with ``cold="nan"``.
     Factor tables are broadcast only below the size limit; otherwise both joins
-    shuffle the pairs and Spark splits hot ids.
+    shuffle the pairs and Spark splits hot ids. Items come first, as a model's own transform leaves its rows by item,
+    which then stay where they are; afterwards they lie by user, ready to be summed per user.
     """
     if cold not in ("drop", "nan"):
         raise ValueError(f"cold must be drop or nan, not {cold!r}")
@@ -24,7 +25,7 @@ def predict(model: FactorModel, pairs: DataFrame, cold: str = "drop") -> DataFra
     items = model.item_factors.select(F.col("id").alias(ITEM), F.col("features").alias("item_features"))
     users = broadcast_if_small(users, factor_bytes(model.n_users, model.rank))
     items = broadcast_if_small(items, factor_bytes(model.n_items, model.rank))
-    joined = pairs.join(users, USER, how).join(items, ITEM, how)
+    joined = pairs.join(items, ITEM, how).join(users, USER, how)
     score = dot(F.col("user_features"), F.col("item_features"), model.rank).cast("float")
     if cold == "nan":
         score = F.coalesce(score, F.lit(float("nan")).cast("float"))

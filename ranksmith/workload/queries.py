@@ -631,9 +631,10 @@ def als_prediction_is_dot(spark, sf):
     """Every rating's prediction against Spark ML's own transform."""
     ratings = _table(spark, sf)
     model = fit_als(ratings)
-    ours = predict(model, ratings).withColumnRenamed(PREDICTION, "ours")
-    both = model.als_model.transform(ours)
-    gap = F.abs(F.col("ours") - F.col(PREDICTION))
+    # In this order rows are sent to their users, their items and their users again, where they are summed.
+    theirs = model.als_model.transform(ratings).withColumnRenamed(PREDICTION, "theirs")
+    both = predict(model, theirs)
+    gap = F.abs(F.col(PREDICTION) - F.col("theirs"))
     return both.groupBy(USER).agg(
         F.count(F.lit(1)).alias("n_rows"), (F.max(gap) < 1e-4).alias("same")
     )

@@ -61,3 +61,20 @@ def test_ratings_go_to_their_users_before_they_are_summed(spark):
     text = plan(QUERIES["als_normal_equations"](spark, SF_DIR))
     assert not [line for line in text.splitlines() if "hashpartitioning(id" in line and "ENSURE_REQUIREMENTS" in line]
     assert "hashpartitioning(user_id" in text and "REPARTITION_BY_COL" in text
+
+
+def test_predictions_stay_with_their_items_and_are_summed_where_they_end(spark):
+    from ranksmith.operators.sizes import BROADCAST_SETTING
+    from ranksmith.workload.queries import QUERIES
+
+    settings = {BROADCAST_SETTING: "0", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        text = plan(QUERIES["als_prediction_is_dot"](spark, SF_DIR))
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    # Both models' two factor tables, and rows that go to their users, items and users again.
+    assert text.count("Exchange hashpartitioning") == 7
