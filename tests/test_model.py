@@ -100,3 +100,20 @@ def test_one_model_per_segment(ratings, catalog):
     }
     alone = vectors(fit_als(tv, SEGMENT).user_factors)
     assert max(np.abs(alone[u] - v).max() for u, v in vectors(models["TV"].user_factors).items()) < 1e-4
+
+
+def test_a_large_fit_keeps_one_round_of_shuffles(spark, ratings, factors, monkeypatch):
+    from ranksmith.operators import model as module
+
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+
+    def standing():
+        return tracker.shuffleStatuses().size()
+
+    monkeypatch.setattr(module, "SMALL_FIT", 0)
+    before = standing()
+    found = fit_als(ratings)
+    # The blocks' own, and those of the last round; ten rounds make twenty.
+    assert standing() - before < 10
+    for table, known in zip((found.user_factors, found.item_factors), factors):
+        assert max(np.abs(known[i] - v).max() for i, v in vectors(table).items()) < 1e-4
