@@ -33,9 +33,10 @@ CELL = 1_024
 MAX_CELLS = 16_384
 CUT_ROWS = 131_072
 
-# Most sources per tile, and list entries that a tile may hold.
-TILE_SOURCES = 65_536
-TILE_ENTRIES = 4_000_000
+# Most sources per tile, and list entries that a tile may hold: every tile is sent its cells, so fewer tiles send less, and what
+# a tile keeps in memory follows from these.
+TILE_SOURCES = 200_000
+TILE_ENTRIES = 8_000_000
 MIN_TILE_SOURCES = 1_024
 
 # Most sources whose bounds are made together first.
@@ -343,6 +344,16 @@ def _tiler(k: int, rank: int, cells: Cells, excluding: bool):
     return tile_rows
 
 
+def _exact(sources: np.ndarray, rows: np.ndarray, candidates: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Scores of the pairs of these rows and columns, made in double precision, some at a time, and rounded."""
+    found, step = np.empty(rows.size, np.float32), max(1, BATCH_SCORES // (4 * sources.shape[1]))
+    for start in range(0, rows.size, step):
+        own = slice(start, start + step)
+        near, far = sources[rows[own]].astype(np.float64), candidates[columns[own]].astype(np.float64)
+        found[own] = np.einsum("ij,ij->i", near, far)
+    return found
+
+
 def _list_order(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
     """By row, falling score and id, no numbers last: row and score are sorted as one integer, ids only where these are equal."""
     bits = (scores + np.float32(0)).view(np.int32).astype(np.int64)
@@ -366,7 +377,7 @@ class _Lists:
 
     def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """Takes scores of distinct pairs that are not held yet, and sorts them in when there are many."""
-        self.waiting.append((rows, ids, scores))
+        self.waiting.append((rows.astype(np.int32), ids.astype(np.int32), scores))
         self.n_waiting += rows.size
         if 2 * self.n_waiting >= self.scores.size:
             self.merge()
@@ -374,8 +385,9 @@ class _Lists:
     def merge(self) -> None:
         if not self.n_waiting:
             return
-        rows, ids, scores = (np.concatenate(part) for part in zip(*self.waiting))
-        self.waiting, self.n_waiting = [], 0
+        waiting, self.waiting, self.n_waiting = self.waiting, [], 0
+        rows, ids, scores = (np.concatenate(part) for part in zip(*waiting))
+        waiting.clear()
         by_row = np.argsort(rows, kind="stable")
         rows, ids, scores = rows[by_row], ids[by_row], scores[by_row]
         cuts = np.searchsorted(rows, np.arange(0, len(self.scores) + MERGE_ROWS, MERGE_ROWS))
@@ -448,11 +460,8 @@ def _scorer(k: int, rank: int, cells: Cells, segmented: bool):
                 first = np.flatnonzero(np.diff(r_, prepend=-1))
                 kept = np.arange(r_.size) - np.repeat(first, np.diff(np.r_[first, r_.size])) < k
                 r_, c_ = r_[kept], c_[kept]
-            r_ = reach[r_]
-            exact = np.einsum(
-                "ij,ij->i", features[own[r_]].astype(np.float64), own_vectors[c_].astype(np.float64)
-            ).astype(np.float32)
-            lists.add(own[r_], own_ids[c_].astype(np.int64), exact)
+            r_ = own[reach[r_]]
+            lists.add(r_, own_ids[c_], _exact(features, r_, own_vectors, c_))
 
     def _hidden(tile: dict, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The sources that leave out some of these candidates, and where these stand: the pairs lie by candidate."""
@@ -510,6 +519,12 @@ def _scorer(k: int, rank: int, cells: Cells, segmented: bool):
     return score
 
 
+def tile_count(n_sources: int, entries: int, cores: int) -> int:
+    """Tiles for sources with so many list entries each: as few as memory allows, but some for every core."""
+    most = max(MIN_TILE_SOURCES, min(TILE_SOURCES, TILE_ENTRIES // entries))
+    return max(ceil(n_sources / most), min(4 * cores, ceil(n_sources / MIN_TILE_SOURCES)), 1)
+
+
 def _tile_of(n_tiles: int) -> Column:
     return F.pmod(F.xxhash64(F.col("id").cast("int")), F.lit(n_tiles)).cast("int")
 
@@ -538,10 +553,7 @@ def pruned_candidates(
     cells = written(cut.withColumn("cell", F.monotonically_increasing_id()), "cells")
     known = Cells(cells.drop("ids", "runs", "features").collect(), rotation)
 
-    entries = k * max(1, len(known.segments))
-    tile_sources = max(MIN_TILE_SOURCES, min(TILE_SOURCES, TILE_ENTRIES // entries))
-    cores = spark.sparkContext.defaultParallelism
-    n_tiles = max(ceil(n_sources / tile_sources), min(4 * cores, ceil(n_sources / MIN_TILE_SOURCES)), 1)
+    n_tiles = tile_count(n_sources, k * max(1, len(known.segments)), spark.sparkContext.defaultParallelism)
     rows = sources.select("id", "features")
     if exclude is not None:
         pairs = exclude.select(F.col(SOURCE).cast("int").alias("id"), F.col(CANDIDATE).cast("int").alias(CANDIDATE))

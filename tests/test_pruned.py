@@ -263,3 +263,19 @@ def test_lists_are_made_by_groups(monkeypatch):
     lists, items = scored_cells(users, ids, found, cells, 5, [[]] * 4000)
     assert lists == plain([users, items], [ids, range(1200)], 5)
     assert sum(made) < 0.3 * len(users) * len(cells.n)
+
+
+def test_large_tables_make_few_tiles():
+    # Every tile is sent its cells, so what is shuffled follows from the number of tiles.
+    assert [pruned.tile_count(5_400_000, entries, 8) for entries in (10, 100)] == [32, 68]
+    assert [pruned.tile_count(n, 10, 8) for n in (1, 3_000, 900_000, 54_000_000)] == [1, 3, 32, 270]
+
+
+def test_a_picked_pair_is_scored_in_double_precision_a_slice_at_a_time(monkeypatch):
+    monkeypatch.setattr(pruned, "BATCH_SCORES", 60)
+    rng = np.random.default_rng(3)
+    sources, candidates = (rng.normal(size=(n, 5)).astype(np.float32) for n in (40, 30))
+    rows, columns = rng.integers(0, 40, 500), rng.integers(0, 30, 500)
+    whole = np.einsum("ij,ij->i", sources[rows].astype(np.float64), candidates[columns].astype(np.float64))
+    assert (pruned._exact(sources, rows, candidates, columns) == whole.astype(np.float32)).all()
+    assert pruned._exact(sources, rows[:0], candidates, columns[:0]).size == 0
